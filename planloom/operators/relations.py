@@ -37,7 +37,7 @@ def intersecting_pairs(elements: DataFrame, touching: DataFrame | None = None) -
 def segment_intersections(segments: DataFrame) -> DataFrame:
     """Crossing or touching segments of a project (id1 < id2): box cells, then the exact orientation test."""
     rows = geom.box_of_segments(segments.select("id", "project_id", "x1", "y1", "x2", "y2"))
-    return overlap_self(rows, BOX, ["project_id"], where=geom.segments_cross)
+    return overlap_self(rows, BOX, ["project_id"], where=geom.segments_cross, symmetric=True)
 
 
 def within_distance(elements: DataFrame, radius: float, pos=XYZ, touching: DataFrame | None = None) -> DataFrame:
@@ -305,16 +305,20 @@ def parallel_pairs(lines: DataFrame, angle_tolerance: float = 3.0, low: float =
     Lines that face each other at that spacing have boxes no farther apart than ``high``, so the boxes are
     joined with that margin and the three exact tests run inside the join.
     """
-    rows = geom.box_of_segments(lines.where(geom.length() > 0).select(
-        "id", "project_id", "x1", "y1", "x2", "y2")).withColumn("angle", geom.angle360())
+    size = geom.length()
+    rows = geom.box_of_segments(lines.where(size > 0).select(
+        "id", "project_id", "x1", "y1", "x2", "y2", size.alias("len"), geom.angle360().alias("angle"),
+        ((F.col("x2") - F.col("x1")) / size).alias("ux"), ((F.col("y2") - F.col("y1")) / size).alias("uy")))
 
     def facing(a, b):
         diff = F.abs(a["angle"] - b["angle"])
-        diff = F.when(diff > 180.0, 360.0 - diff).otherwise(diff)
-        gap = geom.point_to_line(a, *geom.mid(b))
-        ov, short = geom.overlap_share(a, b)
-        return (((diff <= angle_tolerance) | (F.abs(diff - 180.0) <= angle_tolerance))
-                & (gap >= low) & (gap <= high) & (ov > short * share))
+        gap = F.abs(((b["y1"] + b["y2"]) / 2.0 - a["y1"]) * a["ux"] - ((b["x1"] + b["x2"]) / 2.0 - a["x1"]) * a["uy"])
+        # along a, starting at its first end: a covers 0..len, b covers t1..t2
+        t1 = (b["x1"] - a["x1"]) * a["ux"] + (b["y1"] - a["y1"]) * a["uy"]
+        t2 = (b["x2"] - a["x1"]) * a["ux"] + (b["y2"] - a["y1"]) * a["uy"]
+        shared = F.least(a["len"], F.greatest(t1, t2)) - F.greatest(F.lit(0.0), F.least(t1, t2))
+        near = (diff <= angle_tolerance) | (F.abs(diff - 180.0) <= angle_tolerance) | (diff >= 360.0 - angle_tolerance)
+        return near & gap.between(low, high) & (shared > F.least(a["len"], F.abs(t2 - t1)) * share)
 
     pairs = overlap_self(rows, BOX, ["project_id"], where=facing, margin=high)
     a, b = F.col("a"), F.col("b")

@@ -5,12 +5,13 @@ All pair tables have two struct columns, ``a`` and ``b``, so predicates are writ
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.skew import is_small, salted_join
+from planloom.skew import is_small, salted_join, widen
 from planloom.staging import Stage
 
 Pred = Callable[[Column, Column], Column]
@@ -42,6 +43,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[s
     exactly one cell. Rows of a crowded right-side cell are spread over tasks.
     """
     rpos = rpos or pos
+    left, right = widen(left), widen(right)
     size = 2.0 * radius * WIDEN
     names = [f"_c{i}" for i in range(len(pos))]
     keys = [f"_k{i}" for i in range(len(on))] + names
@@ -103,6 +105,11 @@ def box_level(box: Sequence[str], row: Column | None = None, finest: int = 0) ->
     return F.ceil(F.log2(ext) + 1e-9).cast("int")
 
 
+def _finest(margin: float) -> int:
+    """Cells are never much smaller than the margin, so a probe covers a bounded number of cells per level."""
+    return max(0, math.ceil(math.log2(margin))) if margin > 0 else 0
+
+
 def boxes_meet(a: Column, b: Column, abox: Sequence[str], bbox: Sequence[str], margin: float = 0.0) -> Column:
     dims = len(abox) // 2
     test = F.lit(True)
@@ -111,18 +118,18 @@ def boxes_meet(a: Column, b: Column, abox: Sequence[str], bbox: Sequence[str], m
     return test
 
 
-def _levels(*sides: tuple[DataFrame, Sequence[str]]) -> list[int]:
+def _levels(finest: int, *sides: tuple[DataFrame, Sequence[str]]) -> list[int]:
     """Distinct grid levels in use: a logarithmic number of values, whatever the number of rows."""
     seen: set[int] = set()
     for df, box in sides:
-        seen |= {r[0] for r in df.select(box_level(box)).distinct().collect() if r[0] is not None}
+        seen |= {r[0] for r in df.select(box_level(box, finest=finest)).distinct().collect() if r[0] is not None}
     return sorted(seen)
 
 
-def _home(df: DataFrame, name: str, box: Sequence[str], on: Sequence[str]) -> DataFrame:
+def _home(df: DataFrame, name: str, box: Sequence[str], on: Sequence[str], margin: float) -> DataFrame:
     dims = len(box) // 2
     row = F.col(name)
-    out = pack(df, name).withColumn("_lv", box_level(box, row))
+    out = pack(df, name).withColumn("_lv", box_level(box, row, _finest(margin)))
     side = F.pow(F.lit(2.0), F.col("_lv"))
     return out.select(name, "_lv", *[row[k].alias(f"_k{i}") for i, k in enumerate(on)],
                       *[F.floor(row[box[i]] / side).cast("long").alias(f"_c{i}") for i in range(dims)])
@@ -132,7 +139,7 @@ def _probe(df: DataFrame, name: str, box: Sequence[str], on: Sequence[str], leve
            above: bool) -> DataFrame:
     dims = len(box) // 2
     row = F.col(name)
-    out = pack(df, name).withColumn("_own", box_level(box, row))
+    out = pack(df, name).withColumn("_own", box_level(box, row, _finest(margin)))
     table = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
     keep = (lambda v: v > F.col("_own")) if above else (lambda v: v >= F.col("_own"))
     out = out.withColumn("_lv", F.explode(F.filter(table, keep)))
@@ -153,37 +160,43 @@ def overlap_pairs(left: DataFrame, right: DataFrame, box: Sequence[str], rbox: S
     looks the larger one up, so a long box is never copied over many small cells.
     """
     rbox = rbox or box
-    levels = _levels((left, box), (right, rbox))
+    left, right = widen(left), widen(right)
+    levels = _levels(_finest(margin), (left, box), (right, rbox))
     keys = ["_lv"] + [f"_k{i}" for i in range(len(on))] + [f"_c{i}" for i in range(len(box) // 2)]
     a, b = F.col("a"), F.col("b")
     test = boxes_meet(a, b, box, rbox, margin)
     if where is not None:
         test = test & where(a, b)
-    up = salted_join(_home(right, "b", rbox, on), _probe(left, "a", box, on, levels, margin, False), keys, test)
-    down = salted_join(_home(left, "a", box, on), _probe(right, "b", rbox, on, levels, margin, True), keys, test)
+    up = salted_join(_home(right, "b", rbox, on, margin), _probe(left, "a", box, on, levels, margin, False), keys, test)
+    down = salted_join(_home(left, "a", box, on, margin), _probe(right, "b", rbox, on, levels, margin, True), keys, test)
     return up.select("a", "b").unionByName(down.select("a", "b"))
 
 
 def overlap_self(df: DataFrame, box: Sequence[str], on: Sequence[str] = (), where: Pred | None = None,
-                 margin: float = 0.0, id: str = "id") -> DataFrame:
-    """Unordered pairs of one table whose boxes meet, as ``a.id < b.id``."""
-    levels = _levels((df, box))
+                 margin: float = 0.0, id: str = "id", symmetric: bool = False) -> DataFrame:
+    """Unordered pairs of one table whose boxes meet, as ``a.id < b.id``.
+
+    ``where(first, second)`` sees the row with the smaller id first unless it is ``symmetric``.
+    """
+    df = widen(df)
+    levels = _levels(_finest(margin), (df, box))
     keys = ["_lv"] + [f"_k{i}" for i in range(len(on))] + [f"_c{i}" for i in range(len(box) // 2)]
     p, q = F.col("a"), F.col("b")
     first = F.when(p[id] < q[id], p).otherwise(q)
     second = F.when(p[id] < q[id], q).otherwise(p)
     test = ((F.col("_own") < F.col("_lv")) | (p[id] < q[id])) & boxes_meet(p, q, box, box, margin)
     if where is not None:
-        test = test & where(first, second)
-    pairs = salted_join(_home(df, "b", box, on), _probe(df, "a", box, on, levels, margin, False), keys, test)
+        test = test & (where(p, q) if symmetric else
+                       ((p[id] < q[id]) & where(p, q)) | ((p[id] > q[id]) & where(q, p)))
+    pairs = salted_join(_home(df, "b", box, on, margin), _probe(df, "a", box, on, levels, margin, False), keys, test)
     return pairs.select(first.alias("a"), second.alias("b"))
 
 
 def box_keys(df: DataFrame, box: Sequence[str], on: Sequence[str] = (), margin: float = 0.0) -> tuple[Column, Column]:
     """``(home, reach)`` key arrays for the greedy operators: two rows whose boxes meet share a key."""
-    levels = _levels((df, box))
+    levels = _levels(_finest(margin), (df, box))
     dims = len(box) // 2
-    own = box_level(box)
+    own = box_level(box, finest=_finest(margin))
     keyed = [F.col(k) for k in on]
 
     def cells(lv: Column, lows: list[Column], highs: list[Column], tag: int) -> Column:

@@ -27,6 +27,11 @@ def is_small(df: DataFrame, limit: int | None = None) -> bool:
     return plan_bytes(df) <= (SMALL_BYTES if limit is None else limit)
 
 
+def widen(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFrame:
+    """Spreads a small table, which often is one file split, over all cores before a join expands it."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df, limit) else df
+
+
 def hot_keys(df: DataFrame, keys: list[str], sample: float = SAMPLE, rows_per_task: int = ROWS_PER_TASK,
              small_bytes: int | None = None) -> list[tuple]:
     """Key values that need several tasks, with the number of tasks: ``[(key values..., salts)]``."""
