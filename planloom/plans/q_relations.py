@@ -65,13 +65,13 @@ def _(t):
 
 
 @query("recompute_edges", "J8", ctes("elements").replace("elements AS", "raw AS") + """,
-elements AS (SELECT * REPLACE (CASE WHEN id%7=3 THEN x+0.5 ELSE x END AS x, CASE WHEN id%7=3 THEN min_x+0.5 ELSE min_x END AS min_x,
- CASE WHEN id%7=3 THEN max_x+0.5 ELSE max_x END AS max_x) FROM raw)
+elements AS (SELECT * REPLACE (CASE WHEN size BETWEEN 20 AND 27 THEN x+0.5 ELSE x END AS x, CASE WHEN size BETWEEN 20 AND 27 THEN min_x+0.5 ELSE min_x END AS min_x,
+ CASE WHEN size BETWEEN 20 AND 27 THEN max_x+0.5 ELSE max_x END AS max_x) FROM raw)
 """ + ALL)
 def _(t):
-    """Old edges of the unmoved drawing, updated after a seventh of the elements moved."""
+    """Old edges of the unmoved drawing, updated after the elements of some sizes moved."""
     old = R.all_edges(live(t), RADIUS, LAYER_LIMIT)
-    moved = F.col("id") % 7 == 3
+    moved = F.col("size").between(20, 27)
     new = live(t)
     for c in ("x", "min_x", "max_x"):
         new = new.withColumn(c, F.when(moved, F.col(c) + 0.5).otherwise(F.col(c)))
