@@ -6,6 +6,7 @@ from planloom.operators import relations as R
 from planloom.operators import stats
 from planloom.plans.bind import ctes
 from planloom.plans.registry import query
+from planloom.staging import materialize
 
 
 def live(t):
@@ -70,7 +71,7 @@ elements AS (SELECT * REPLACE (CASE WHEN size BETWEEN 20 AND 27 THEN x+0.5 ELSE
 """ + ALL)
 def _(t):
     """Old edges of the unmoved drawing, updated after the elements of some sizes moved."""
-    old = R.all_edges(live(t), RADIUS, LAYER_LIMIT)
+    old = materialize(R.all_edges(live(t), RADIUS, LAYER_LIMIT))
     moved = F.col("size").between(20, 27)
     new = live(t)
     for c in ("x", "min_x", "max_x"):

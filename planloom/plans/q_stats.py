@@ -127,7 +127,7 @@ def _(t):
 
 
 @query("is_dashed", "W2", ctes("segments") + f""", {ROWS}, b AS (SELECT * FROM g WHERE gap>=2), m AS (SELECT project_id, line, count(*) AS n_gaps, avg(gap) AS mean_gap FROM b GROUP BY ALL)
-SELECT m.project_id, m.line, n_gaps, mean_gap, n_gaps>=2 AND max(abs(gap-mean_gap))<=0.3*mean_gap AS dashed FROM m JOIN b USING (project_id, line) GROUP BY ALL""")
+SELECT m.project_id, m.line, n_gaps, mean_gap, any_value(n_gaps)>=2 AND max(abs(gap-mean_gap))<=0.3*any_value(mean_gap) AS dashed FROM m JOIN b USING (project_id, line) GROUP BY m.project_id, m.line, n_gaps, mean_gap""")
 def _(t):
     keys = ["project_id", "line"]
     return N.is_dashed(N.interval_gaps(lines1d(t), keys, "lo", "hi", "id"), keys)
@@ -165,8 +165,8 @@ def _(t):
     return N.polyline_length(points(t), ["line"])
 
 
-@query("drop_collinear", "W7", f"""WITH {PTS}, n AS (SELECT *, lag(x) OVER w AS ax, lag(y) OVER w AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by FROM p WINDOW w AS (PARTITION BY line ORDER BY seq))
-SELECT line, seq, x, y FROM n WHERE ax IS NULL OR bx IS NULL OR CASE WHEN sqrt((bx-ax)^2+(by-ay)^2)>0 THEN abs((y-ay)*(bx-ax)-(x-ax)*(by-ay))/sqrt((bx-ax)^2+(by-ay)^2) ELSE sqrt((x-ax)^2+(y-ay)^2) END > 3""")
+@query("drop_collinear", "W7", f"""WITH {PTS}, n AS (SELECT *, lag(x) OVER w AS ax, lag(y) OVER w AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS bb FROM p WINDOW w AS (PARTITION BY line ORDER BY seq))
+SELECT line, seq, x, y FROM n WHERE ax IS NULL OR bx IS NULL OR CASE WHEN sqrt((bx-ax)^2+(bb-ay)^2)>0 THEN abs((y-ay)*(bx-ax)-(x-ax)*(bb-ay))/sqrt((bx-ax)^2+(bb-ay)^2) ELSE sqrt((x-ax)^2+(y-ay)^2) END > 3""")
 def _(t):
     return N.drop_collinear(points(t), ["line"], 3.0)
 
