@@ -39,12 +39,14 @@ def key(row):
 
 def compare(name, df, con, sql):
     rows = [tuple(norm(v) for v in r) for r in df.select(*sorted(df.columns)).collect()]
+    t1 = time.time()
     rel = con.sql(sql)
     cols = rel.columns
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     if sorted(cols) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(cols)}", len(rows)
     want = [tuple(norm(r[i]) for i in order) for r in rel.fetchall()]
+    compare.sql_seconds = time.time() - t1
     if len(rows) != len(want):
         return f"rows {len(rows)} != {len(want)}", len(rows)
     rows.sort(key=key)
@@ -77,7 +79,7 @@ def main():
         except Exception as e:  # noqa: BLE001
             err, k = f"{type(e).__name__}: {str(e)[:700]}", -1
         failed += err is not None
-        print(f"{'FAIL' if err else 'ok  '} {n:34s} {k:8d} rows {time.time() - t0:6.1f}s {err or ''}", flush=True)
+        print(f"{'FAIL' if err else 'ok  '} {n:34s} {k:8d} rows {time.time() - t0:6.1f}s (sql {getattr(compare, 'sql_seconds', 0):.1f}) {err or ''}", flush=True)
     print(f"{len(names) - failed} ok, {failed} failed")
 
 
