@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.skew import hot_keys, salted_join
+from planloom.skew import hot_keys, salted_join, widen
 from planloom.staging import Stage
 
 Conflict = Callable[[Column, Column], Column]
@@ -39,7 +39,7 @@ def greedy_cluster(rows: DataFrame, order: Sequence[Column], home: Column, reach
     probe = kept.select(F.col("_o").alias("_ho"), F.col("u").alias("_hu"), F.explode("_reach").alias("_k"))
     same = F.col("u")[id] == F.col("_hu")[id]
     test = same | ((F.col("_ho") < F.col("_o")) & conflict(F.col("_hu"), F.col("u")))
-    hits = salted_join(src.select("_o", "u", F.explode("_homes").alias("_k")), probe, ["_k"], test)
+    hits = salted_join(widen(src.select("_o", "u", "_homes")).select("_o", "u", F.explode("_homes").alias("_k")), probe, ["_k"], test)
     rank = F.struct((~same).alias("other"), F.col("_ho").alias("o"))
     # a kept row is its own seed even if an (equal-ranked) neighbour is near
     best = hits.groupBy("_o").agg(F.min_by(F.struct("u", F.col("_hu").alias("seed")), rank).alias("m"))
@@ -57,23 +57,29 @@ def _suppress(rows, order, home, reach, conflict, clique, id):
     und = src = stage.write(start)
     hot = hot_keys(und.select(F.explode("_homes").alias("_k")), ["_k"])
     kept, last = None, None
-    while not und.isEmpty():
+    # the tests name columns only, so they are built once for all rounds
+    blocks = (F.col("_o") < F.col("_ho")) & conflict(F.col("u"), F.col("_hu"))
+    leaves = (F.col("u")[id] == F.col("_hu")[id]) | (
+        (F.col("_ho") < F.col("_o")) & conflict(F.col("_hu"), F.col("u")))
+    if und.isEmpty():
+        return start.select("_o", "_reach", "u"), src
+    while und is not None:
         heads = und.groupBy("_q").agg(F.min_by(F.struct("_o", "_reach", "u"), "_o").alias("h")).select("h.*")
         probe = heads.select(F.col("_o").alias("_ho"), F.col("u").alias("_hu"), F.explode("_reach").alias("_k"))
-        open_rows = und.select("_o", "u", F.explode("_homes").alias("_k"))
-        blocked = salted_join(open_rows, probe, ["_k"],
-                              (F.col("_o") < F.col("_ho")) & conflict(F.col("u"), F.col("_hu")), hot=hot)
-        new = stage.write(heads.join(blocked.select(F.col("_ho").alias("_o")).distinct(), "_o", "left_anti"))
-        kept = new if kept is None else kept.unionByName(new)
+        open_rows = widen(und.select("_o", "u", "_homes")).select("_o", "u", F.explode("_homes").alias("_k"))
+        blocked = salted_join(open_rows, probe, ["_k"], blocks, hot=hot).select(F.col("_ho").alias("_o")).distinct()
+        new = heads.join(blocked, "_o", "left_anti")
         probe = new.select(F.col("_o").alias("_ho"), F.col("u").alias("_hu"), F.explode("_reach").alias("_k"))
-        out = (F.col("u")[id] == F.col("_hu")[id]) | (
-            (F.col("_ho") < F.col("_o")) & conflict(F.col("_hu"), F.col("u")))
-        gone = salted_join(open_rows, probe, ["_k"], out, hot=hot).select("_o").distinct()
-        und, path = stage.write_path(und.join(gone, "_o", "left_anti"))
+        # a kept row meets itself, so one table holds the kept rows and the rows that leave because of them
+        gone = salted_join(open_rows, probe, ["_k"], leaves, hot=hot).groupBy("_o").agg(
+            F.max(F.col("u")[id] == F.col("_hu")[id]).alias("_self"))
+        state = und.join(gone, "_o", "left").where("_self is null or _self").select(
+            *und.columns, F.when(F.col("_self"), 1).otherwise(0).alias("_s"))
+        (und, path), (part, _) = stage.write_parts(state, "_s", [0, 1])
+        part = part.select("_o", "_reach", "u")
+        kept = part if kept is None else kept.unionByName(part)
         stage.drop(last)
         last = path
-    if kept is None:
-        kept = start.select("_o", "_reach", "u")
     return kept, src
 
 

@@ -53,6 +53,20 @@ class Stage:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def write_parts(self, df: DataFrame, column: str, values: list[int]) -> list[tuple[DataFrame | None, str]]:
+        """Writes ``df`` once, split by an integer column; gives (table or None when empty, path) per value."""
+        path = f"{self.root}/t{self.count}"
+        self.count += 1
+        df.write.partitionBy(column).parquet(path)
+        schema = df.drop(column).schema
+        out = []
+        for v in values:
+            part = f"{path}/{column}={v}"
+            hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(part)
+            there = hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+            out.append((self.spark.read.schema(schema).parquet(part) if there else None, part))
+        return out
+
     def drop(self, path: str | None) -> None:
         if path:
             remove(self.spark, path)
