@@ -63,11 +63,17 @@ def _(t):
     return P.shortest_path(t.edges, top(t), goal, 41).select("n_nodes")
 
 
-@query("all_paths", "G5", EDG + """, s AS (SELECT max(b) AS n FROM edges), p(node, path) AS (SELECT n, [n] FROM s UNION ALL SELECT arcs.dst, list_append(p.path, arcs.dst) FROM p JOIN arcs ON arcs.src=p.node
- WHERE len(p.path)<6 AND NOT list_contains(p.path, arcs.dst) AND p.node<>(SELECT min(b) FROM edges)) SELECT array_to_string(path, '-') AS path FROM p WHERE node=(SELECT min(b) FROM edges)""")
+FAR = "(SELECT max(node) FROM d WHERE hop=2)"
+
+
+@query("all_paths", "G5", EDG + f""", {bfs(TOP, 2)}, p(node, path) AS (SELECT node, [node] FROM ({TOP}) UNION ALL SELECT arcs.dst, list_append(p.path, arcs.dst) FROM p JOIN arcs ON arcs.src=p.node
+ WHERE len(p.path)<7 AND NOT list_contains(p.path, arcs.dst) AND p.node<>{FAR}) SELECT array_to_string(path, '-') AS path FROM p WHERE node={FAR}""")
 def _(t):
-    lo, hi = t.edges.agg(F.min("b"), F.max("b")).first()
-    return G.all_paths(G.Arcs(G.adjacency(t.edges)), hi, lo, 6).select(F.array_join("path", "-").alias("path"))
+    """Simple paths of at most seven nodes from the busiest node to the largest node two hops away."""
+    arcs = G.Arcs(G.adjacency(t.edges))
+    near = G.levels(arcs, top(t), 2)
+    start, goal = near.agg(F.max(F.when(F.col("hop") == 0, F.col("node"))), F.max(F.when(F.col("hop") == 2, F.col("node")))).first()
+    return G.all_paths(arcs, start, goal, 7).select(F.array_join("path", "-").alias("path"))
 
 
 def typed(t):
