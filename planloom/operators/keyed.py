@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planloom.skew import join_all
+
 
 def latest(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
     """Newest row per key. ``max_by`` is a partial aggregate, so a key with many versions stays cheap."""
@@ -112,5 +114,4 @@ def overlay(defaults: DataFrame, user: DataFrame, keys: list[str], value: str =
 def project_rows_or_default(projects: DataFrame, rows: DataFrame, defaults: DataFrame) -> DataFrame:
     """Own rows where a project has any, else the default rows (a small literal table)."""
     bare = projects.select("project_id").distinct().join(rows.select("project_id").distinct(), "project_id", "left_anti")
-    fill = F.broadcast(defaults.withColumn("_one", F.lit(1)))
-    return rows.unionByName(bare.withColumn("_one", F.lit(1)).join(fill, "_one").select(*rows.columns))
+    return rows.unionByName(join_all(bare, defaults).select(*rows.columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from planloom.operators.filters import any_contains
 from planloom.operators.spatial import near_pairs
+from planloom.skew import join_all, salted_join
 
 RULE_SCHEMA = """rule_name string, rule_type string, subdomain string, element_types array<string>, near_types array<string>,
  priority int, min_distance double, max_velocity double, min_flow double, min_slope double, min_clearance double, severity string"""
@@ -26,11 +27,9 @@ def applicable_rules(elements: DataFrame, rules: DataFrame) -> DataFrame:
     typed = rules.where(F.size("element_types") > 0).withColumn("_t", F.explode(F.array_distinct("element_types")))
     free = rules.where(F.col("element_types").isNull() | (F.size("element_types") == 0))
     sub = F.col("subdomain").isNull() | F.col("element_subdomain").isNull() | (F.col("subdomain") == F.col("element_subdomain"))
-    a = elements.join(F.broadcast(typed), F.col("element_type") == F.col("_t")).drop("_t")
-    one = F.lit(1)
-    b = elements.withColumn("_one", one).join(F.broadcast(free.withColumn("_one", one)), "_one").drop("_one")
-    unknown = elements.where(F.col("element_type").isNull()).withColumn("_one", one).join(
-        F.broadcast(rules.where(F.size("element_types") > 0).withColumn("_one", one)), "_one").drop("_one")
+    a = salted_join(elements.withColumn("_t", F.col("element_type")), typed, ["_t"]).drop("_t")
+    b = join_all(elements, free)
+    unknown = join_all(elements.where(F.col("element_type").isNull()), rules.where(F.size("element_types") > 0))
     return a.unionByName(b).unionByName(unknown).where(sub)
 
 

@@ -67,11 +67,12 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[str]
     """For each left row the nearest right row within ``radius`` (ties: smallest ``rid``).
 
     On large inputs the search runs in growing rings: a row that finds a neighbour in a small ring is done,
-    because nothing farther can be nearer, so dense places are settled before a wide ring is tried. Right
-    rows that agree in everything but the id are reduced to the smallest id first.
+    because nothing farther can be nearer, so dense places are settled before a wide ring is tried. Without a
+    ``where`` test, right rows that agree in everything but the id are reduced to the smallest id first.
     """
     other = [c for c in right.columns if c != rid]
-    right = right.groupBy(*other).agg(F.min(rid).alias(rid)).select(*right.columns)
+    if where is None:
+        right = right.groupBy(*other).agg(F.min(rid).alias(rid)).select(*right.columns)
     if rings is None:
         rings = () if is_small(left) and is_small(right) else (1 / 64, 1 / 16, 1 / 4)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.ordered import first_n
+from planloom.ordered import first_n, row_index
 
 
 def relationship_stats(edges: DataFrame) -> DataFrame:
@@ -49,3 +49,10 @@ def degree(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Edges per node; the partial count before the shuffle keeps hubs cheap."""
     ends = edges.select(F.explode(F.array(a, b)).alias("node"))
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+
+
+def members_in_blocks(df: DataFrame, keys: list[str], id: str, block: int = 1000, blocks: int | None = None) -> DataFrame:
+    """Ids per group as lists of at most ``block`` ids, numbered in id order; a large group is many rows."""
+    i = row_index(df.select(*keys, id), keys, [F.col(id)], "_i", blocks)
+    i = i.withColumn("block", F.floor((F.col("_i") - 1) / block))
+    return i.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(id)).alias("ids"))

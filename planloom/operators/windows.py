@@ -35,6 +35,7 @@ def merge_adjacent_texts(texts: DataFrame, group: list[str], max_dy: float = 2.0
     """Texts on one line with small gaps become one text (``x``, ``y``, ``width``, ``text``, ``confidence``).
 
     Rows are read top to bottom, left to right; a run ends when the next text is off the line or too far right.
+    A run becomes one text value, so it is as long as the text line it describes.
     """
     far = (F.col("_px").isNull() | (F.abs(F.col("y") - F.col("_py")) > max_dy)
            | (F.col("x") - F.col("_px") > max_gap))

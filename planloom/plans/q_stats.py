@@ -41,11 +41,11 @@ def _(t):
                                        F.count_if(F.col("a") > F.col("b")).alias("backward"))
 
 
-@query("entities_by", "A9", E + " SELECT project_id, layer, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM elements WHERE NOT deleted GROUP BY project_id, layer")
+@query("entities_by", "A9", E + """, r AS (SELECT project_id, layer, id, (row_number() OVER (PARTITION BY project_id, layer ORDER BY id)-1)//10 AS block FROM elements WHERE NOT deleted)
+SELECT project_id, layer, block, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM r GROUP BY ALL""")
 def _(t):
-    # a group is a layer of one drawing, at most the size of the drawing
-    g = t.elements.where("not deleted").groupBy("project_id", "layer")
-    return g.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    m = stats.members_in_blocks(t.elements.where("not deleted"), ["project_id", "layer"], "id", 10)
+    return m.withColumn("ids", F.array_join("ids", ","))
 
 
 @query("required_layers", "A10", E + " SELECT DISTINCT layer FROM elements WHERE NOT deleted")

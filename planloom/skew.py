@@ -35,7 +35,7 @@ def widen(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFrame:
 def hot_keys(df: DataFrame, keys: list[str], sample: float = SAMPLE, rows_per_task: int = ROWS_PER_TASK,
              small_bytes: int | None = None) -> list[tuple]:
     """Key values that need several tasks, with the number of tasks: ``[(key values..., salts)]``."""
-    if is_small(df, small_bytes):
+    if df.isStreaming or is_small(df, small_bytes):
         return []
     counts = df.select(*keys).sample(sample, seed=7).groupBy(*keys).count()
     floor_rows = max(1, int(rows_per_task * sample))
@@ -76,3 +76,17 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], condition: Col
             match = match & (F.col(k) == F.col(f"_r_{k}"))
         out = many.join(renamed, match, how).drop(*[f"_r_{k}" for k in on])
     return out.drop("_salt")
+
+
+def join_all(many: DataFrame, few: DataFrame, max_rows: int = 10_000, spread: int = 64) -> DataFrame:
+    """Every row of ``many`` with every row of a rule-like table ``few`` (rules that apply to everything).
+
+    ``few`` is broadcast when its checked size is at most ``max_rows``. Otherwise the rows of ``many`` are spread
+    over ``spread`` keys and ``few`` is repeated per key, so no single task sees all of ``many``.
+    """
+    if few.limit(max_rows + 1).count() <= max_rows:
+        tag = F.lit(1)
+        return many.withColumn("_j", tag).join(F.broadcast(few.withColumn("_j", tag)), "_j").drop("_j")
+    left = many.withColumn("_j", F.pmod(F.xxhash64(*many.columns), F.lit(spread)))
+    right = few.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    return left.join(right, "_j").drop("_j")

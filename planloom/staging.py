@@ -36,12 +36,21 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def _app_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/planloom-{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all staged tables of this application; call it when their results have been written out."""
+    remove(spark, _app_dir(spark))
+
+
 class Stage:
     """A private folder for one operator run; tables are written under increasing names."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{_app_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
     def write(self, df: DataFrame) -> DataFrame:
