@@ -132,3 +132,28 @@ def box_of_segments(df, margin: float = 0.0):
     return df.withColumns({
         "min_x": F.least("x1", "x2") - margin, "min_y": F.least("y1", "y2") - margin,
         "max_x": F.greatest("x1", "x2") + margin, "max_y": F.greatest("y1", "y2") + margin})
+
+
+def point(x: Column, y: Column, z: Column | None = None) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), (F.lit(0.0) if z is None else z.cast("double")).alias("z"))
+
+
+def ring_points(cx: Column, cy: Column, r: Column, n: int = 32) -> Column:
+    """Closed polygon of ``n`` sides around a circle."""
+    return arc_points(cx, cy, r, F.lit(0.0), F.lit(360.0), n)
+
+
+def arc_points(cx: Column, cy: Column, r: Column, start: Column, end: Column, n: int = 16) -> Column:
+    """Points along an arc from ``start`` to ``end`` degrees (through 0 when the end is smaller)."""
+    a0 = F.radians(start)
+    span = F.radians(F.when(end < start, end + 360.0).otherwise(end)) - a0
+    return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: point(cx + r * F.cos(a0 + span * i / n), cy + r * F.sin(a0 + span * i / n)))
+
+
+def wkt(points: Column, closed: Column | None = None) -> Column:
+    """Text form of a point list: POINT Z, LINESTRING Z or, when closed, POLYGON Z; null when empty."""
+    body = F.array_join(F.transform(points, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"), p["z"].cast("string"))), ", ")
+    n = F.size(points)
+    area = (closed if closed is not None else F.lit(False)) & (n >= 3)
+    return (F.when(n == 0, F.lit(None)).when(n == 1, F.concat(F.lit("POINT Z("), body, F.lit(")")))
+            .when(area, F.concat(F.lit("POLYGON Z(("), body, F.lit("))"))).otherwise(F.concat(F.lit("LINESTRING Z("), body, F.lit(")"))))

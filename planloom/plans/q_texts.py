@@ -316,3 +316,43 @@ def _(t):
     s = F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ","), F.lit("]"))
     v = t.embeddings.select(F.col("vec_id").alias("id"), F.from_json(s, "array<float>").alias("v"))
     return v.select("id", F.round(F.get("v", F.lit(0)).cast("double"), 6).alias("head"), F.size("v").cast("long").alias("n"))
+
+
+@query("wkt_text", "C1 C2", ctes("segments", "rooms") + """ SELECT 'line' AS kind, id, 'LINESTRING Z('||x1||' '||y1||' 0.0, '||x2||' '||y2||' 0.0)' AS wkt FROM segments
+UNION ALL SELECT 'room', id, 'POLYGON Z(('||x0||' '||y0||' 0.0, '||x1||' '||y0||' 0.0, '||x1||' '||y1||' 0.0, '||x0||' '||y0||' 0.0))' FROM rooms""")
+def _(t):
+    pt = lambda x, y: geom.point(F.col(x), F.col(y))
+    lines = t.segments.select(F.lit("line").alias("kind"), "id", geom.wkt(F.array(pt("x1", "y1"), pt("x2", "y2"))).alias("wkt"))
+    rooms = t.rooms.select(F.lit("room").alias("kind"), "id", geom.wkt(F.array(
+        pt("x0", "y0"), pt("x1", "y0"), pt("x1", "y1"), pt("x0", "y0")), F.lit(True)).alias("wkt"))
+    return lines.unionByName(rooms)
+
+
+@query("curve_points", "C3", """WITH c AS (SELECT p_partkey AS id, (p_partkey%100)::DOUBLE AS cx, p_size::DOUBLE AS r, (p_partkey%360)::DOUBLE AS a, CASE WHEN p_partkey*7%360<p_partkey%360 THEN p_partkey*7%360+360e0 ELSE (p_partkey*7%360)::DOUBLE END AS b FROM part)
+SELECT id, 'circle' AS kind, i AS seq, cx+r*cos(2*pi()*i/32) AS x, 5+r*sin(2*pi()*i/32) AS y FROM c, range(33) t(i)
+UNION ALL SELECT id, 'arc', i, cx+r*cos(radians(a+(b-a)*i/16)), 5+r*sin(radians(a+(b-a)*i/16)) FROM c, range(17) t(i)""")
+def _(t):
+    k = F.col("p_partkey")
+    cx, cy, r = (k % 100).cast("double"), F.lit(5.0), F.col("p_size").cast("double")
+    circle = t.part.select(k.alias("id"), F.lit("circle").alias("kind"), F.posexplode(geom.ring_points(cx, cy, r)).alias("seq", "p"))
+    arc = t.part.select(k.alias("id"), F.lit("arc").alias("kind"), F.posexplode(geom.arc_points(
+        cx, cy, r, (k % 360).cast("double"), (k * 7 % 360).cast("double"))).alias("seq", "p"))
+    return circle.unionByName(arc).select("id", "kind", F.col("seq").cast("long").alias("seq"), "p.x", "p.y")
+
+
+@query("explode_analysis", "S19 C6 T13", """SELECT p_partkey AS doc_id, 'line' AS entity_kind, 'A-WALL' AS layer, (p_size-2)*0.5e0 AS x1, (100-p_size-4)*0.5e0 AS y1, NULL::DOUBLE AS cx, NULL::DOUBLE AS radius, NULL AS text, 'HIDDEN' AS linetype FROM part
+UNION ALL SELECT p_partkey, 'circle', 'M-DUCT', NULL, NULL, (p_partkey%90-2)*0.5e0, p_size*0.5e0, NULL, NULL FROM part
+UNION ALL SELECT p_partkey, 'mtext', 'G-ANNO-TAGS', NULL, NULL, (p_size-2)*0.5e0, NULL, p_name, NULL FROM part
+UNION ALL SELECT p_partkey, 'block', 'P-VALV', NULL, NULL, (p_size*2-2)*0.5e0, NULL, p_brand, NULL FROM part""")
+def _(t):
+    from planloom.sources import entities as S
+    k, s = F.col("p_partkey"), F.col("p_size")
+    d = lambda c: c.cast("double")
+    doc = F.to_json(F.struct(
+        F.array(F.struct(d(s).alias("x1"), d(s).alias("y1"), d(s + 9).alias("x2"), d(s).alias("y2"), F.lit("wall").alias("kind"), F.lit("dashed").alias("linetype"))).alias("lines"),
+        F.array(F.struct(d(k % 90).alias("cx"), d(s).alias("cy"), d(s).alias("radius"), F.lit("duct").alias("kind"))).alias("circles"),
+        F.array(F.struct(d(s).alias("x"), d(s).alias("y"), F.lit(10.0).alias("height"), F.col("p_name").alias("content"), F.lit("Equipment Tag").alias("kind"))).alias("text"),
+        F.array(F.struct(d(s * 2).alias("x"), d(s).alias("y"), F.lit("valve").alias("kind"), F.col("p_brand").alias("tag"))).alias("symbols")))
+    docs = t.part.select(k.alias("doc_id"), doc.alias("doc"), F.lit(0.5).alias("scale"), F.lit(2.0).alias("origin_x"), F.lit(4.0).alias("origin_y"), F.lit(100.0).alias("height"))
+    return S.explode_analysis(docs, naming.layer_for, naming.text_layer_for, naming.symbol_layer_for).select(
+        "doc_id", "entity_kind", "layer", "x1", "y1", "cx", "radius", "text", "linetype")

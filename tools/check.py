@@ -83,4 +83,5 @@ def main():
     print(f"{len(names) - failed} ok, {failed} failed")
 
 
-main()
+if __name__ == "__main__":
+    main()
