@@ -61,9 +61,10 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], condition: Col
         hot = hot_keys(many, keys)
     on = list(keys)
     if hot:
-        left_keys = [c for c in many.columns if c not in keys]
+        rest = [f for f in many.schema if f.name not in keys]
         n = _salts(keys, hot)
-        spread = F.xxhash64(*left_keys) if left_keys else F.monotonically_increasing_id()
+        # a hash of the row, so that a task that runs again gives every row the same salt; maps hash as text
+        spread = F.xxhash64(*[F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in rest] or keys)
         many = many.withColumn("_salt", F.pmod(spread, n.cast("long")).cast("int"))
         few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
         on.append("_salt")
