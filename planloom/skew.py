@@ -82,12 +82,11 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], condition: Col
 def join_all(many: DataFrame, few: DataFrame, max_rows: int = 10_000, spread: int = 64) -> DataFrame:
     """Every row of ``many`` with every row of a rule-like table ``few`` (rules that apply to everything).
 
-    ``few`` is broadcast when its checked size is at most ``max_rows``. Otherwise the rows of ``many`` are spread
-    over ``spread`` keys and ``few`` is repeated per key, so no single task sees all of ``many``.
+    The rows of ``many`` are spread over ``spread`` keys and ``few`` is repeated per key, so the pairing is an ordinary
+    hash join and no task sees all of ``many``. ``few`` is broadcast when its checked size is at most ``max_rows``.
     """
-    if few.limit(max_rows + 1).count() <= max_rows:
-        tag = F.lit(1)
-        return many.withColumn("_j", tag).join(F.broadcast(few.withColumn("_j", tag)), "_j").drop("_j")
-    left = many.withColumn("_j", F.pmod(F.xxhash64(*many.columns), F.lit(spread)))
-    right = few.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
-    return left.join(right, "_j").drop("_j")
+    small = few.limit(max_rows + 1).count() <= max_rows
+    n = 8 if small else spread
+    left = many.withColumn("_j", F.pmod(F.xxhash64(*many.columns), F.lit(n)))
+    right = few.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return left.join(F.broadcast(right) if small else right, "_j").drop("_j")
