@@ -7,7 +7,6 @@ over several tasks because the hub list is fixed once per graph.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planloom.skew import hot_keys, salted_join

@@ -84,14 +84,14 @@ def build_graph(lines: DataFrame, symbols: DataFrame, tolerance: float = 10.0) -
 
 def symbol_type(kind: Column, category: Column) -> Column:
     """Node type of a symbol from words in its kind, else from its category."""
-    has = lambda *ws: R_any(kind, ws)
+    has = lambda *ws: _any_word(kind, ws)
     return (F.when(has("valve"), "valve").when(has("fitting", "elbow", "tee", "coupling"), "fitting")
             .when(has("diffuser", "grille", "register", "outlet", "fixture"), "terminal")
             .when(has("ahu", "panel", "pump", "boiler", "chiller"), "source")
             .when(F.lower(category).isin("mechanical", "electrical", "plumbing"), "equipment").otherwise("unknown"))
 
 
-def R_any(col: Column, words) -> Column:
+def _any_word(col: Column, words) -> Column:
     t = F.lit(False)
     for w in words:
         t = t | F.contains(F.lower(col), F.lit(w))

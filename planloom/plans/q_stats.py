@@ -6,7 +6,6 @@ from planloom.operators import memory as M
 from planloom.operators import relations as R
 from planloom.operators import stats
 from planloom.operators import windows as N
-from planloom.ordered import first_n
 from planloom.plans.bind import ctes
 from planloom.plans.registry import query
 
