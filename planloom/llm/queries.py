@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, html_text, url_filter
+from planloom.llm import bpe, fingerprints, html_text, mixing, topk, url_filter
 from planloom.llm.common import table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -32,14 +32,36 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 """
 
 
+def op3_document_fingerprints(spark, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_exact_topk(spark, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::DOUBLE) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op4_html_extraction, op6_bpe)}
-ORACLES = {"op1_url_filters": OP1_SQL}
+def op8_mixing(spark, sf_dir: str) -> DataFrame:
+    out = mixing.calibrated(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_p").alias("p"), F.col("_kept").alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_document_fingerprints, op4_html_extraction, op5_exact_topk, op6_bpe, op8_mixing)}
+ORACLES = {"op1_url_filters": OP1_SQL, "op5_exact_topk": OP5_SQL}
