@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, fingerprints, html_text, mixing, topk, url_filter
+from planloom.llm import bpe, fingerprints, html_text, mixing, topk, toxicity, url_filter
 from planloom.llm.common import table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -63,5 +63,12 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_p").alias("p"), F.col("_kept").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_document_fingerprints, op4_html_extraction, op5_exact_topk, op6_bpe, op8_mixing)}
+def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_document_fingerprints, op4_html_extraction, op5_exact_topk, op6_bpe, op8_mixing,
+                                  op9_toxicity)}
 ORACLES = {"op1_url_filters": OP1_SQL, "op5_exact_topk": OP5_SQL}
