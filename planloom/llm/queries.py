@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, fingerprints, html_text, mixing, topk, toxicity, url_filter
+from planloom.llm import bpe, fingerprints, html_text, mixing, near_dedup, topk, toxicity, url_filter
 from planloom.llm.common import table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -58,6 +58,10 @@ def op6_bpe(spark, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY))
 
 
+def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "keeper")
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     out = mixing.calibrated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_p").alias("p"), F.col("_kept").alias("kept"))
@@ -69,6 +73,6 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_document_fingerprints, op4_html_extraction, op5_exact_topk, op6_bpe, op8_mixing,
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_document_fingerprints, op4_html_extraction, op5_exact_topk, op6_bpe, op7_minhash_near_dedup, op8_mixing,
                                   op9_toxicity)}
 ORACLES = {"op1_url_filters": OP1_SQL, "op5_exact_topk": OP5_SQL}
