@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, fingerprints, html_text, mixing, near_dedup, topk, toxicity, url_filter
+from planloom.llm import bpe, chat, fingerprints, html_text, mixing, near_dedup, topk, toxicity, url_filter
 from planloom.llm.common import table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -32,6 +32,10 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 """
 
 
+def op2_chat_formatting(spark, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations")).drop("position")
+
+
 def op3_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,6 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_document_fingerprints, op4_html_extraction, op5_exact_topk, op6_bpe, op7_minhash_near_dedup, op8_mixing,
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_document_fingerprints, op4_html_extraction, op5_exact_topk, op6_bpe, op7_minhash_near_dedup, op8_mixing,
                                   op9_toxicity)}
 ORACLES = {"op1_url_filters": OP1_SQL, "op5_exact_topk": OP5_SQL}
