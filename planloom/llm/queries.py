@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, chat, fingerprints, html_text, mixing, near_dedup, topk, toxicity, url_filter
+from planloom.llm import bpe, chat, fingerprints, html_text, mixing, near_dedup, token_shards, topk, toxicity, url_filter
 from planloom.llm.common import table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -59,7 +59,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.digests(bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY))
+    return bpe.digests(bpe.encode(docs, VOCABULARY, decoded=True))
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op10_token_shards(spark, sf_dir: str) -> DataFrame:
+    shards, _ = token_shards.materialise(table(spark, sf_dir, "documents"))
+    return shards.select("shard", "first_slot", "n_sequences", "stride", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_document_fingerprints, op4_html_extraction, op5_exact_topk, op6_bpe, op7_minhash_near_dedup, op8_mixing,
-                                  op9_toxicity)}
+                                  op9_toxicity, op10_token_shards)}
 ORACLES = {"op1_url_filters": OP1_SQL, "op5_exact_topk": OP5_SQL}
