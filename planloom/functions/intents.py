@@ -20,6 +20,29 @@ PATTERNS = [
     ("low_voltage", "card reader", 3.0, "security"), ("low_voltage", "camera", 2.5, "security"),
     ("low_voltage", "data outlet", 3.0, "data"), ("low_voltage", "speaker", 2.5, "av"), ("low_voltage", "controller", 2.0, "bms"),
 ]
-ACTIONS = {"create": ["create", "draw", "add", "place"], "modify": ["move", "change", "resize", "update"],
-           "delete": ["delete", "remove", "erase"], "validate": ["check", "validate", "verify"], "query": ["find", "show", "list", "where"]}
-APPS = {"autocad": ["layer", "block", "polyline", "dwg"], "revit": ["family", "level", "bim", "rvt"]}
+# fixed values: words per action
+ACTIONS = {
+    "query": ["find", "list", "show", "get", "what", "where", "which", "search", "locate", "identify", "display", "look for", "how many"],
+    "create": ["draw", "create", "add", "place", "insert", "make", "new", "generate", "build", "vectorize", "trace", "convert to cad", "convert to dwg",
+               "import", "digitize"],
+    "modify": ["edit", "change", "update", "modify", "move", "resize", "adjust", "relocate", "rename", "set"],
+    "delete": ["delete", "remove", "erase", "clear"],
+    "analyze": ["check", "validate", "verify", "analyze", "report", "review", "inspect", "audit", "assess"],
+    "route": ["route", "connect", "run", "path", "routing", "trace"],
+    "schedule": ["schedule", "count", "tally", "summarize", "tabulate", "list all"],
+    "coordinate": ["clash", "conflict", "coordinate", "interference", "collision", "overlapping"],
+}
+# fixed values: words per program
+APPS = {
+    "autocad": ["autocad", "acad", "dwg", "drawing", "layer", "polyline", "block", "xref", "entity", "handle", "model space", "paper space", "vectorize",
+                "raster", "scan", "scanned", "tiff", "tif", "pdf", "image to cad", "convert to cad", "trace", "digitize"],
+    "revit": ["revit", "rvt", "family", "type", "level", "workset", "element", "category", "parameter", "schedule view", "worksharing"],
+}
+
+
+def read_patterns(spark, path: str) -> list[tuple[str, str, float, str | None]]:
+    """A full pattern table from a CSV file (domain, words, weight, subdomain), for the ``patterns`` of ``classify_intent``.
+
+    A vocabulary: it becomes part of the query's expressions, so it is read to the driver."""
+    rows = spark.read.csv(path, header=True, schema="domain string, words string, weight double, subdomain string")
+    return [tuple(r) for r in rows.collect()]

@@ -44,7 +44,7 @@ SYSTEM = {
     "panel": "power", "transformer": "power", "smoke_detector": "fire_alarm", "heat_detector": "fire_alarm",
     "pull_station": "fire_alarm", "horn_strobe": "fire_alarm", "sprinkler": "fire_suppression", "fixture": "sanitary",
     "floor_drain": "sanitary", "cleanout": "sanitary", "data_outlet": "data", "camera": "security", "card_reader": "security",
-    "speaker": "av"}
+    "speaker": "audio_visual"}
 # fixed values: discipline per element kind, else per system
 DISCIPLINE = {
     "duct": "mechanical", "diffuser": "mechanical", "grille": "mechanical", "damper": "mechanical", "ahu": "mechanical",
@@ -67,7 +67,8 @@ SYSTEM_LAYER = {
     "refrigerant": ("M-HVAC", 4), "domestic_cold_water": ("P-DOMW", 5), "domestic_hot_water": ("P-DOMW", 1),
     "sanitary": ("P-SNTY", 3), "vent": ("P-VENT", 6), "storm_drain": ("P-STRM", 4), "natural_gas": ("P-NGAS", 2),
     "power": ("E-POWR", 1), "lighting": ("E-LITE", 2), "emergency_power": ("E-EMER", 1), "grounding": ("E-GRND", 3),
-    "fire_alarm": ("F-ALRM", 1), "fire_suppression": ("F-SPKL", 1), "fire_standpipe": ("F-STPF", 1), "data": ("T-DATA", 5)}
+    "fire_alarm": ("F-ALRM", 1), "fire_suppression": ("F-SPKL", 1), "fire_standpipe": ("F-STPF", 1), "data": ("T-DATA", 5),
+    "voice": ("T-VOIC", 3), "security": ("T-SECR", 1), "audio_visual": ("T-AUDV", 6)}
 DISCIPLINE_PREFIX = {"architectural": "A", "mechanical": "M", "electrical": "E", "plumbing": "P", "fire": "F",
                      "low_voltage": "T", "civil": "C", "structural": "S"}
 SUFFIX = {
@@ -75,7 +76,40 @@ SUFFIX = {
     "vav": "EQPM", "fcu": "EQPM", "coil": "EQPM", "pump": "EQPM", "pipe": "PIPE", "valve": "VALV", "fitting": "FTTG",
     "fixture": "FIXT", "floor_drain": "DRAN", "cleanout": "CLEN", "water_heater": "EQPM", "outlet": "OUTL", "switch": "SWTC",
     "panel": "PANL", "transformer": "XFMR", "motor": "MOTR", "light": "FIXT", "receptacle": "RCPT", "junction_box": "JBOX",
-    "conduit": "COND"}
+    "conduit": "COND", "wire": "WIRE", "smoke_detector": "DETC", "heat_detector": "DETC", "pull_station": "ANUN", "horn_strobe": "ANUN",
+    "sprinkler": "SPKL", "fire_extinguisher": "EXTN", "fdc": "CONN", "data_outlet": "OUTL", "camera": "SECU", "card_reader": "SECU",
+    "speaker": "AUDV"}
+# fixed values: block of the built-in standards per kind and subtype ("" = any)
+STANDARD_BLOCK = {
+    "valve|gate": "P-VALV-GATE", "valve|ball": "P-VALV-BALL", "valve|butterfly": "P-VALV-BTRF", "valve|globe": "P-VALV-GLOB",
+    "valve|check": "P-VALV-CHEK", "valve|pressure_reducing": "P-VALV-PRV", "valve|pressure_relief": "P-VALV-PRF",
+    "valve|balancing": "P-VALV-BAL", "valve|control": "P-VALV-CTRL", "valve|solenoid": "P-VALV-SOL", "valve|": "P-VALV",
+    "diffuser|square": "M-DIFF-SQ", "diffuser|round": "M-DIFF-RD", "diffuser|linear": "M-DIFF-LN", "diffuser|slot": "M-DIFF-SLOT",
+    "diffuser|perforated": "M-DIFF-PERF", "diffuser|": "M-DIFF",
+    "grille|return": "M-GRIL-RTN", "grille|transfer": "M-GRIL-XFR", "grille|exhaust": "M-GRIL-EXH", "grille|": "M-GRIL",
+    "damper|fire": "M-DAMP-FIRE", "damper|smoke": "M-DAMP-SMOK", "damper|volume": "M-DAMP-VOL", "damper|backdraft": "M-DAMP-BD", "damper|": "M-DAMP",
+    "outlet|duplex": "E-OUTL-DUP", "outlet|quad": "E-OUTL-QUAD", "outlet|gfci": "E-OUTL-GFCI", "outlet|dedicated": "E-OUTL-DED",
+    "outlet|floor": "E-OUTL-FLR", "outlet|": "E-OUTL",
+    "switch|single": "E-SWTC-1P", "switch|3way": "E-SWTC-3W", "switch|4way": "E-SWTC-4W", "switch|dimmer": "E-SWTC-DIM",
+    "switch|occupancy": "E-SWTC-OCC", "switch|": "E-SWTC",
+    "light|recessed": "E-LITE-REC", "light|pendant": "E-LITE-PND", "light|surface": "E-LITE-SRF", "light|linear": "E-LITE-LIN",
+    "light|emergency": "E-LITE-EMR", "light|exit": "E-LITE-EXIT", "light|": "E-LITE",
+    "smoke_detector|photoelectric": "F-DETC-SMOK-P", "smoke_detector|ionization": "F-DETC-SMOK-I", "smoke_detector|duct": "F-DETC-SMOK-D",
+    "smoke_detector|": "F-DETC-SMOK",
+    "heat_detector|fixed_temp": "F-DETC-HEAT-FT", "heat_detector|rate_of_rise": "F-DETC-HEAT-RR", "heat_detector|": "F-DETC-HEAT",
+    "horn_strobe|wall": "F-ANUN-HS-W", "horn_strobe|ceiling": "F-ANUN-HS-C", "horn_strobe|": "F-ANUN-HS", "pull_station|": "F-ANUN-PULL",
+    "sprinkler|pendant": "F-SPKL-PND", "sprinkler|upright": "F-SPKL-UPR", "sprinkler|sidewall": "F-SPKL-SW",
+    "sprinkler|concealed": "F-SPKL-CON", "sprinkler|": "F-SPKL",
+    "fixture|water_closet": "P-FIXT-WC", "fixture|lavatory": "P-FIXT-LAV", "fixture|sink": "P-FIXT-SINK", "fixture|urinal": "P-FIXT-URN",
+    "fixture|shower": "P-FIXT-SHWR", "fixture|drinking_fountain": "P-FIXT-DF", "fixture|": "P-FIXT",
+    "data_outlet|rj45": "T-DATA-RJ45", "data_outlet|fiber": "T-DATA-FBR", "data_outlet|": "T-DATA",
+    "camera|dome": "T-SECU-CAM-D", "camera|ptz": "T-SECU-CAM-PTZ", "camera|bullet": "T-SECU-CAM-B", "camera|": "T-SECU-CAM",
+    "card_reader|": "T-SECU-CRDR", "speaker|": "T-AUDV-SPKR"}
+# fixed values: attributes of the built-in standards, empty until they are filled in
+ATTRIBUTES = {
+    "valve": ["SIZE", "TYPE", "TAG"], "diffuser": ["SIZE", "CFM", "TAG"], "grille": ["SIZE", "CFM", "TAG"], "outlet": ["CIRCUIT", "VOLTAGE", "TAG"],
+    "light": ["WATTS", "TYPE", "TAG"], "smoke_detector": ["ZONE", "ADDRESS", "TAG"], "sprinkler": ["SIZE", "K_FACTOR", "TAG"],
+    "fixture": ["MODEL", "GPM", "TAG"]}
 
 
 def default_layer(kind: Column, system: Column, discipline: Column) -> Column:
@@ -112,6 +146,21 @@ def block_for(kind: Column, subtype: Column) -> Column:
                       F.concat(F.upper(k), F.lit("-"), F.coalesce(F.upper(s), F.lit("GEN"))))
 
 
+def standard_block(kind: Column, subtype: Column) -> Column:
+    """Block of the built-in standards: of the subtype, else of the kind, else null."""
+    return F.coalesce(lookup(STANDARD_BLOCK, F.concat(kind, F.lit("|"), subtype)), lookup(STANDARD_BLOCK, F.concat(kind, F.lit("|"))))
+
+
+def standard_attributes(kind: Column, size: Column | None = None) -> Column:
+    """Attributes of the built-in standards as a map; a size fills in SIZE, all others are empty."""
+    given = F.coalesce(size, F.lit("")) if size is not None else F.lit("")
+    filled = {k: F.create_map(*[x for n in names for x in (F.lit(n), given if n == "SIZE" else F.lit(""))]) for k, names in ATTRIBUTES.items()}
+    out = F.create_map().cast("map<string,string>")
+    for k, attributes in filled.items():
+        out = F.when(kind == k, attributes).otherwise(out)
+    return out
+
+
 def infer_system(kind: Column) -> Column:
     return F.coalesce(lookup(SYSTEM, kind), F.lit("unknown"))
 

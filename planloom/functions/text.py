@@ -128,16 +128,17 @@ def _n(s: Column, pattern: str, group: int) -> Column:
 
 
 def scale_per_pixel(text: Column, dpi: Column) -> Column:
-    """Struct (value, unit): real units per pixel of a scale note such as ``1/4" = 1'-0"`` or ``1:100``."""
+    """Struct (value, unit): real units per pixel of a scale note such as ``1/4" = 1'-0"`` or ``1:100``; the value
+    is null where the note or the resolution is 0."""
     s = F.trim(text)
     frac = rf"^{NUM}\s*/\s*(\d+)\s*[\"″]\s*=\s*(\d+)\s*['′]\s*[-\s]?\s*(\d+)?\s*[\"″]?"
     simple = rf"^{NUM}\s*[\"″]\s*=\s*(\d+)\s*['′](?:\s*[-\s]?\s*(\d+)\s*[\"″]?)?"
     metric = r"^1\s*:\s*(\d+)"
     feet = lambda p, i: _n(s, p, i) * 12.0 + F.coalesce(_n(s, p, i + 1), F.lit(0.0))
     st = lambda v, u: F.struct(v.alias("value"), F.lit(u).alias("unit"))
-    return (F.when(s.rlike(frac), st(feet(frac, 3) / (_n(s, frac, 1) / _n(s, frac, 2)) / dpi, "inches"))
-            .when(s.rlike(simple), st(feet(simple, 2) / _n(s, simple, 1) / dpi, "inches"))
-            .when(s.rlike(metric), st(_n(s, metric, 1) * 25.4 / dpi, "mm")))
+    return (F.when(s.rlike(frac), st(F.try_divide(F.try_divide(feet(frac, 3), F.try_divide(_n(s, frac, 1), _n(s, frac, 2))), dpi), "inches"))
+            .when(s.rlike(simple), st(F.try_divide(F.try_divide(feet(simple, 2), _n(s, simple, 1)), dpi), "inches"))
+            .when(s.rlike(metric), st(F.try_divide(_n(s, metric, 1) * 25.4, dpi), "mm")))
 
 
 # fixed values: sheet sizes in inches, in matching order

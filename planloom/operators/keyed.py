@@ -20,14 +20,16 @@ def upsert(table: DataFrame, batch: DataFrame, keys: list[str], version: str = "
     """Insert or overwrite by key; a row that comes in again is live again (``clear`` resets its columns)."""
     for col, value in (clear or {}).items():
         batch = batch.withColumn(col, F.lit(value).cast(table.schema[col].dataType))
-    both = table.select(*table.columns, F.lit(0).alias("_new")).unionByName(
-        batch.select(*table.columns, F.lit(1).alias("_new")))
-    return latest(both, keys, ["_new", version]).select(*table.columns)
+    new = latest(batch.select(*table.columns), keys, [version])
+    # only keys of the stored table meet the batch; its rows are not rebuilt
+    return table.join(new.select(*keys), keys, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
 
 
 def insert_ignore(table: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``batch`` whose key is new are added; existing rows win. The batch holds one row per key."""
-    return table.unionByName(batch.join(table.select(*keys), keys, "left_anti").select(*table.columns))
+    """Rows of ``batch`` whose key is new are added; existing rows win. A key that the batch repeats is added once, the first by its JSON form."""
+    row = F.struct(*[F.col(c) for c in table.columns])
+    once = batch.groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("_r")).select("_r.*")
+    return table.unionByName(once.join(table.select(*keys), keys, "left_anti").select(*table.columns))
 
 
 def soft_delete(table: DataFrame, ids: DataFrame, key: str, now: Column) -> DataFrame:
@@ -63,25 +65,26 @@ def staleness(table: DataFrame, keys: list[str], ts: str, now: Column, max_age_s
         "stale", F.col("age_seconds") > max_age_seconds)
 
 
-def set_status(table: DataFrame, updates: DataFrame, key: str = "id", status: str = "status") -> DataFrame:
-    """Copy-on-write status change; ``updates`` holds (key, new status)."""
-    new = updates.select(key, F.col(status).alias("_s"))
+def set_status(table: DataFrame, updates: DataFrame, key: str = "id", status: str = "status", order: str | None = None) -> DataFrame:
+    """Copy-on-write status change; ``updates`` holds (key, new status). Of several for one key the last by ``order`` counts,
+    or the largest status if there is no order."""
+    new = updates.groupBy(key).agg(F.max_by(status, order or status).alias("_s"))
     return table.join(new, key, "left").withColumn(status, F.coalesce("_s", status)).select(*table.columns)
 
 
 def apply_corrections(entities: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add, remove, modify or replace entities by handle.
 
-    ``corrections``: (correction_id, action, handle, and the entity's value columns, null = unchanged); at most
-    one correction per handle. Returns the new entity table and one result row per correction: a remove or
+    ``corrections``: (correction_id, action, handle, and the entity's value columns, null = unchanged). Several
+    changes of one handle apply in the order of correction_id, column by column; a removed or replaced entity takes none. Returns the new entity table and one result row per correction: a remove or
     modify without a known handle fails, a replace always creates its new row.
     """
     values = [c for c in entities.columns if c != "handle"]
     known = corrections.join(entities.select("handle", F.lit(True).alias("_k")), "handle", "left")
     known = known.withColumn("success", F.col("action").isin("add", "replace") | F.coalesce("_k", F.lit(False)))
     drop = known.where(F.col("success") & F.col("action").isin("remove", "replace")).select("handle")
-    change = known.where(F.col("success") & (F.col("action") == "modify")).select(
-        "handle", *[F.col(c).alias(f"_n_{c}") for c in values])
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("correction_id")))
+    change = known.where(F.col("success") & (F.col("action") == "modify")).groupBy("handle").agg(*[last(c).alias(f"_n_{c}") for c in values])
     fresh = known.where(F.col("action").isin("add", "replace")).select(
         F.concat(F.lit("c"), F.col("correction_id")).alias("handle"), *values)
     kept = entities.join(drop, "handle", "left_anti").join(change, "handle", "left").select(

@@ -108,7 +108,7 @@ def box_level(box: Sequence[str], row: Column | None = None, finest: int = 0) ->
 
 def _finest(margin: float) -> int:
     """Cells are never much smaller than the margin, so a probe covers a bounded number of cells per level."""
-    return max(0, math.ceil(math.log2(margin))) if margin > 0 else 0
+    return max(-30, math.ceil(math.log2(margin))) if margin > 0 else 0
 
 
 def boxes_meet(a: Column, b: Column, abox: Sequence[str], bbox: Sequence[str], margin: float = 0.0) -> Column:

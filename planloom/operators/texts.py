@@ -175,13 +175,16 @@ DRAWING_TYPES = {
                    "horn strobe"],
     "fire_protection": ["fire protection", "sprinkler", "fp plan", "fp-", "fp1", "fp2", "standpipe", "fire pump", "sprinkler head"],
     "single_line": ["single line", "single-line", "one line", "one-line", "riser diagram", "power riser"],
+    "riser_diagram": ["riser", "vertical diagram", "stack diagram"],
+    "mep_plan": ["mep", "m/e/p", "combined"],
+    "detail": ["detail", "section", "elevation", "typ"],
+    "schedule": ["schedule", "equipment list", "fixture list", "door schedule", "room schedule", "panel schedule"],
+    "legend": ["legend", "symbols", "abbreviations", "notes"],
+    "site_plan": ["site plan", "civil", "grading", "survey", "c-", "c1", "c100"],
+    "structural": ["structural", "framing", "foundation", "s-", "s1", "s100", "s200"],
 }
 
 
-def _winner(scored: Column) -> Column:
-    return F.array_max(scored)
-
-
 def classify_documents(docs: DataFrame, text: str = "text", table: dict[str, list[str]] | None = None) -> DataFrame:
     """Drawing type with the highest sum of matched word lengths; confidence min(0.8, score / 50)."""
     t = {k: [(w, len(w)) for w in v] for k, v in (table or DRAWING_TYPES).items()}

@@ -21,7 +21,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1.0 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """1 for a vector of zeros, which has no direction."""
+    return 1.0 - F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
 def vector_topk(df: DataFrame, query: DataFrame, k: int, where: Column | None = None, vec: str = "embedding",
@@ -42,7 +43,7 @@ def _scored(df: DataFrame, q: list[float], where: Column | None, vec: str, max_d
         df = df.where(where)
     norm = float(np.sqrt(np.dot(q, q)))
     lit = F.array(*[F.lit(float(v)) for v in q])
-    d = 1.0 - dot(F.col(vec), lit) / (F.sqrt(dot(F.col(vec), F.col(vec))) * norm)
+    d = 1.0 - F.coalesce(F.try_divide(dot(F.col(vec), lit), F.sqrt(dot(F.col(vec), F.col(vec))) * norm), F.lit(0.0))
     out = df.where(F.col(vec).isNotNull()).withColumn("distance", d)
     return out.where(F.col("distance") < max_distance) if max_distance is not None else out
 

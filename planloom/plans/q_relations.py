@@ -23,10 +23,10 @@ PAIR_BOX = """SELECT p.project_id, p.id AS from_id, q.id AS to_id, 'intersects'
  WHERE NOT p.deleted AND NOT q.deleted AND p.min_x<=q.max_x AND p.max_x>=q.min_x AND p.min_y<=q.max_y AND p.max_y>=q.min_y"""
 PAIR_LAYER = """SELECT p.project_id, p.id AS from_id, q.id AS to_id, 'on_layer' AS relation_type, CAST(NULL AS DOUBLE) AS distance
  FROM elements p JOIN elements q ON p.project_id=q.project_id AND p.layer=q.layer AND p.id<q.id
- JOIN (SELECT project_id, layer FROM elements WHERE NOT deleted GROUP BY project_id, layer HAVING count(*)<=15) c
+ JOIN (SELECT project_id, layer FROM elements WHERE NOT deleted GROUP BY project_id, layer HAVING count(*)<=100) c
  ON c.project_id=p.project_id AND c.layer=p.layer WHERE NOT p.deleted AND NOT q.deleted"""
 ALL = f"({PAIR_NEAR}) UNION ALL ({PAIR_BOX}) UNION ALL ({PAIR_LAYER})"
-RADIUS, LAYER_LIMIT = 2.0, 15
+RADIUS, LAYER_LIMIT = 2.0, 100
 
 
 @query("relationship_stats", "J2 A1 J9", ctes("elements") + f""", e AS ({ALL})

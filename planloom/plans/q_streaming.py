@@ -94,7 +94,7 @@ def _(t):
 @query("dedup_events", "P6", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
     e = stream(t, "events").select("user_id", "event_type", "ts")
-    return J.run_append(J.dedup_events(e, ["user_id", "event_type"], "60 days"), "dedup")[0].select("user_id", "event_type").distinct()
+    return J.run_append(J.dedup_events(e, ["user_id", "event_type"], "60 days"), "dedup")[0].select("user_id", "event_type")
 
 
 @query("late_rows", "P7", """WITH m AS (SELECT min(ts)+(max(ts)-min(ts))/2 AS mid, date_trunc('millisecond', max(ts)) AS hi FROM events)
@@ -107,9 +107,10 @@ def _(t):
     mid = lo + (hi - lo) // 2
     us, cut = F.unix_micros("ts"), mid + (hi - mid) // 2
     root = f"{Stage(t.spark, 'late').root}/in"
+    n = t.spark.sparkContext.defaultParallelism
     for part in (us >= cut, (us >= mid) & (us < cut), us < mid):
-        e.where(part).coalesce(1).write.mode("append").parquet(root)
-    s = J.file_stream(t.spark, root, e.schema, files_per_trigger=1)
+        e.where(part).repartition(n).write.mode("append").parquet(root)  # n files each, and n files a batch
+    s = J.file_stream(t.spark, root, e.schema, files_per_trigger=n)
     out, progress = J.run_append(J.dedup_events(s, ["event_id"], "10 minutes"), "late")
     return out.agg(F.lit(J.late_rows(progress)).cast("long").alias("late"), F.count(F.lit(1)).alias("kept"))
 

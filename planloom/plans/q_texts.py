@@ -126,11 +126,6 @@ def score_sql(text, table, weight):
     return {k: " + ".join(f"(CASE WHEN contains({text},{q(w)}) THEN {weight(w)} ELSE 0 END)" for w in ws) for k, ws in table.items()}
 
 
-def best_sql(scores):
-    top = f"greatest({','.join(scores)})"
-    return top
-
-
 _dt = score_sql("lt", X.DRAWING_TYPES, len)
 _dt_cols = ", ".join(f"{v} AS s_{k}" for k, v in _dt.items())
 _dt_top = "greatest(" + ",".join(f"s_{k}" for k in _dt) + ")"
@@ -202,9 +197,9 @@ GROUND = """e AS (SELECT p_partkey AS id, p_partkey%7 AS project_id, ['valve','d
 g AS (SELECT *, CASE WHEN k='valve' AND project_id=1 AND s='gate' THEN 'project' WHEN k='diffuser' AND project_id=2 THEN 'project' WHEN k='valve' THEN 'company'
  WHEN k='outlet' AND s='duplex' THEN 'company' WHEN k='pipe' THEN 'file' WHEN k='smoke_detector' AND s='ball' THEN 'file' ELSE 'default' END AS source FROM e),
 r AS (SELECT id, source, CASE source WHEN 'project' THEN CASE k WHEN 'valve' THEN 'PRJ-V' ELSE 'PRJ-D' END WHEN 'company' THEN CASE k WHEN 'valve' THEN 'CO-VALV' ELSE 'CO-OUT' END
- WHEN 'file' THEN CASE k WHEN 'pipe' THEN 'F-PIPE' ELSE 'F-SMK' END ELSE CASE k WHEN 'diffuser' THEN 'M-HVAC-DIFF' WHEN 'outlet' THEN 'E-POWR-OUTL' WHEN 'smoke_detector' THEN 'F-ALRM' ELSE '0' END END AS layer,
+ WHEN 'file' THEN CASE k WHEN 'pipe' THEN 'F-PIPE' ELSE 'F-SMK' END ELSE CASE k WHEN 'diffuser' THEN 'M-HVAC-DIFF' WHEN 'outlet' THEN 'E-POWR-OUTL' WHEN 'smoke_detector' THEN 'F-ALRM-DETC' ELSE '0' END END AS layer,
  CASE source WHEN 'project' THEN CASE k WHEN 'valve' THEN 'PV1' END WHEN 'company' THEN CASE k WHEN 'valve' THEN 'CV' ELSE 'CO1' END WHEN 'file' THEN CASE k WHEN 'smoke_detector' THEN 'FS' END
- ELSE CASE WHEN k='diffuser' THEN CASE WHEN s='supply_square' THEN 'M-DIFF-SQ-S' ELSE 'M-DIFF-GEN' END WHEN k='outlet' THEN 'E-OUTL-GEN' END END AS block FROM g)"""
+ ELSE CASE k WHEN 'diffuser' THEN 'M-DIFF' WHEN 'outlet' THEN 'E-OUTL' WHEN 'smoke_detector' THEN 'F-DETC-SMOK' END END AS block FROM g)"""
 
 
 @query("standards_lookup", "J26 J27 T14", f"WITH {GROUND} SELECT * FROM r")

@@ -51,10 +51,10 @@ def _(t):
     return P.neighborhood(t.edges, top(t), 4)[1].select("a", "b")
 
 
-@query("trace_all", "G3", EDG + f", {bfs(TOP, 100)} SELECT node, hop FROM d")
+@query("trace_all", "G3", EDG + f", {bfs(TOP, 1 << 30)} SELECT node, hop FROM d")
 def _(t):
     """Whole reach of the busiest node; the loop ends when no new node is found."""
-    return G.levels(G.Arcs(G.adjacency(t.edges)), top(t), 100).select("node", "hop")
+    return G.levels(G.Arcs(G.adjacency(t.edges)), top(t), 1 << 30).select("node", "hop")
 
 
 @query("shortest_path", "G4", EDG + f", {bfs(TOP, 40)} SELECT hop+1 AS n_nodes FROM d WHERE node=(SELECT max(b) FROM edges)")
@@ -110,12 +110,12 @@ def _(t):
     return P.branch_edges(t.edges)
 
 
-@query("branches", "G10", EDG + f""", dg AS (SELECT src, count(*) AS deg FROM arcs GROUP BY src), rt AS ({TOP}), {bfs('SELECT node FROM rt', 12)},
+@query("branches", "G10", EDG + f""", dg AS (SELECT src, count(*) AS deg FROM arcs GROUP BY src), rt AS ({TOP}), {bfs('SELECT node FROM rt', 1 << 30)},
 par AS (SELECT d.node, d.hop, min(p.node) AS parent FROM d JOIN arcs ON arcs.dst=d.node JOIN d p ON p.node=arcs.src AND p.hop=d.hop-1 GROUP BY d.node, d.hop),
 t(node, hop, branch, level) AS (SELECT node, 0, node, 0 FROM rt UNION ALL SELECT par.node, par.hop, CASE WHEN dg.deg>=3 AND par.hop>1 THEN par.node ELSE t.branch END, CASE WHEN dg.deg>=3 AND par.hop>1 THEN t.level+1 ELSE t.level END FROM t JOIN par ON par.parent=t.node JOIN dg ON dg.src=t.node)
 SELECT node, hop, branch, level FROM t""")
 def _(t):
-    return P.branches(t.edges, top(t).select("node"), 12).select("node", "hop", "branch", "level")
+    return P.branches(t.edges, top(t).select("node"), 1 << 30).select("node", "hop", "branch", "level")
 
 
 ALLN = "an AS (SELECT * FROM ty), dg AS (SELECT an.node, node_type, count(e.node) AS degree FROM an LEFT JOIN (SELECT a AS node FROM edges UNION ALL SELECT b FROM edges) e ON e.node=an.node GROUP BY ALL)"

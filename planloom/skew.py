@@ -87,6 +87,7 @@ def join_all(many: DataFrame, few: DataFrame, max_rows: int = 10_000, spread: in
     """
     small = few.limit(max_rows + 1).count() <= max_rows
     n = 8 if small else spread
-    left = many.withColumn("_j", F.pmod(F.xxhash64(*many.columns), F.lit(n)))
+    hashable = [f.name for f in many.schema if "map<" not in f.dataType.simpleString()] or [F.lit(0)]
+    left = many.withColumn("_j", F.pmod(F.xxhash64(*hashable), F.lit(n)))
     right = few.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     return left.join(F.broadcast(right) if small else right, "_j").drop("_j")

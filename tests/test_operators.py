@@ -215,3 +215,47 @@ def test_readers(spark, tmp_path):
     out = E.explode_analysis(d, naming.layer_for, naming.text_layer_for, naming.symbol_layer_for).orderBy("pos").collect()
     assert (out[0]["entity_kind"], out[0]["layer"], out[0]["x2"], out[0]["y1"], out[0]["linetype"]) == ("line", "A-WALL", 5.0, 50.0, "HIDDEN")
     assert (out[1]["entity_kind"], out[1]["layer"], out[1]["text"]) == ("mtext", "G-ANNO-NOTE", "A")
+
+
+def test_standards_by_hand(spark):
+    from planloom.operators import standards
+
+    e = spark.createDataFrame([(1, 0, "Smoke Detector", "photoelectric", None), (2, 0, "speaker", None, None), (3, 0, "valve", "gate", "2in"), (4, 0, "sprinkler", "upright", None),
+                               (5, 0, "camera", "ptz", None), (6, 0, "valve", None, None)], "id long, project_id long, element_type string, subtype string, size string")
+    std = spark.createDataFrame([("plumbing", "valve", None, "X", "X"), ("plumbing", "valve", "default", "B", "B2"), ("plumbing", "valve", "default", "B", "B1")],
+                                "discipline string, element_type string, subtype string, layer string, block string")
+    none = std.limit(0)
+    out = {r["id"]: r for r in standards.standards_lookup(e, none, none, std).collect()}
+    assert (out[1]["layer"], out[1]["block"], out[1]["attributes"]) == ("F-ALRM-DETC", "F-DETC-SMOK-P", {"ZONE": "", "ADDRESS": "", "TAG": ""})
+    assert (out[2]["system"], out[2]["layer"], out[2]["color"], out[2]["block"]) == ("audio_visual", "T-AUDV-AUDV", 6, "T-AUDV-SPKR")
+    assert (out[3]["layer"], out[3]["block"], out[3]["attributes"]["SIZE"], out[3]["source"]) == ("B", "B1", "2in", "file")
+    assert (out[4]["layer"], out[4]["block"], out[5]["layer"], out[5]["block"]) == ("F-SPKL-SPKL", "F-SPKL-UPR", "T-SECR-SECU", "T-SECU-CAM-PTZ")
+    assert standards.coverage_stats(standards.standards_lookup(e.limit(0), none, none, std)).first()["coverage_percent"] == 0
+
+
+def test_drawing_types_by_hand(spark):
+    sheets = {"DOOR SCHEDULE": "schedule", "structural framing": "structural", "legend symbols": "legend", "MEP combined": "mep_plan", "civil grading": "site_plan",
+              "vertical diagram of stacks": "riser_diagram", "typ. wall detail": "detail", "hello": "unknown"}
+    df = spark.createDataFrame([(k, v) for k, v in sheets.items()], "text string, want string")
+    assert all(r["drawing_type"] == r["want"] for r in texts.classify_documents(df).collect())
+
+
+def test_action_words_by_hand(spark):
+    asked = {"route the duct to room 5": "route", "tally the valves": "schedule", "is there a clash or a collision": "coordinate", "audit the report": "analyze", "hm": "query"}
+    df = spark.createDataFrame([(k, v) for k, v in asked.items()], "text string, want string")
+    assert all(r["action"] == r["want"] for r in texts.classify_intent(df, PATTERNS, ACTIONS, APPS).collect())
+
+
+def test_repeated_keys_and_zero_vectors(spark):
+    table = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id long, status string, version int")
+    batch = spark.createDataFrame([(2, "c", 2), (3, "d", 2), (3, "e", 3)], "id long, status string, version int")
+    assert rows(keyed.insert_ignore(table, batch, ["id"])) == [(1, "a", 1), (2, "b", 1), (3, "d", 2)]
+    assert rows(keyed.upsert(table, batch, ["id"])) == [(1, "a", 1), (2, "c", 2), (3, "e", 3)]
+    assert rows(keyed.set_status(table, spark.createDataFrame([(1, "x"), (1, "y")], "id long, status string"))) == [(1, "y", 1), (2, "b", 1)]
+    entities = spark.createDataFrame([("h", 1, 1)], "handle string, x int, y int")
+    fixes = spark.createDataFrame([(1, "modify", "h", 5, 5), (2, "modify", "h", 6, None)], "correction_id int, action string, handle string, x int, y int")
+    assert rows(keyed.apply_corrections(entities, fixes)[0]) == [("h", 6, 5)]
+    vectors = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "id long, embedding array<double>")
+    query = spark.createDataFrame([([1.0, 0.0],)], "qvec array<double>")
+    assert [(r["id"], r["distance"]) for r in vector.vector_topk(vectors, query, 2).collect()] == [(2, 0.0), (1, 1.0)]
+    assert spark.range(1).select(T.scale_per_pixel(F.lit("1/0\" = 1'-0\""), F.lit(300.0))["value"].alias("v")).first()["v"] is None
