@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import partitions
+from planloom.llm.common import numbered, partitions, salted_join
 from planloom.staging import Stage
 
 ROLES = ("system", "user", "assistant")
@@ -103,7 +103,12 @@ def multiply(blocks: DataFrame) -> DataFrame:
             out = [product(np.array(items, np.int64).reshape(-1, 4, 4)).ravel().tolist() for items in batch.column("items").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("block"), pa.array(out, pa.list_(pa.int64()))], names=["conv", "block", "matrix"])
 
-    return blocks.select("conv", "block", F.flatten(F.transform(F.array_sort("items"), lambda r: r["matrix"])).alias("items")).mapInArrow(run, f"conv string, block long, matrix {MATS}")
+    return ordered_items(blocks).select("conv", "block", F.col("mats").alias("items")).mapInArrow(run, f"conv string, block long, matrix {MATS}")
+
+
+def ordered_items(blocks: DataFrame) -> DataFrame:
+    flat = blocks.withColumn("items", F.array_sort("items"))
+    return flat.withColumns({"ats": F.transform("items", lambda r: r["at"]), "mats": F.flatten(F.transform("items", lambda r: r["matrix"]))}).drop("items")
 
 
 def states(blocks: DataFrame) -> DataFrame:
@@ -113,34 +118,49 @@ def states(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for conv, start, after, ats, mats in zip(batch["conv"], batch["start"], batch["after"], batch["ats"], batch["mats"]):
-                steps = np.array([x for m in mats for x in m], np.int64).reshape(-1, 4, 4)
                 state = int(start)
-                for at, (new, rest) in zip(ats, follow(steps, state, np.array(after, np.int64))):
+                for at, (new, rest) in zip(ats, follow(np.array(mats, np.int64).reshape(-1, 4, 4), state, np.array(after, np.int64))):
                     rows.append((conv, int(at), state, new, rest.tolist()))
                     state = new
             yield pd.DataFrame(rows, columns=["conv", "at", "before", "state", "remain"])
 
-    flat = blocks.withColumn("items", F.array_sort("items"))
-    flat = flat.select("conv", "start", "after", F.transform("items", lambda r: r["at"]).alias("ats"), F.transform("items", lambda r: r["matrix"]).alias("mats"))
-    return flat.mapInPandas(run, f"conv string, at long, before int, state int, remain {MATS}")
+    return ordered_items(blocks).select("conv", "start", "after", "ats", "mats").mapInPandas(run, f"conv string, at long, before int, state int, remain {MATS}")
+
+
+def ways(blocks: DataFrame) -> DataFrame:
+    """(conv, at, matrix) of blocks (conv, block, after, items): cost 0 from each state to the one that its path ends in."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for conv, block, after, mats in zip(batch["conv"], batch["block"], batch["after"], batch["mats"]):
+                steps, way = np.array(mats, np.int64).reshape(-1, 4, 4), np.full((4, 4), FAR, np.int64)
+                for s in range(4):
+                    way[s, follow(steps, s, np.array(after, np.int64))[-1][0]] = 0
+                rows.append((conv, int(block), way.ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["conv", "at", "matrix"])
+
+    return ordered_items(blocks).select("conv", "block", "after", "mats").mapInPandas(run, f"conv string, at long, matrix {MATS}")
 
 
 def solve(items: DataFrame, stage: Stage) -> DataFrame:
     """(conv, at, before, state, remain) of staged items (conv, at, matrix), ``at`` ascending within a conversation.
 
-    Items whose numbers agree but for the last ten bits are one block: 1024 at most. While a conversation has several blocks,
-    the blocks' products are solved the same way first."""
+    Items whose numbers agree but for the last ten bits are one block: 1024 at most. Where a conversation has several blocks,
+    their products are solved the same way for the costs that remain after each block, and then the ways that the blocks'
+    paths take for the state that each begins in. So the path does not depend on where blocks begin."""
     blocks = stage.write(items.groupBy("conv", F.shiftright("at", BLOCK_BITS).alias("block")).agg(F.collect_list(F.struct("at", "matrix")).alias("items")))
-    several = blocks.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv")
+    several = stage.write(blocks.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv"))
     end = F.array(*[F.lit(int(x)).cast("long") for x in END])
-    whole = lambda df: df.withColumns({"start": F.lit(START), "after": end})
     if several.isEmpty():
-        return states(whole(blocks))
+        return states(blocks.withColumns({"start": F.lit(START), "after": end}))
     # only what belongs to a conversation of several blocks takes part in the next level
-    several = stage.write(several)
-    long = stage.write(multiply(blocks.join(several, "conv", "left_semi")).withColumnRenamed("block", "at"))
-    above = solve(long, stage).select("conv", F.col("at").alias("block"), F.col("before").alias("start"), F.col("remain").alias("after"))
-    return states(blocks.join(stage.write(above), ["conv", "block"], "left").withColumns({"start": F.coalesce("start", F.lit(START)), "after": F.coalesce("after", end)}))
+    split = stage.write(blocks.join(several, "conv", "left_semi"))
+    remain = solve(stage.write(multiply(split).withColumnRenamed("block", "at")), stage).select("conv", F.col("at").alias("block"), F.col("remain").alias("after"))
+    split = stage.write(split.join(remain, ["conv", "block"]))
+    begins = solve(stage.write(ways(split)), stage).select("conv", F.col("at").alias("block"), F.col("before").alias("start"))
+    known = split.select("conv", "block", "after").join(begins, ["conv", "block"])
+    return states(blocks.join(stage.write(known), ["conv", "block"], "left").withColumns({"start": F.coalesce("start", F.lit(START)), "after": F.coalesce("after", end)}))
 
 
 def repair(messages: DataFrame) -> DataFrame:
@@ -162,8 +182,11 @@ def repair(messages: DataFrame) -> DataFrame:
     rows = messages.select("conv_id", "turn", "role", "text").repartitionByRange(partitions(messages.sparkSession), *order).sortWithinPartitions(*order)
     rows = stage.write(rows.withColumns({"position": F.monotonically_increasing_id(), "conv": conv, "code": F.coalesce(known, F.lit(0))}))
     tables = F.array(*[F.array(*[F.lit(int(x)).cast("long") for x in STEP[r].ravel()]) for r in range(4)])
-    items = rows.select("conv", F.col("position").alias("at"), tables[F.col("code")].alias("matrix"))
-    path = solve(items, stage).select(F.col("at").alias("position"), "before", "state", "remain")
+    # messages are counted within their conversation, so only one of over 1024 has several blocks
+    counted = stage.write(numbered(rows.select("position", "conv", "code"), ["position"], stage))
+    counted = stage.write(salted_join(counted, counted.groupBy("conv").agg(F.min("base").alias("first")), "conv").withColumn("at", F.col("base") - F.col("first")))
+    path = stage.write(solve(stage.write(counted.select("conv", "at", tables[F.col("code")].alias("matrix"))), stage))
+    path = counted.select("conv", "at", "position").join(path, ["conv", "at"]).select("position", "before", "state")
     ends = rows.groupBy("conv").agg(F.max("position").alias("end"))
     marks = stage.write(ends.select(F.col("end").alias("position"), F.lit(True).alias("last")))
     out = rows.join(path, "position").join(marks, "position", "left").withColumn("last", F.coalesce("last", F.lit(False)))
