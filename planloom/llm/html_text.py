@@ -245,8 +245,8 @@ def extract(df: DataFrame, html: str = "html") -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h or "") for h in batch.column("_html").to_pylist()]
+            texts = [main_text(h or "") for h in batch.column("_extract_html").to_pylist()]
             columns = [batch.column(c) for c in kept] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "text", "n_chars"])
 
-    return df.select(*kept, F.col(html).alias("_html")).mapInArrow(parse, schema)
+    return df.select(*kept, F.col(html).alias("_extract_html")).mapInArrow(parse, schema)

@@ -166,6 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Model:
     return Model({f: float(w) for f, w in zip(names, weights)}, float(bias))
 
 
+def noisy_or(sentences: list[tuple[int, int, float]]) -> float:
+    return 1 - float(np.exp(sum(np.log1p(-min(p, 1 - 1e-12)) for _, _, p in sentences)))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the text, with ``score``, ``predicted`` (1 from ``threshold`` on) and ``offending``: start, end (code points) and
     probability of the sentences that reach the threshold themselves. Null and empty texts score 0; rows are kept as they
@@ -178,16 +182,21 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id: s
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = model.scorer()
         for batch in batches:
-            found = [find(t or "") for t in batch.column("_text").to_pylist()]
-            scores = [1 - float(np.exp(sum(np.log1p(-min(p, 1 - 1e-12)) for _, _, p in own))) for own in found]
+            found = [find(t or "") for t in batch.column("_score_text").to_pylist()]
+            scores = [noisy_or(own) for own in found]
             where = [[{"start": s, "end": e, "probability": p} for s, e, p in own if p >= threshold] for own in found]
             columns = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(where, span)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=[*kept, "score", "predicted", "offending"])
 
-    return docs.select(*kept, F.col(text).alias("_text")).mapInArrow(apply, schema)
+    return docs.select(*kept, F.col(text).alias("_score_text")).mapInArrow(apply, schema)
 
 
 def clean_only(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that are not predicted toxic, with their columns."""
-    kept = score(docs.withColumn("_whole", F.col("text")), model, threshold).where("predicted = 0")
-    return kept.withColumnRenamed("_whole", "text").select(*docs.columns)
+    """The documents whose score is below ``threshold``, with their columns. Null and empty texts stay."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = model.scorer()
+        for batch in batches:
+            yield batch.filter(pa.array([noisy_or(find(t or "")) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -134,9 +134,9 @@ def judge(df: DataFrame, rules: Iterable[tuple[str, str]], url: str = "url", def
     udf = F.pandas_udf(first_rule, "int")
     host, path = split_url(F.col(url))
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    out = df.select(*kept, host.alias("host"), path.alias("path")).withColumn("_hit", udf(F.concat(F.lit("."), "host", "path")))
-    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_hit") + 1)
+    out = df.select(*kept, host.alias("host"), path.alias("path")).withColumn("_judge_hit", udf(F.concat(F.lit("."), "host", "path")))
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_judge_hit") + 1)
     if not ranked:
-        return out.drop("_hit").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    found = F.col("_hit") >= 0
-    return out.withColumns({"rule": F.when(found, pick(names)), "verdict": F.when(found, pick([v for v, _ in ranked])).otherwise(default)}).drop("_hit")
+        return out.drop("_judge_hit").withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    found = F.col("_judge_hit") >= 0
+    return out.withColumns({"rule": F.when(found, pick(names)), "verdict": F.when(found, pick([v for v, _ in ranked])).otherwise(default)}).drop("_judge_hit")
