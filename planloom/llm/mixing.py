@@ -13,7 +13,7 @@ from planloom.staging import Stage
 
 MARGINS = ("source", "lang", "topic")
 #: Target share of a value: its share of all tokens to this power, scaled to 1. Below 1, small values gain.
-POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+POWERS = {"source": 0.7, "lang": 0.85, "topic": 0.95}
 #: Rounds stop when no scaling factor is farther than this from 1.
 TOLERANCE = 1e-6
 #: Where no weights fit all targets (a value that occurs only with another), rounds stop here; the topic marginal is exact.
@@ -79,10 +79,12 @@ def calibrated(docs: DataFrame, topic: Column | None = None, powers: dict[str, f
 
     The targets are given as (value, share) tables by marginal, or follow from ``powers``. Probabilities are the weights over
     the largest one, so expected tokens are in the target proportions exactly. Whether a document is kept follows from its
-    doc_id and the seed: repeated rows share it. An empty table gives an empty table; extra columns are kept.
+    doc_id and the seed: repeated rows share it. Empty and null texts have no tokens and do not weigh. An empty table gives an
+    empty table; extra columns are kept, except for those of the names above.
     """
     stage = Stage(docs.sparkSession, "mixing")
-    marked = cells_of(docs, surface_topic() if topic is None else topic)
+    added = {"_source", "_lang", "_topic", "_tokens", "_p", "_kept"}
+    marked = cells_of(docs.select(*[c for c in docs.columns if c not in added]), surface_topic() if topic is None else topic)
     keys = [f"_{m}" for m in MARGINS]
     cells = stage.write(marked.groupBy(*keys).agg(F.sum(n_tokens()).alias("tokens")))
     powers = POWERS if powers is None else powers
@@ -96,5 +98,6 @@ def calibrated(docs: DataFrame, topic: Column | None = None, powers: dict[str, f
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
-    """The kept documents, with the columns of ``docs``."""
-    return calibrated(docs, **how).where("_kept").select(*docs.columns)
+    """The kept documents, with the columns of ``docs``, whatever their names."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")
+    return calibrated(row, **how).where("_kept").select("row.*")
