@@ -140,7 +140,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_id:
 
     lowest = F.lit(-(1 << 62)).cast("long")
     head = rows.where("block = 0").select("block", "rows")
-    first = queries.groupBy("group").agg(grouped(lowest)).withColumn("block", F.lit(0).cast("long")).join(head, "block")
+    first = queries.groupBy("group").agg(grouped(lowest)).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(0).cast("long"))).alias("block")).join(head, "block")
     first = stage.write(best(score_pairs(first.repartition("group"), axes, k), k).drop("rank"))
     least = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("kth")).withColumnRenamed("query_id", "vec_id")
     asked = queries.join(least, "vec_id", "left").withColumn("least", F.coalesce("kth", lowest))
