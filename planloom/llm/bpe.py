@@ -1,10 +1,10 @@
 """Operator 6, byte-level BPE through a table of distinct words.
 
-1. Documents are cut into words by the tokenizer's own pattern; a few MB of documents form a chunk, which keeps its distinct
-   words once and the documents as positions in that list. The chunks are one bucketed table in the shared folder.
-2. The distinct words of all chunks are encoded once each.
-3. The ids join back on (chunk, position) and every chunk strings its documents together. The chunks' table is bucketed by
-   chunk, so only the words move.
+1. Documents are cut into words by the tokenizer's own pattern; some MB of documents form a chunk, which keeps its distinct
+   words once and the documents as positions in that list. The chunks are one table in the shared folder, bucketed by chunk.
+2. The distinct words of all chunks are dealt out by a hash, so that equal words meet, and are encoded once each.
+3. The ids join back by chunk and position, and every chunk strings its documents together. Documents don't move for that;
+   the words do, packed by chunk and hash.
 
 Decoding is a join of ids with the pieces of the vocabulary. That table has one row for each id of the vocabulary file and no
 more, so it travels to every task; bytes that are not UTF-8 decode to U+FFFD as in the library.
@@ -31,7 +31,9 @@ from planloom.llm.common import partitions
 from planloom.staging import Stage
 
 #: Characters of documents in a chunk; a longer document is a chunk of its own.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 16_000_000
+#: Parts that words are dealt out to, for each shuffle partition; equal words are in one part.
+PARTS = 4
 #: The pattern of byte-level BPE (a fixed value), and the same for texts of the Latin blocks, where \w is letters and digits.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LATIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
@@ -99,106 +101,151 @@ def unpack(payload: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(payload), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-CHUNK = "chunk long, doc_ids array<long>, sizes binary, words binary, distinct array<string>"
+def pack_words(words: list[str]) -> tuple[bytes, bytes]:
+    return pack(np.fromiter(map(len, words), np.int64, len(words))), zlib.compress("".join(words).encode(), 1)
 
 
-def split_chunks(docs: DataFrame, vocab: Vocabulary, chunk_chars: int) -> DataFrame:
+def unpack_words(sizes: bytes, text: bytes) -> list[str]:
+    ends, whole = np.cumsum(unpack(sizes).astype(np.int64)).tolist(), zlib.decompress(text).decode()
+    return [whole[a:b] for a, b in zip([0, *ends], ends)]
+
+
+PACKED = pa.struct([("part", pa.int32()), ("sizes", pa.binary()), ("text", pa.binary())])
+CHUNK = [("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("words", pa.binary()), ("places", pa.binary()), ("distinct", pa.list_(PACKED))]
+
+
+def split_chunks(docs: DataFrame, vocab: Vocabulary, chunk_chars: int, parts: int) -> DataFrame:
+    """One row for each chunk: the documents' ids, numbers of words and words (as places by frequency), and the distinct
+    words in packs by part, with the place of each."""
     specials = list(vocab.specials)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, serial = Splitter(specials), itertools.count(TaskContext.get().partitionId() << 32)
 
-        def chunk(ids, sizes, codes, index):
-            numbers = np.fromiter(itertools.chain.from_iterable(codes), np.int64, sum(sizes))
-            rank = np.argsort(-np.bincount(numbers, minlength=len(index)), kind="stable")  # frequent words get small numbers
-            place = np.empty(len(index), np.int64)
-            place[rank] = np.arange(len(index))
-            words = list(index)
-            row = [[next(serial)], [ids], [pack(np.array(sizes, np.int64))], [pack(place[numbers])], [[words[k] for k in rank]]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds)], names=["chunk", "doc_ids", "sizes", "words", "distinct"])
-
-        fresh = lambda: ([], [], [], defaultdict(itertools.count().__next__), 0)
-        ids, sizes, codes, index, chars = fresh()
+        def chunk(ids, codes, index):
+            numbers, words = np.concatenate(codes), list(index)
+            place = np.empty(len(words), np.int64)
+            place[np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")] = np.arange(len(words))  # frequent words get small numbers
+            part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words), np.int64, len(words))
+            order = np.argsort(part, kind="stable")
+            cuts = np.flatnonzero(np.diff(part[order], prepend=-1)).tolist()
+            packs = []
+            for lo, hi in zip(cuts, [*cuts[1:], len(words)]):
+                sizes, text = pack_words([words[k] for k in order[lo:hi].tolist()])
+                packs.append({"part": int(part[order[lo]]), "sizes": sizes, "text": text})
+            row = [next(serial), ids, pack(np.fromiter(map(len, codes), np.int64, len(codes))), pack(place[numbers]), pack(place[order]), packs]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, (_, t) in zip(row, CHUNK)], names=[n for n, _ in CHUNK])
+
+        fresh = lambda: ([], [], defaultdict(itertools.count().__next__), 0)
+        ids, codes, index, chars = fresh()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = splitter(text)
                 ids.append(doc_id)
-                sizes.append(len(words))
                 codes.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
                 chars += len(text)
                 if chars >= chunk_chars:
-                    yield chunk(ids, sizes, codes, index)
-                    ids, sizes, codes, index, chars = fresh()
+                    yield chunk(ids, codes, index)
+                    ids, codes, index, chars = fresh()
         if ids:
-            yield chunk(ids, sizes, codes, index)
+            yield chunk(ids, codes, index)
 
-    return docs.mapInArrow(split, CHUNK)
+    packs = "array<struct<part:int,sizes:binary,text:binary>>"
+    return docs.mapInArrow(split, f"chunk long, doc_ids array<long>, sizes binary, words binary, places binary, distinct {packs}")
 
 
-def encode_words(places: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(chunk, at, ids) of (chunk, at, word): equal words meet in one task, one after the other, and are encoded once."""
+def encode_words(packs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(chunk, part, counts, ids) of packs of words (chunk, part, sizes, text). All packs of a part meet in one task, one
+    after the other, and a word that was encoded for one of them is not encoded again for the next."""
     text = vocab.text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, last = Vocabulary.encoder(text), {}
+        t, known, current = Vocabulary.encoder(text), {}, None
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            known = {w: last[w] for w in words[:1] if w in last}
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            known |= zip(new, (np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(new, add_special_tokens=False)))
-            last = {w: known[w] for w in words[-1:]} or last
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("at"), pa.array([known[w] for w in words], pa.binary())], names=["chunk", "at", "ids"])
-
-    sorted_words = places.repartition(partitions(places.sparkSession), "word").sortWithinPartitions("word")
-    return sorted_words.select("chunk", "at", "word").mapInArrow(encode, "chunk long, at int, ids binary")
-
-
-#: Words that are strung together at a time.
-PIECE = 1 << 20
-
-
-def string_together(chunks: DataFrame) -> DataFrame:
-    """(doc_id, ids) of chunks that have got the ids of their words."""
+            out = []
+            for part, sizes, packed in zip(*(batch.column(c).to_pylist() for c in ("part", "sizes", "text"))):
+                if part != current:
+                    known, current = {}, part
+                words = unpack_words(sizes, packed)
+                new = [w for w in words if w not in known]
+                known |= zip(new, (np.array(e.ids, "<u4") for e in t.encode_batch(new, add_special_tokens=False)))
+                found = [known[w] for w in words]
+                out.append((pack(np.fromiter(map(len, found), np.int64, len(found))), pack(np.concatenate(found))))
+            columns = [batch.column("chunk"), batch.column("part"), *(pa.array([r[k] for r in out], pa.binary()) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "counts", "ids"])
+
+    dealt = packs.repartition(partitions(packs.sparkSession), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(encode, "chunk long, part int, counts binary, ids binary")
+
+
+#: Words of a document that are strung together at a time, and bytes of ids that are handed on at a time.
+PIECE, HANDED = 1 << 20, 1 << 22
+
+
+def text_of(ids: np.ndarray, pieces: list[bytes]) -> str:
+    return b"".join(map(pieces.__getitem__, ids[ids < len(pieces)].tolist())).decode("utf-8", "replace")
+
+
+def string_together(chunks: DataFrame, pieces: list[bytes] | None = None) -> DataFrame:
+    """(doc_id, ids) of chunks that have got the ids of their words; with ``pieces`` also the ids' text, ``decoded``."""
+    names = ["doc_id", "ids"] + (["decoded"] if pieces else [])
+
+    def documents(row) -> Iterator[bytes]:
+        found = sorted(row["found"], key=lambda r: r["part"])
+        place = unpack(row["places"]).astype(np.int64)
+        lengths = np.concatenate([unpack(r["counts"]) for r in found] or [place]).astype(np.int64)
+        flat = np.concatenate([unpack(r["ids"]) for r in found] or [np.zeros(0, "<u4")])
+        counts, starts = np.empty_like(lengths), np.empty_like(lengths)
+        counts[place], starts[place] = lengths, np.cumsum(lengths) - lengths
+        sizes, words = unpack(row["sizes"]).astype(np.int64), unpack(row["words"])
+        for e, size in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
+            parts = []
+            for lo in range(e - size, e, PIECE):
+                own = words[lo : min(e, lo + PIECE)]
+                n = counts[own]
+                parts.append(flat[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes())
+            yield b"".join(parts)
+
+    def batch_of(doc_ids, ids):
+        columns = [pa.array(doc_ids, pa.int64()), pa.array(ids, pa.binary())]
+        if pieces:
+            columns.append(pa.array([text_of(np.frombuffer(x, "<u4"), pieces) for x in ids], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                found = batch.column("found")[k].values
-                ids = [b""] * len(found)
-                for at, own in zip(found.field("at").to_pylist(), found.field("ids").to_pylist()):
-                    ids[at] = own
-                flat = np.frombuffer(b"".join(ids), "<u4")
-                counts = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-                starts = np.cumsum(counts) - counts
-                sizes, words = unpack(batch.column("sizes")[k].as_py()).astype(np.int64), unpack(batch.column("words")[k].as_py())
-                doc_ids, out, end = batch.column("doc_ids")[k].values, [], np.cumsum(sizes)
-                for e, size in zip(end.tolist(), sizes.tolist()):
-                    parts = []
-                    for lo in range(e - size, e, PIECE):
-                        own = words[lo : min(e, lo + PIECE)]
-                        n = counts[own]
-                        parts.append(flat[np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].tobytes())
-                    out.append(b"".join(parts))
-                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(out, pa.binary())], names=["doc_id", "ids"])
-
-    return chunks.select("doc_ids", "sizes", "words", "found").mapInArrow(build, "doc_id long, ids binary")
-
-
-def encode(docs: DataFrame, vocab_path: str, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+                row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                doc_ids, out, size = [], [], 0
+                for doc_id, ids in zip(row["doc_ids"], documents(row)):
+                    doc_ids.append(doc_id)
+                    out.append(ids)
+                    size += len(ids)
+                    if size > HANDED:
+                        yield batch_of(doc_ids, out)
+                        doc_ids, out, size = [], [], 0
+                yield batch_of(doc_ids, out)
+
+    schema = "doc_id long, ids binary" + (", decoded string" if pieces else "")
+    return chunks.select("doc_ids", "sizes", "words", "places", "found").mapInArrow(build, schema)
+
+
+def encode(docs: DataFrame, vocab_path: str, doc_id: str = "doc_id", text: str = "text", chunk_chars: int = CHUNK_CHARS, decoded: bool = False) -> DataFrame:
     """(doc_id, ids): one row for each row of ``docs``, repeated ones too, with the ids of its whole text as 32-bit
-    little-endian numbers. Null texts count as empty and have no ids; other columns are not read."""
+    little-endian numbers. Null texts count as empty and have no ids; other columns are not read. With ``decoded`` the ids
+    are decoded again in the same task (see ``decode``)."""
     spark = docs.sparkSession
     vocab, stage, n = Vocabulary(vocab_path), Stage(spark, "bpe"), partitions(spark)
-    chunks = split_chunks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")), vocab, chunk_chars)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     name = f"bpe_chunks_{uuid.uuid4().hex}"
-    chunks.write.bucketBy(n, "chunk").option("path", f"{stage.root}/chunks").option("compression", "zstd").saveAsTable(name)
+    chunks = split_chunks(rows, vocab, chunk_chars, PARTS * n).write.bucketBy(n, "chunk").option("path", f"{stage.root}/chunks")
+    chunks.option("compression", "zstd").saveAsTable(name)
     chunks = spark.table(name)
-    places = chunks.select("chunk", F.posexplode("distinct").alias("at", "word"))
-    found = encode_words(places, vocab).groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("found"))  # the words of one chunk
-    joined = chunks.select("chunk", "doc_ids", "sizes", "words").join(found, "chunk", "left")
-    none = F.array().cast("array<struct<at:int,ids:binary>>")
-    return string_together(joined.withColumn("found", F.coalesce("found", none)))
+    packs = chunks.select("chunk", F.inline("distinct"))
+    found = encode_words(packs, vocab).groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "ids")).alias("found"))  # the packs of one chunk
+    joined = chunks.select("chunk", "doc_ids", "sizes", "words", "places").join(found, "chunk", "left")
+    none = F.array().cast("array<struct<part:int,counts:binary,ids:binary>>")
+    return string_together(joined.withColumn("found", F.coalesce("found", none)), vocab.pieces if decoded else None)
 
 
 def decode(encoded: DataFrame, vocab_path: str, ids: str = "ids") -> DataFrame:
@@ -208,16 +255,12 @@ def decode(encoded: DataFrame, vocab_path: str, ids: str = "ids") -> DataFrame:
 
     def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for own in batch.to_pylist():
-                numbers = np.frombuffer(own or b"", "<u4")
-                out.append(b"".join(map(pieces.__getitem__, numbers[numbers < len(pieces)].tolist())).decode("utf-8", "replace"))
-            yield pa.array(out, pa.string())
+            yield pa.array([text_of(np.frombuffer(own.as_py() or b"", "<u4"), pieces) for own in batch], pa.string())
 
     return encoded.withColumn("decoded", F.arrow_udf(join, "string")(F.col(ids)))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of ids and decoded text."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, n_tokens, the SHA-256 of ids and decoded text, and ``more`` columns."""
     return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                          F.sha2("decoded", 256).alias("decoded_sha256"))
+                          F.sha2("decoded", 256).alias("decoded_sha256"), *more)
