@@ -114,14 +114,14 @@ def incremental_edges(changed_elements: DataFrame, elements: DataFrame, edges: D
 # -- P4, P5, P6, P7, P8 ---------------------------------------------------------------------------------------------
 
 def fact_state(facts: DataFrame, sink: str) -> list[dict]:
-    """Latest fact per (project, type, key): keyed state of one row each, changed keys written per micro-batch.
+    """Newest fact per (project, type, key) of every micro-batch, appended to ``sink``; ``facts_now`` merges the batches on read.
 
-    Expiry is a column (``expires_at``): ``live_facts`` hides expired facts exactly at read time.
+    No state is kept between batches, so none has to expire: ``expires_at`` is a column, and ``live_facts`` hides expired
+    facts exactly at read time. A batch that runs again writes the same folder.
     """
-    row = F.struct("id", "confidence", "created_at", "expires_at", "value")
-    latest = facts.groupBy("project_id", "fact_type", "key").agg(F.max_by(row, F.struct("created_at", "id")).alias("f"))
-    out = latest.select("project_id", "fact_type", "key", "f.*")
-    return run_batches(out, lambda b, i: b.write.mode("overwrite").parquet(f"{sink}/batch={i}"), mode="update", name="facts")
+    rows = facts.select("project_id", "fact_type", "key", "id", "confidence", "created_at", "expires_at", "value")
+    newest = lambda b: K.latest(b, ["project_id", "fact_type", "key"], ["created_at", "id"])
+    return run_batches(rows, lambda b, i: newest(b).write.mode("overwrite").parquet(f"{sink}/batch={i}"), name="facts")
 
 
 def facts_now(log: DataFrame) -> DataFrame:
