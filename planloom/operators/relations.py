@@ -53,21 +53,17 @@ def within_distance(elements: DataFrame, radius: float, pos=XYZ, touching: DataF
     return pairs.select(*edge(F.col("a.project_id"), F.col("a.id"), F.col("b.id"), "near", F.col("distance")))
 
 
-def on_layer_pairs(elements: DataFrame, limit: int = 100, touching: DataFrame | None = None) -> DataFrame:
-    """Pairs on the same layer, for layers of at most ``limit`` rows, so a layer gives a bounded number of pairs."""
+def on_layer_pairs(elements: DataFrame, limit: int = 100, layers: DataFrame | None = None) -> DataFrame:
+    """Pairs on the same layer, for layers of at most ``limit`` rows, so a layer gives a bounded number of pairs. ``layers``
+    (project_id, layer) narrows the work to some layers."""
     rows = elements.where(F.col("layer").isNotNull()).select("id", "project_id", "layer")
+    if layers is not None:
+        rows = rows.join(layers, ["project_id", "layer"], "left_semi")
     sizes = rows.groupBy("project_id", "layer").count()
-    if touching is not None:
-        sizes = sizes.join(rows.join(touching, "id", "left_semi").select("project_id", "layer").distinct(),
-                           ["project_id", "layer"], "left_semi")
     # rows of large layers leave here, before any pair is made; the join is salted because a layer may be hot
     small = salted_join(rows, sizes.where(F.col("count") <= limit).drop("count"), ["project_id", "layer"], how="left_semi")
     other = small.select("project_id", "layer", F.col("id").alias("id2"))
     pairs = small.join(other, ["project_id", "layer"]).where(F.col("id") < F.col("id2"))
-    if touching is not None:
-        t = touching.select(F.col("id").alias("t"))
-        one = pairs.join(t, F.col("id") == F.col("t"), "left_semi")
-        pairs = one.unionByName(pairs.join(t, F.col("id2") == F.col("t"), "left_semi")).distinct()
     return pairs.select(*edge(F.col("project_id"), F.col("id"), F.col("id2"), "on_layer"))
 
 
@@ -77,19 +73,26 @@ def all_edges(elements: DataFrame, radius: float, layer_limit: int = 100) -> Dat
 
 
 def recompute_edges(edges: DataFrame, elements: DataFrame, changed: DataFrame, radius: float,
-                    layer_limit: int = 100) -> DataFrame:
+                    layer_limit: int = 100, before: DataFrame | None = None) -> DataFrame:
     """Edges after ``changed`` ids changed; equal to a full recompute.
 
-    Edges at a changed element are dropped and rebuilt. ``on_layer`` edges can also appear or vanish between
-    unchanged elements when a layer crosses its size limit, so that kind is rebuilt for every layer whose size
-    is affected (the layers that hold a changed row now or held an edge of one before).
+    Edges at a changed element are dropped and rebuilt. ``on_layer`` edges can also appear or vanish between unchanged
+    elements when a layer crosses its size limit. With ``before``, the changed elements' rows as they were (id, project_id,
+    layer), only the layers that hold or held a changed element are rebuilt; without it all layers are, since a layer that an
+    element has left may have had too many rows to leave edges.
     """
     ids = changed.select("id").distinct()
     far = edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_anti") \
                .join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_anti").select(*edges.columns)
     near = far.where(F.col("relation_type") != "on_layer")
     fresh = intersecting_pairs(elements, ids).unionByName(within_distance(elements, radius, touching=ids))
-    return near.unionByName(fresh).unionByName(on_layer_pairs(elements, layer_limit))
+    if before is None:
+        return near.unionByName(fresh).unionByName(on_layer_pairs(elements, layer_limit))
+    now = elements.join(ids, "id", "left_semi").select("project_id", "layer")
+    layers = now.union(before.join(ids, "id", "left_semi").select("project_id", "layer")).where(F.col("layer").isNotNull()).distinct()
+    at = elements.join(layers, ["project_id", "layer"], "left_semi").select(F.col("id").alias("from_id"))
+    same = far.where(F.col("relation_type") == "on_layer").join(at, "from_id", "left_anti").select(*edges.columns)
+    return near.unionByName(same).unionByName(fresh).unionByName(on_layer_pairs(elements, layer_limit, layers))
 
 
 # -- one reference element or point (J3, J4, J6, J7, J24) ----------------------------------------------

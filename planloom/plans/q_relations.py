@@ -76,7 +76,7 @@ def _(t):
     new = live(t)
     for c in ("x", "min_x", "max_x"):
         new = new.withColumn(c, F.when(moved, F.col(c) + 0.5).otherwise(F.col(c)))
-    return R.recompute_edges(old, new, live(t).where(moved).select("id"), RADIUS, LAYER_LIMIT)
+    return R.recompute_edges(old, new, live(t).where(moved).select("id"), RADIUS, LAYER_LIMIT, before=live(t))
 
 
 REF = "r AS (SELECT * FROM elements WHERE id = (SELECT min(id) FROM elements WHERE NOT deleted))"

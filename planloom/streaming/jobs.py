@@ -104,7 +104,7 @@ def incremental_edges(changed_elements: DataFrame, elements: DataFrame, edges: D
         if new.isEmpty():
             return
         table = stage.write(state["elements"].join(new.select("id"), "id", "left_anti").select(*elements.columns).unionByName(new))
-        state["edges"] = stage.write(R.recompute_edges(state["edges"], table, new.select("id"), radius, layer_limit))
+        state["edges"] = stage.write(R.recompute_edges(state["edges"], table, new.select("id"), radius, layer_limit, before=state["elements"]))
         state["elements"] = table
 
     run_batches(changed_elements, step, name="edgefeed")

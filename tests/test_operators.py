@@ -115,8 +115,9 @@ def test_recompute_equals_full(spark):
     old = mk(60)
     new = [(*r[:2], "L0", r[3] + 2, *r[4:]) if r[0] % 6 == 0 else r for r in old]
     edges = relations.all_edges(frame(old), 4.0, 8)
-    got = relations.recompute_edges(edges, frame(new), spark.createDataFrame([(r[0],) for r in new if r[0] % 6 == 0], "id long"), 4.0, 8)
-    assert rows(got.na.fill(-1.0)) == rows(relations.all_edges(frame(new), 4.0, 8).na.fill(-1.0))
+    changed, want = spark.createDataFrame([(r[0],) for r in new if r[0] % 6 == 0], "id long"), rows(relations.all_edges(frame(new), 4.0, 8).na.fill(-1.0))
+    for before in (None, frame(old)):
+        assert rows(relations.recompute_edges(edges, frame(new), changed, 4.0, 8, before).na.fill(-1.0)) == want
 
 
 def test_annotation_patterns(spark):
