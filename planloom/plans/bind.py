@@ -76,8 +76,9 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str, str | None]]]] = {
     "edges": ("orders", [
         ("id", "o_orderkey", None),
         ("a", "o_orderkey", None),
-        ("b", "if(o_orderkey % 11 = 0, o_custkey, (o_orderkey - o_orderkey % 3) div 3)",
-         "case when o_orderkey % 11 = 0 then o_custkey else (o_orderkey - o_orderkey % 3) // 3 end"),
+        # order 0 and every 17th order have no parent: their edge leads to an end of its own
+        ("b", "case when o_orderkey = 0 or o_orderkey % 17 = 5 then -1 - o_orderkey when o_orderkey % 11 = 0 then o_custkey else (o_orderkey - o_orderkey % 3) div 3 end",
+         "case when o_orderkey = 0 or o_orderkey % 17 = 5 then -1 - o_orderkey when o_orderkey % 11 = 0 then o_custkey else (o_orderkey - o_orderkey % 3) // 3 end"),
         ("kind", "o_orderpriority", None),
         ("length", "cast(o_orderkey % 97 + 1 as double)", None),
     ]),
@@ -93,8 +94,6 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str, str | None]]]] = {
         ("value", "props", None),
     ]),
 }
-# edges: roots and every 17th order have no parent; the rest of the orders are edges
-FILTERS = {"edges": "o_orderkey > 0 and o_orderkey % 17 <> 5"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,17 +102,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     source, cols = VIEWS[name]
-    df = table(spark, sf_dir, source)
-    if name in FILTERS:
-        df = df.where(FILTERS[name])
-    return df.selectExpr(*[f"{expr} AS {col}" for col, expr, _ in cols])
+    return table(spark, sf_dir, source).selectExpr(*[f"{expr} AS {col}" for col, expr, _ in cols])
 
 
 def view_sql(name: str) -> str:
     source, cols = VIEWS[name]
     body = ", ".join(f"{sql or expr} AS {col}" for col, expr, sql in cols)
-    where = f" WHERE {FILTERS[name]}" if name in FILTERS else ""
-    return f"{name} AS (SELECT {body} FROM {source}{where})"
+    return f"{name} AS (SELECT {body} FROM {source})"
 
 
 def ctes(*names: str, recursive: bool = False) -> str:
