@@ -6,13 +6,16 @@ weight there, and to one coordinate of the signature. The signature keeps the da
 two documents agree in a coordinate with a probability equal to their generalised Jaccard similarity. Darts are thrown by
 ascending rank until every coordinate is filled, which takes time in proportion to shingles plus coordinates.
 
-Bands of the signature propose candidates: in every bucket each text is compared with the bucket's first text; texts that are
-unlike it go on to the next round, with a first text of their own. No pairs within a bucket are listed. Candidates are
-decided on whole texts, exactly, and linked texts make up a class (connected components by hooking and jumping).
+Bands of the signature put texts into buckets. A bucket is walked through by leaders, the most central text first: texts
+whose signatures may be similar enough to the leader's are candidates with it, and those that clearly are step out. In a
+bucket too large for a task, every text is compared with the first one instead, and texts unlike it stay for a first text of
+their own. No pairs within a bucket are listed. Candidates are decided on whole texts, exactly, and linked texts make up a
+class (connected components by hooking and jumping).
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -21,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm.common import salted_join
+from planloom.llm.common import partitions, salted_join
 from planloom.staging import Stage
 
 SHINGLE, LEAST = 5, 0.8
 #: Bands of a signature and coordinates of a band: a pair of similarity 0.8 is proposed with a probability of 0.9995.
 BANDS, ROWS = 25, 6
+#: Rows of a bucket that one task walks through at most; larger ones go the other way.
+WALKED = 4096
+#: Shares of equal coordinates from which two texts are candidates (3.7 standard errors below 0.8), and clearly similar.
+MAY, SURE = 0.68, 0.84
 WORD = re.compile(r"\w+")
 #: Words whose hashes are remembered in a task.
 MEMO = 1_000_000
@@ -131,21 +138,26 @@ TOGETHER = 100_000
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, text_key, bands): the MD5 of the text and a hash for each band of its signature."""
+    """(doc_id, text_key, bands, coordinates): the MD5 of the text, a hash for each band of its signature, and one byte for
+    each of its coordinates."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, darts = WordHash(), Darts(bands * rows)
         number = np.arange(bands, dtype=U)
 
+        small: list[bytes] = []
+
         def keys(bags):
             signed = darts.signatures(bags).reshape(len(bags), bands, rows)
             out = np.tile(number, (len(bags), 1))
             for k in range(rows):
                 out = mix(out * GOLDEN + signed[:, :, k])
+            small.extend(x.tobytes() for x in (signed >> U(56)).astype(np.uint8))
             return out.view(np.int64).ravel()
 
         for batch in batches:
             out, bags, size = [], [], 0
+            small.clear()
             for text in batch.column("text").to_pylist():
                 bags.append(shingles(text, memo))
                 size += len(bags[-1][0])
@@ -156,9 +168,46 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 out.append(keys(bags))
             flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), lists], names=["doc_id", "text_key", "bands"])
+            columns = [batch.column("doc_id"), batch.column("text_key"), lists, pa.array(small, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "bands", "coordinates"])
+
+    return docs.select("doc_id", F.md5("text").alias("text_key"), "text").mapInArrow(build, "doc_id long, text_key string, bands array<long>, coordinates binary")
+
+
+def walk(nodes: np.ndarray, signed: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(texts, leader): the candidates of a bucket."""
+    modes = np.array([np.bincount(column).argmax() for column in signed.T])
+    order = np.lexsort((nodes, -(signed == modes).sum(axis=1)))
+    nodes, signed = nodes[order], signed[order]
+    while len(nodes) > 1:
+        share = (signed[1:] == signed[0]).mean(axis=1)
+        if (may := share >= MAY).any():
+            yield nodes[1:][may], nodes[0]
+        nodes, signed = nodes[1:][share < SURE], signed[1:][share < SURE]
+
+
+def candidates_of(entries: DataFrame) -> DataFrame:
+    """(a, b), a > b, of (bucket, node, coordinates): the rows of a bucket follow each other in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(bucket):
+            nodes = np.array([n for n, _ in bucket])
+            signed = np.frombuffer(b"".join(c for _, c in bucket), np.uint8).reshape(len(nodes), -1)
+            return [(np.maximum(texts, leader), np.minimum(texts, leader)) for texts, leader in walk(nodes, signed)]
+
+        current, bucket = None, []
+        for batch in itertools.chain(batches, [None]):
+            found = []
+            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "coordinates"))) if batch else [(None, None, None)]:
+                if key != current:
+                    found += pairs(bucket) if len(bucket) > 1 else []
+                    current, bucket = key, []
+                bucket.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
 
-    return docs.select("doc_id", F.md5("text").alias("text_key"), "text").mapInArrow(build, "doc_id long, text_key string, bands array<long>")
+    dealt = entries.repartition(partitions(entries.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.select("bucket", "node", "coordinates").mapInArrow(run, "a long, b long").distinct()
 
 
 def similarity(pairs: DataFrame) -> DataFrame:
@@ -217,27 +266,28 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     signed = stage.write(sketch(whole, bands, rows).withColumn("row", F.monotonically_increasing_id()))
     # one node for each different text; nodes are numbered once, in a written table
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "row")).alias("first")
-    texts = stage.write(signed.groupBy("text_key").agg(first, F.min("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
-    entries = texts.select("node", F.posexplode("bands").alias("band", "key"))
-    entries = entries.select("node", F.xxhash64("band", "key").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1").select("bucket", "head")
-    waiting = stage.write(entries)
-    waiting = stage.write(salted_join(waiting, shared, "bucket").where("node <> head"))
-    candidates = stage.write(texts_of(waiting, texts, whole))
-    tried = links = None
-    while not waiting.isEmpty():
-        asked = waiting.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-        asked = stage.write(asked if tried is None else asked.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        decided = stage.write(similarity(with_texts(asked, candidates)))
-        links = decided.where(F.col("similarity") >= least) if links is None else links.unionByName(decided.where(F.col("similarity") >= least))
-        tried = decided if tried is None else tried.unionByName(decided)
-        # texts unlike the head of their bucket stay, and the smallest of them is the next head
-        unlike = tried.where(F.col("similarity") < least).select(F.col("a").alias("node"), F.col("b").alias("head"))
-        left = stage.write(waiting.join(unlike, ["node", "head"], "left_semi").select("node", "bucket"))
-        heads = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1").select("bucket", "head")
-        waiting = stage.write(salted_join(left, heads, "bucket").where("node <> head"))
-    if links is None:
-        links = entries.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
+    texts = stage.write(signed.groupBy("text_key").agg(first, F.min("bands").alias("bands"), F.min("coordinates").alias("coordinates")).withColumn("node", F.monotonically_increasing_id()))
+    entries = texts.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+    entries = stage.write(entries)
+    entries = stage.write(salted_join(entries, sizes, "bucket"))
+    chosen = stage.write(texts_of(entries.select("node").distinct(), texts, whole))
+    # buckets too large for a task: against the head, round by round, until what is left is small enough
+    links, waiting = stage.write(entries.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))), entries
+    while True:
+        large = waiting.where((F.col("n") > WALKED) & (F.col("node") != F.col("head")))
+        if large.isEmpty():
+            break
+        decided = stage.write(similarity(with_texts(stage.write(large.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()), chosen)))
+        links = links.unionByName(decided.where(F.col("similarity") >= least).select("a", "b"))
+        unlike = decided.where(F.col("similarity") < least).select(F.col("a").alias("node"), F.col("b").alias("head"))
+        left = stage.write(large.join(unlike, ["node", "head"], "left_semi").select("node", "bucket"))
+        heads = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+        waiting = stage.write(waiting.where(F.col("n") <= WALKED).unionByName(salted_join(left, heads, "bucket")))
+    walked = waiting.select("bucket", "node").join(texts.select("node", "coordinates"), "node")
+    asked = stage.write(candidates_of(walked))
+    decided = similarity(with_texts(asked, chosen)).where(F.col("similarity") >= least)
+    links = links.unionByName(decided.select("a", "b"))
     roots = components(stage.write(links.select("a", "b").distinct()), stage)
     grouped = stage.write(texts.select("node", "text_key", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     best = grouped.groupBy("root").agg(F.min("first").alias("best"))
@@ -247,9 +297,8 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     return out.select("doc_id", "text_key", real.alias("class_id"), (F.col("row") == F.col("best.row")).alias("keeper"))
 
 
-def texts_of(waiting: DataFrame, texts: DataFrame, whole: DataFrame) -> DataFrame:
-    """(node, text) of the nodes that share a bucket; each text comes from the row of its smallest doc_id."""
-    nodes = waiting.select("node").union(waiting.select(F.col("head").alias("node"))).distinct()
+def texts_of(nodes: DataFrame, texts: DataFrame, whole: DataFrame) -> DataFrame:
+    """(node, text) of the nodes; each text comes from the row of its smallest doc_id."""
     keys = texts.join(nodes, "node").select("node", F.col("first.doc_id").alias("id"), "text_key")
     rows = whole.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.md5("text").alias("text_key"), "text")
     return rows.join(keys, ["id", "text_key"]).groupBy("node").agg(F.first("text").alias("text"))
@@ -264,6 +313,6 @@ def with_texts(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One document of each class: the one of the smallest doc_id, with the columns of ``docs``."""
     kept = classes(docs, **how).where("keeper").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_key").alias("_text_key"))
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_text_key": F.md5(F.coalesce("text", F.lit("")))})
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_text_key"))
     keys = ["_id", "_text_key"]
-    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return row.join(kept, keys, "left_semi").dropDuplicates(keys).select("row.*")
