@@ -112,24 +112,27 @@ def _(t):
 
 # -- W ------------------------------------------------------------------------------------------------
 
-ROWS = """h AS (SELECT project_id, y1 AS line, x1 AS lo, x2 AS hi, id FROM segments WHERE y1=y2),
-g AS (SELECT *, lo - lag(hi) OVER (PARTITION BY project_id, line ORDER BY lo, hi, id) AS gap FROM h)"""
+ROWS = """h AS (SELECT project_id, CASE WHEN y1=y2 THEN 'h' ELSE 'v' END AS axis, CASE WHEN y1=y2 THEN y1 ELSE x1 END AS line, CASE WHEN y1=y2 THEN x1 ELSE y1 END AS lo, CASE WHEN y1=y2 THEN x2 ELSE y2 END AS hi, id FROM segments),
+g AS (SELECT *, lo - lag(hi) OVER (PARTITION BY project_id, axis, line ORDER BY lo, hi, id) AS gap FROM h)"""
+LINE = ["project_id", "axis", "line"]
 
 
 def lines1d(t):
-    return t.segments.where("y1 = y2").select("project_id", F.col("y1").alias("line"), F.col("x1").alias("lo"), F.col("x2").alias("hi"), "id")
+    """Horizontal lines by their y, all others (the drawings have vertical ones) by their x."""
+    flat = F.col("y1") == F.col("y2")
+    pick = lambda a, b: F.when(flat, F.col(a)).otherwise(F.col(b))
+    return t.segments.select("project_id", F.when(flat, "h").otherwise("v").alias("axis"), pick("y1", "x1").alias("line"), pick("x1", "y1").alias("lo"), pick("x2", "y2").alias("hi"), "id")
 
 
-@query("interval_gaps", "W1", ctes("segments") + f", {ROWS} SELECT project_id, line, id, gap FROM g WHERE gap>0")
+@query("interval_gaps", "W1", ctes("segments") + f", {ROWS} SELECT project_id, axis, line, id, gap FROM g WHERE gap>0")
 def _(t):
-    return N.interval_gaps(lines1d(t), ["project_id", "line"], "lo", "hi", "id").select("project_id", "line", "id", "gap")
+    return N.interval_gaps(lines1d(t), LINE, "lo", "hi", "id").select(*LINE, "id", "gap")
 
 
-@query("is_dashed", "W2", ctes("segments") + f""", {ROWS}, b AS (SELECT * FROM g WHERE gap>=2), m AS (SELECT project_id, line, count(*) AS n_gaps, avg(gap) AS mean_gap FROM b GROUP BY ALL)
-SELECT m.project_id, m.line, n_gaps, mean_gap, any_value(n_gaps)>=2 AND max(abs(gap-mean_gap))<=0.3*any_value(mean_gap) AS dashed FROM m JOIN b USING (project_id, line) GROUP BY m.project_id, m.line, n_gaps, mean_gap""")
+@query("is_dashed", "W2", ctes("segments") + f""", {ROWS}, b AS (SELECT * FROM g WHERE gap>=2), m AS (SELECT project_id, axis, line, count(*) AS n_gaps, avg(gap) AS mean_gap FROM b GROUP BY ALL)
+SELECT m.project_id, m.axis, m.line, n_gaps, mean_gap, any_value(n_gaps)>=2 AND max(abs(gap-mean_gap))<=0.3*any_value(mean_gap) AS dashed FROM m JOIN b USING (project_id, axis, line) GROUP BY m.project_id, m.axis, m.line, n_gaps, mean_gap""")
 def _(t):
-    keys = ["project_id", "line"]
-    return N.is_dashed(N.interval_gaps(lines1d(t), keys, "lo", "hi", "id"), keys)
+    return N.is_dashed(N.interval_gaps(lines1d(t), LINE, "lo", "hi", "id"), LINE)
 
 
 def boxes(t):
@@ -180,8 +183,7 @@ def _(t):
     return N.trim_history(t.conversations, 3).select("conv_id", "turn", "role")
 
 
-@query("covered_length", "W1", ctes("segments") + """, h AS (SELECT project_id, y1 AS line, x1 AS lo, x2 AS hi, id FROM segments WHERE y1=y2),
-m AS (SELECT *, max(hi) OVER (PARTITION BY project_id, line ORDER BY lo, hi, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM h)
-SELECT project_id, line, sum(greatest(0e0, hi-greatest(lo, coalesce(m,lo)))) AS covered FROM m GROUP BY project_id, line""")
+@query("covered_length", "W1", ctes("segments") + f""", {ROWS}, m AS (SELECT *, max(hi) OVER (PARTITION BY project_id, axis, line ORDER BY lo, hi, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM h)
+SELECT project_id, axis, line, sum(greatest(0e0, hi-greatest(lo, coalesce(m,lo)))) AS covered FROM m GROUP BY project_id, axis, line""")
 def _(t):
-    return N.covered_length(lines1d(t), ["project_id", "line"], "lo", "hi", "id")
+    return N.covered_length(lines1d(t), LINE, "lo", "hi", "id")
