@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,30 +64,70 @@ def byte_ids(text: str = "text"):
     return F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, packed) of (doc_id, key, ids): documents move in this form, which takes less room than their rows do."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            small = pa.array([compress(x.as_py()) for x in batch.column("ids")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), small], names=["doc_id", "key", "packed"])
+
+    return docs.mapInArrow(pack, "doc_id long, key string, packed binary")
+
+
 def cut(docs: DataFrame, stage: Stage, length: int) -> tuple[DataFrame, int]:
-    """(number, doc_id, piece, ids) of (doc_id, ids as bytes), and how many. The last sequence of a document ends with END,
-    so even an empty document is one sequence."""
+    """(doc_id, first, packed) of (doc_id, key, ids as bytes), and how many sequences there are: ``first`` is the number of the
+    document's first sequence. Its last sequence ends with END, so even an empty document is one."""
+    no_id = F.lit(-(1 << 63))
     size = F.floor(F.octet_length("ids") / length) + 1
-    counts = docs.groupBy("doc_id", F.md5("ids").alias("key")).agg(F.sum(size).alias("n"), F.count(F.lit(1)).alias("rows"), F.max(size).alias("each"))
+    counts = docs.groupBy("doc_id", "key").agg(F.sum(size).alias("n"), F.count(F.lit(1)).alias("rows"), F.max(size).alias("each"))
     order = stage.write(numbered(counts, ["doc_id", "key"], stage, F.col("n")))
     total = order.agg(F.sum("n")).first()[0] or 0
-    rows = docs.withColumns({"key": F.md5("ids"), "id": F.coalesce("doc_id", F.lit(-(1 << 63)))})
-    firsts = order.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "key", "each", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("copy"), "base")
-    firsts = firsts.select("id", "key", (F.col("base") + F.col("copy") * F.col("each")).alias("first"), "copy")
-    # equal rows are told apart by their copy number; nearly always there is one
-    joined = rows.dropDuplicates(["id", "key"]).join(firsts, ["id", "key"])
-    pieces = joined.select("doc_id", "first", "ids", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("ids") / length).cast("int"))).alias("piece"))
-    return pieces.select((F.col("first") + F.col("piece")).alias("number"), "doc_id", "piece", F.substring(F.col("ids"), F.col("piece") * length + 1, F.lit(length)).alias("ids")), total
+    # equal rows are told apart by a copy number; nearly always there is one
+    copies = order.select(F.coalesce("doc_id", no_id).alias("id"), "key", "each", "base", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("copy"))
+    firsts = copies.select("id", "key", (F.col("base") + F.col("copy") * F.col("each")).alias("first"))
+    rows = packed(docs).withColumn("id", F.coalesce("doc_id", no_id))
+    return rows.dropDuplicates(["id", "key"]).join(firsts, ["id", "key"]).select("doc_id", "first", "packed"), total
 
 
-def assign_slots(sequences: DataFrame, total: int, key: int) -> DataFrame:
-    """Adds ``slot``, the permuted ``number``."""
+#: Bytes of sequences that are handed on at a time.
+HANDED = 1 << 22
 
-    def slots(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for numbers in batches:
-            yield pd.Series(permute(numbers.to_numpy(np.int64), total, key))
 
-    return sequences.withColumn("slot", F.pandas_udf(slots, "long")("number"))
+def slotted(documents: DataFrame, total: int, key: int, length: int) -> DataFrame:
+    """(slot, doc_id, piece, ids) of (doc_id, first, packed): each piece of ``length`` bytes has the slot of its number."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
+
+        def make(firsts, doc_ids, texts):
+            counts = np.array([len(t) // length + 1 for t in texts])
+            piece = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            slots = permute(np.repeat(np.array(firsts), counts) + piece, total, key)
+            ids = [t[k : k + length] for t in texts for k in range(0, len(t) // length * length + 1, length)]
+            columns = [slots, [d for d, n in zip(doc_ids, counts.tolist()) for _ in range(n)], piece, ids]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=["slot", "doc_id", "piece", "ids"])
+
+        for batch in batches:
+            firsts, doc_ids, texts, size = [], [], [], 0
+            for doc_id, first, small in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "first", "packed"))):
+                firsts.append(first)
+                doc_ids.append(doc_id)
+                texts.append(expand(small))
+                size += len(texts[-1])
+                if size > HANDED:
+                    yield make(firsts, doc_ids, texts)
+                    firsts, doc_ids, texts, size = [], [], [], 0
+            if texts:
+                yield make(firsts, doc_ids, texts)
+
+    return documents.mapInArrow(pieces, "slot long, doc_id long, piece int, ids binary")
 
 
 def records(pieces: list[bytes], length: int) -> bytes:
@@ -138,14 +177,14 @@ def materialise(docs: DataFrame, key: int = 10, length: int = LENGTH, per_shard:
     empty table has no shards.
     """
     stage = Stage(docs.sparkSession, "shards")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), byte_ids(text).alias("ids"))
-    sequences, total = cut(rows, stage, length)
-    slotted = assign_slots(sequences, total, key)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), byte_ids(text).alias("ids")).withColumn("key", F.md5("ids"))
+    documents, total = cut(rows, stage, length)
+    sequences = slotted(documents, total, key, length)
     path = f"{stage.root}/shards"
-    built = shards(slotted, length, per_shard)
+    built = shards(sequences, length, per_shard)
     built.write.option("compression", "zstd").parquet(path)
     table = docs.sparkSession.read.schema(built.schema).parquet(path)
-    place = slotted.select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * (2 * length)).alias("offset"), "doc_id", "piece")
+    place = sequences.select("slot", F.floor(F.col("slot") / per_shard).alias("shard"), (F.col("slot") % per_shard * (2 * length)).alias("offset"), "doc_id", "piece")
     return table, place
 
 
