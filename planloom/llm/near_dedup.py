@@ -6,16 +6,16 @@ weight there, and to one coordinate of the signature. The signature keeps the da
 two documents agree in a coordinate with a probability equal to their generalised Jaccard similarity. Darts are thrown by
 ascending rank until every coordinate is filled, which takes time in proportion to shingles plus coordinates.
 
-Bands of the signature put texts into buckets. A bucket is walked through by leaders, the most central text first: texts
-whose signatures may be similar enough to the leader's are candidates with it, and those that clearly are step out. In a
-bucket too large for a task, every text is compared with the first one instead, and texts unlike it stay for a first text of
-their own. No pairs within a bucket are listed. Candidates are decided on whole texts, exactly, and linked texts make up a
-class (connected components by hooking and jumping).
+Bands of the signature put texts into buckets. A bucket's texts are first compared with its head, the text whose buckets
+hold the most texts; linked texts make up a class (connected components by hooking and jumping). Then every pair of a
+bucket whose signatures may be similar enough and whose texts are not in one class yet is a candidate: first the likeliest
+of each text, then, classes having grown, all that are left. No text leaves a bucket, only pairs that are known to be in one
+class are passed over. Large buckets are cut into blocks and every two blocks meet in a task. Candidates are decided on
+whole texts, exactly.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterator
 
@@ -30,10 +30,14 @@ from planloom.staging import Stage
 SHINGLE, LEAST = 5, 0.8
 #: Bands of a signature and coordinates of a band: a pair of similarity 0.8 is proposed with a probability of 0.9995.
 BANDS, ROWS = 25, 6
-#: Rows of a bucket that one task walks through at most; larger ones go the other way.
+#: Rows of a bucket that meet in one task (about): two blocks of half as many.
 WALKED = 4096
-#: Shares of equal coordinates from which two texts are candidates (3.7 standard errors below 0.8), and clearly similar.
-MAY, SURE = 0.68, 0.84
+#: Share of equal coordinates from which two texts are candidates (3.7 standard errors below 0.8).
+MAY = 0.68
+#: Candidates that a text of a bucket has in the first round, the likeliest ones; the second round has no limit.
+FIRST = 4
+#: Candidates that a task holds before it hands them on.
+HELD = 100_000
 WORD = re.compile(r"\w+")
 #: Words whose hashes are remembered in a task.
 MEMO = 1_000_000
@@ -174,40 +178,112 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select("doc_id", F.md5("text").alias("text_key"), "text").mapInArrow(build, "doc_id long, text_key string, bands array<long>, coordinates binary")
 
 
-def walk(nodes: np.ndarray, signed: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """(texts, leader): the candidates of a bucket."""
-    modes = np.array([np.bincount(column).argmax() for column in signed.T])
-    order = np.lexsort((nodes, -(signed == modes).sum(axis=1)))
-    nodes, signed = nodes[order], signed[order]
-    while len(nodes) > 1:
-        share = (signed[1:] == signed[0]).mean(axis=1)
-        if (may := share >= MAY).any():
-            yield nodes[1:][may], nodes[0]
-        nodes, signed = nodes[1:][share < SURE], signed[1:][share < SURE]
+def alike(pairs: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """The staged ``pairs`` (a, b) whose signatures agree in a share of MAY or more. ``coordinates``: (node, coordinates)."""
 
-
-def candidates_of(entries: DataFrame) -> DataFrame:
-    """(a, b), a > b, of (bucket, node, coordinates): the rows of a bucket follow each other in one task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("x", "y"))
+                yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= MAY))
+
+    one = salted_join(pairs.withColumnRenamed("b", "node"), coordinates, "node").select("a", F.col("node").alias("b"), F.col("coordinates").alias("y"))
+    two = one.join(coordinates.select(F.col("node").alias("a"), F.col("coordinates").alias("x")), "a")
+    return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def against_heads(entries: DataFrame, stage: Stage) -> DataFrame:
+    """(a, b), a > b, of staged (bucket, node, n): every text of a bucket with the head, the text whose buckets have the most
+    rows (the smallest node of several)."""
+    weights = entries.groupBy("node").agg(F.sum("n").alias("weight"))
+    heads = entries.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("node"))).alias("head"))
+    met = salted_join(entries.select("bucket", "node"), heads.select("bucket", (-F.col("head.node")).alias("head")), "bucket").where("node <> head")
+    return stage.write(met.select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct())
+
+
+def blocks_of(entries: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
+    """(bucket, part, i, j, side, node, root) of the buckets with texts of several classes.
+
+    The rows of a bucket's largest class are dealt to blocks, and so are all others. Part 0 has every two blocks of the others
+    (side is the block), part 1 every block of the others with every one of the largest class (side -1), so that any two
+    texts of different classes meet once. A class is never compared with itself, so a bucket of one large class and a few
+    other texts is copied a few times only."""
+    rooted = stage.write(entries.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
+    open_ = counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top")).where("top.c < n")
+    half = max(1, WALKED // 2)
+    n_blocks = lambda c: F.ceil(c / half).cast("int")
+    open_ = open_.select("bucket", F.col("top.root").alias("top"), n_blocks(F.col("n") - F.col("top.c")).alias("others"), n_blocks(F.col("top.c")).alias("tops"), (F.col("n") - F.col("top.c") > 1).alias("several"))
+    rows = salted_join(rooted, open_, "bucket")
+    is_top = F.col("root") == F.col("top")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.when(is_top, F.col("tops")).otherwise(F.col("others"))).cast("int"))
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    at = lambda part, i, j, side: F.struct(F.lit(part).alias("part"), i.alias("i"), j.alias("j"), side.alias("side"))
+    own = F.col("own")
+    with_top = F.transform(to(F.col("tops")), lambda k: at(1, own, k, own))
+    each_other = F.transform(to(F.col("others")), lambda k: at(0, F.least(own, k), F.greatest(own, k), own))
+    top_places = F.transform(to(F.col("others")), lambda k: at(1, k, own, F.lit(-1)))
+    places = F.when(is_top, top_places).when(F.col("several"), F.concat(with_top, each_other)).otherwise(with_top)
+    return rows.select("bucket", "node", "root", F.explode(places).alias("at")).select("bucket", "at.*", "node", "root")
+
+
+def unlinked(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, signed: np.ndarray, first: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(texts, texts): the candidates of two blocks, or of the texts of one block, that are not in one class; of each text
+    only the likeliest ``first`` if given."""
+    one = (sides == sides[0]).all()
+    left = np.arange(len(nodes)) if one else np.flatnonzero(sides == sides.max())
+    right = left if one else np.flatnonzero(sides != sides.max())
+    there, least = signed[right], MAY * signed.shape[1]
+    for k, i in enumerate(left):
+        skip = k + 1 if one and first is None else 0
+        same = np.count_nonzero(there[skip:] == signed[i], axis=1)
+        found = np.flatnonzero((same >= least) & (roots[right[skip:]] != roots[i]))
+        if first is not None and len(found) > first:
+            found = found[np.argsort(-same[found], kind="stable")[:first]]
+        if len(found):
+            yield np.full(len(found), nodes[i]), nodes[right[skip:][found]]
+
+
+def candidates_of(rows: DataFrame, first: int | None) -> DataFrame:
+    """(a, b), a > b, of the rows of ``blocks_of`` with coordinates: two blocks follow each other in one task."""
+    key = ["bucket", "part", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(bucket):
-            nodes = np.array([n for n, _ in bucket])
-            signed = np.frombuffer(b"".join(c for _, c in bucket), np.uint8).reshape(len(nodes), -1)
-            return [(np.maximum(texts, leader), np.minimum(texts, leader)) for texts, leader in walk(nodes, signed)]
-
-        current, bucket = None, []
-        for batch in itertools.chain(batches, [None]):
-            found = []
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "coordinates"))) if batch else [(None, None, None)]:
-                if key != current:
-                    found += pairs(bucket) if len(bucket) > 1 else []
-                    current, bucket = key, []
-                bucket.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
-
-    dealt = entries.repartition(partitions(entries.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.select("bucket", "node", "coordinates").mapInArrow(run, "a long, b long").distinct()
+        def pairs(group):
+            nodes, roots, sides = (np.array(x) for x in list(zip(*group))[:3])
+            signed = np.frombuffer(b"".join(x[3] for x in group), np.uint8).reshape(len(nodes), -1)
+            return unlinked(nodes, roots, sides, signed, first)
+
+        def groups():
+            current, group = None, []
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in (*key, "node", "root", "side", "coordinates")]
+                for *at, node, root, side, signed in zip(*columns):
+                    if at != current:
+                        if len(group) > 1:
+                            yield group
+                        current, group = at, []
+                    group.append((node, root, side, signed))
+            if len(group) > 1:
+                yield group
+
+        def packed(found):
+            x, y = (np.concatenate(c) for c in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+        found, held = [], 0
+        for group in groups():
+            for pair in pairs(group):
+                found.append(pair)
+                held += len(pair[0])
+                if held >= HELD:
+                    yield packed(found)
+                    found, held = [], 0
+        if found:
+            yield packed(found)
+
+    dealt = rows.repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
+    return dealt.select(*key, "node", "root", "side", "coordinates").mapInArrow(run, "a long, b long").distinct()
 
 
 def similarity(pairs: DataFrame) -> DataFrame:
@@ -268,27 +344,26 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "row")).alias("first")
     texts = stage.write(signed.groupBy("text_key").agg(first, F.min("bands").alias("bands"), F.min("coordinates").alias("coordinates")).withColumn("node", F.monotonically_increasing_id()))
     entries = texts.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
-    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     entries = stage.write(entries)
     entries = stage.write(salted_join(entries, sizes, "bucket"))
-    chosen = stage.write(texts_of(entries.select("node").distinct(), texts, whole))
-    # buckets too large for a task: against the head, round by round, until what is left is small enough
-    links, waiting = stage.write(entries.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))), entries
-    while True:
-        large = waiting.where((F.col("n") > WALKED) & (F.col("node") != F.col("head")))
-        if large.isEmpty():
-            break
-        decided = stage.write(similarity(with_texts(stage.write(large.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()), chosen)))
-        links = links.unionByName(decided.where(F.col("similarity") >= least).select("a", "b"))
-        unlike = decided.where(F.col("similarity") < least).select(F.col("a").alias("node"), F.col("b").alias("head"))
-        left = stage.write(large.join(unlike, ["node", "head"], "left_semi").select("node", "bucket"))
-        heads = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
-        waiting = stage.write(waiting.where(F.col("n") <= WALKED).unionByName(salted_join(left, heads, "bucket")))
-    walked = waiting.select("bucket", "node").join(texts.select("node", "coordinates"), "node")
-    asked = stage.write(candidates_of(walked))
-    decided = similarity(with_texts(asked, chosen)).where(F.col("similarity") >= least)
-    links = links.unionByName(decided.select("a", "b"))
-    roots = components(stage.write(links.select("a", "b").distinct()), stage)
+    signatures = stage.write(texts.select("node", "coordinates").join(entries.select("node").distinct(), "node"))
+    chosen = stage.write(texts_of(signatures.select("node"), texts, whole))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stage.write(similarity(with_texts(pairs, chosen)).where(F.col("similarity") >= least).select("a", "b"))
+
+    asked = stage.write(alike(against_heads(entries, stage), signatures))
+    links = linked(asked)
+    roots = components(links, stage)
+    for first in (FIRST, None):
+        met = blocks_of(entries, roots, stage).join(signatures, "node")
+        found = stage.write(candidates_of(met, first).join(asked, ["a", "b"], "left_anti"))
+        more = linked(found)
+        asked = asked.unionByName(found)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = components(links, stage)
     grouped = stage.write(texts.select("node", "text_key", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     best = grouped.groupBy("root").agg(F.min("first").alias("best"))
     named = salted_join(grouped.select("root", "text_key"), best, "root").select("text_key", "best")

@@ -75,3 +75,32 @@ def test_collision_rate_is_the_weighted_similarity():
         a, b = darts.signatures([(x, n), (x[m > 0], m[m > 0])])
         errors.append((a == b).mean() - np.minimum(n, m).sum() / np.maximum(n, m).sum())
     assert abs(np.mean(errors)) < 0.012 and np.std(errors) < 0.06
+
+
+def edited(rng, words, n):
+    """``words`` with ``n`` of them replaced, ten places apart from each other: 5 * n of the shingles are new."""
+    out = list(words)
+    for at in rng.sample(range(5, len(words) - 5, 10), n):
+        out[at] = f"new{rng.getrandbits(40)}"
+    return out
+
+
+def test_large_bucket_of_edits_that_are_alike_through_their_base_only(spark, monkeypatch):
+    monkeypatch.setattr(N, "WALKED", 8)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(400)]
+    texts = [edited(rng, base, 7) for _ in range(60)]  # 0.84 to the base, 0.7 to each other
+    texts.insert(30, base)
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts, 1)]
+    got = N.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == plain(docs) == [(k, 1) for k in range(1, 62)]
+
+
+def test_chains_whose_middle_is_like_the_head(spark):
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(400)]
+    middles = [edited(rng, base, 4) for _ in range(150)]  # 0.9 to the base
+    ends = [edited(rng, middle, 8) for middle in middles]  # 0.82 to their middle, 0.74 to the base
+    docs = [(k, " ".join(t)) for k, t in enumerate([base, *middles, *ends], 1)]
+    got = N.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.class_id for r in got} == {1}
