@@ -190,18 +190,22 @@ def content(root: Node) -> list[Node]:
     while node is not body and node.parent is not None:
         node = node.parent
         threshold = min(threshold, node.density)
-    picked, stack = [], [body]
+    whole: dict[int, Node | None] = {}  # an article is whole: the outermost one that a node is in
+    for node in reversed(nodes):
+        whole[id(node)] = whole.get(id(node.parent)) or (node if node.tag in ("article", "main") else None)
+    marked, stack = set(), [body]
     while stack:
         node = stack.pop()
         if node.density >= threshold and node.chars:
             found = best[id(node)] if best[id(node)].total > 0 else node
-            holder = found
-            while holder is not None:  # an article is whole
-                if holder.tag in ("article", "main"):
-                    found = holder
-                holder = holder.parent
-            if found not in picked:
-                picked.append(found)
+            marked.add(id(whole[id(found)] or found))
+            if id(node) not in marked:  # as published: on into the children, but not below what is under the threshold
+                stack.extend(c for c in node.children if isinstance(c, Node))
+    picked, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        if id(node) in marked:
+            picked.append(node)
         else:
             stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
     return picked

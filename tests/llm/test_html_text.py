@@ -21,6 +21,15 @@ def test_density_finds_the_article_without_names():
     assert html_text.main_text(page) == WANT
 
 
+def test_all_dense_subtrees_are_content():
+    texts = [" ".join([f"word{k}"] * 45) for k in range(10)]
+    first, second = ("".join(f"<p>{t}</p>" for t in part) for part in (texts[:5], texts[5:]))
+    links = "".join(f"<li><a href=/{k}>link number {k}</a></li>" for k in range(30))
+    assert html_text.main_text(f"<body><div><div>{first}</div><ul>{links}</ul><div>{second}</div></div></body>") == "\n\n".join(texts)
+    assert html_text.main_text(f"<body><div><article>{first}</article><ul>{links}</ul><article>{second}</article></div></body>") == "\n\n".join(texts)
+    assert html_text.main_text(f"<body><div><div>{second}</div></div><div><div>{first}</div></div></body>") == "\n\n".join(texts[5:] + texts[:5])
+
+
 def test_broken_and_odd_pages():
     assert html_text.main_text("") == ""
     assert html_text.main_text("just words &lt;here&gt;") == "just words <here>"
