@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, chat, fingerprints, html_text, mixing, near_dedup, token_shards, topk, toxicity, url_filter
+from planloom.llm import bpe, chat, fingerprints, html_text, mixing, near_dedup, rank_queue, token_shards, topk, toxicity, url_filter
 from planloom.llm.common import table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
@@ -82,6 +83,11 @@ def op10_token_shards(spark, sf_dir: str) -> DataFrame:
     return shards.select("shard", "first_slot", "n_sequences", "stride", F.octet_length("payload").cast("long").alias("n_bytes"), F.sha2("payload", 256).alias("sha256"))
 
 
+def op12_rank_queue_bpe(spark, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rank_queue.digests(rank_queue.decode(rank_queue.encode(docs, RANKS), RANKS))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_document_fingerprints, op4_html_extraction, op5_exact_topk, op6_bpe, op7_minhash_near_dedup, op8_mixing,
-                                  op9_toxicity, op10_token_shards)}
+                                  op9_toxicity, op10_token_shards, op12_rank_queue_bpe)}
 ORACLES = {"op1_url_filters": OP1_SQL, "op5_exact_topk": OP5_SQL}
