@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planloom.llm import bpe, chat, fingerprints, html_text, merkle, mixing, near_dedup, rank_queue, token_shards, topk, toxicity, url_filter
+from planloom.llm import alignment, bpe, chat, fingerprints, html_text, merkle, mixing, near_dedup, rank_queue, token_shards, topk, toxicity, url_filter
 from planloom.llm.common import table
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
@@ -120,6 +121,10 @@ def op12_rank_queue_bpe(spark, sf_dir: str) -> DataFrame:
     return rank_queue.digests(rank_queue.decode(rank_queue.encode(docs, RANKS), RANKS))
 
 
+def op13_tokenizer_alignment(spark, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY, PIECES)[0]
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_chat_formatting, op3_document_fingerprints, op4_html_extraction, op5_exact_topk, op6_bpe, op7_minhash_near_dedup, op8_mixing,
-                                  op9_toxicity, op10_token_shards, op11_merkle_manifest, op12_rank_queue_bpe)}
+                                  op9_toxicity, op10_token_shards, op11_merkle_manifest, op12_rank_queue_bpe, op13_tokenizer_alignment)}
 ORACLES = {"op1_url_filters": OP1_SQL, "op5_exact_topk": OP5_SQL, "op11_merkle_manifest": OP11_SQL}
