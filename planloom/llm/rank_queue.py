@@ -1,9 +1,9 @@
 """Operator 12, byte-level BPE by merge ranks with a queue over a hierarchical bitmap.
 
 The tokens of a pre-token are a linked list of positions. A pair of neighbours whose joined bytes have a rank waits in the
-bucket of that rank. A bitmap has a bit for each rank with a bucket, 64 to a word, the level above a bit for each word that is
-not empty, and so on up to one word; find-first-set in one word of each level is the lowest waiting rank. A merge changes the
-pairs on its two sides; their former entries stay in the buckets and are skipped when they come up, since each position knows
+bucket of that rank. A bitmap has a bit for each rank whose bucket is not empty, 256 to a word, and a word above has a bit for
+each word that is not empty; find-first-set in the upper word and then in the lower one is the lowest waiting rank. A merge
+changes the pairs on its two sides; their former entries stay in the buckets and are skipped when they come up, since each position knows
 the rank it waits for. Positions of one rank come up from the left, and a lower rank that a merge makes possible comes before
 the rest of its bucket, so the ids are those of "merge the leftmost pair of the lowest rank" for any table of ranks. A
 pre-token of n bytes takes n steps of a few words each, whatever its length.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import itertools
 import re
+import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 
 from planloom.llm.bpe import BEYOND_LATIN, LATIN
 
-#: Pre-tokens whose ids a task remembers, and the longest of them in characters.
-MEMO, REMEMBERED = 100_000, 64
+#: Ranks of a word of the bitmap.
+BITS = 8
+WIDTH, MASK = 1 << BITS, (1 << BITS) - 1
+#: Pre-tokens whose ids a task remembers (at most twice as many), and the longest of them in characters.
+MEMO, REMEMBERED = 150_000, 32
 #: Texts of more characters are cut into pre-tokens bit by bit, so many at a time.
 LONG, AT_ONCE = 1 << 20, 1 << 16
 #: Bytes of ids that are handed on at a time.
@@ -34,85 +38,73 @@ HANDED = 1 << 22
 
 
 class RankQueue:
-    """Positions by rank: the lowest rank first, the leftmost position of it first."""
-
-    def __init__(self, ranks: int):
-        self.levels: list[list[int]] = []
-        while not self.levels or ranks > 1:
-            ranks = max(1, (ranks + 63) >> 6)
-            self.levels.append([0] * ranks)
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)  # positions mostly come in order, which takes one step
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
-            before = level[word]
-            level[word] = before | bit
-            if before:
-                return
-            rank = word
-
-    def lowest(self) -> int:
-        """The lowest rank with a bucket, -1 if there is none."""
-        if not self.buckets:
-            return -1
-        at = 0
-        for level in reversed(self.levels):
-            word = level[at]
-            at = at << 6 | ((word & -word).bit_length() - 1)
-        return at
-
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            for level in self.levels:
-                word = rank >> 6
-                level[word] &= ~(1 << (rank & 63))
-                if level[word]:
-                    break
-                rank = word
-        return position
-
-
-def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
-    """Ids of one pre-token. The queue is empty before and after."""
-    n, rank_of = len(piece), ranks.get
-    if (whole := rank_of(piece)) is not None:
-        return [whole]
-    after, before, waits = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
-
-    def wait(start: int, stop: int) -> None:
-        rank = rank_of(piece[start:stop], -1)
-        waits[start] = rank
-        if rank >= 0:
-            queue.push(rank, start)
-
-    for start in range(n - 1):
-        wait(start, start + 2)
-    while (rank := queue.lowest()) >= 0:
-        left = queue.pop(rank)
-        if waits[left] != rank:  # stale: one of the two has been merged since
-            continue
-        right = after[left]
-        stop = after[right]
-        after[left], waits[right], waits[left] = stop, -1, -1
-        if stop < n:
-            before[stop] = left
-            wait(left, after[stop])
-        if before[left] >= 0:
-            wait(before[left], stop)
-    out, start = [], 0
-    while start < n:
-        out.append(ranks[piece[start : after[start]]])
-        start = after[start]
-    return out
+    """The merges of one pre-token after another: positions by rank, the lowest rank first, the leftmost position of it first."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        size = 1 + max(ranks.values())
+        self.buckets: list[list[int]] = [[] for _ in range(size)]
+        self.low = [0] * (1 + size // WIDTH)
+        self.bit = [1 << k for k in range(max(WIDTH, len(self.low)))]
+
+    def merge(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token; all buckets are empty before and after."""
+        n, rank_of = len(piece), self.ranks.get
+        if (whole := rank_of(piece)) is not None:
+            return [whole]
+        buckets, low, bit, top = self.buckets, self.low, self.bit, 0
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waits = [rank_of(piece[k : k + 2], -1) for k in range(n - 1)]
+        waits.append(-1)
+        for position, rank in enumerate(waits):
+            if rank >= 0:
+                if not buckets[rank]:
+                    word = rank >> BITS
+                    low[word] |= bit[rank & MASK]
+                    top |= bit[word]
+                buckets[rank].append(position)
+        while top:
+            word = (top & -top).bit_length() - 1
+            rank = word << BITS | (low[word] & -low[word]).bit_length() - 1
+            bucket = buckets[rank]
+            left = heappop(bucket)
+            if not bucket:
+                low[word] ^= bit[rank & MASK]
+                if not low[word]:
+                    top ^= bit[word]
+            if waits[left] != rank:  # stale: one of the two has been merged since
+                continue
+            right = after[left]
+            stop = after[left] = after[right]
+            waits[right] = -1
+            if stop < n:
+                before[stop] = left
+                waits[left] = new = rank_of(piece[left : after[stop]], -1)
+                if new >= 0:
+                    if buckets[new]:
+                        heappush(buckets[new], left)  # positions mostly come in order, which takes one step
+                    else:
+                        buckets[new].append(left)
+                        low[new >> BITS] |= bit[new & MASK]
+                        top |= bit[new >> BITS]
+            else:
+                waits[left] = -1
+            left = before[left]
+            if left >= 0:
+                waits[left] = new = rank_of(piece[left:stop], -1)
+                if new >= 0:
+                    if buckets[new]:
+                        heappush(buckets[new], left)
+                    else:
+                        buckets[new].append(left)
+                        low[new >> BITS] |= bit[new & MASK]
+                        top |= bit[new >> BITS]
+        out, start, ranks = [], 0, self.ranks
+        while start < n:
+            stop = after[start]
+            out.append(ranks[piece[start:stop]])
+            start = stop
+        return out
 
 
 class Ranks:
@@ -136,22 +128,26 @@ class Ranks:
 
 
 class Encoder(dict):
-    """Ids of pre-tokens as 32-bit little-endian bytes; short ones are remembered."""
+    """Ids of pre-tokens as 32-bit little-endian bytes. Short ones are remembered: when there are too many, those that have
+    not been met again since the last time are forgotten."""
 
     def __init__(self, lines: bytes, pattern: str):
         import regex
 
-        self.ranks = Ranks.of(lines)
-        self.queue = RankQueue(1 + max(self.ranks.values()))
+        self.merge, self.older = RankQueue(Ranks.of(lines)).merge, {}
         self.full = regex.compile(pattern)
         # texts of the Latin blocks are cut by the same pattern as the standard module has it, which is faster
         self.latin = re.compile(LATIN) if pattern == public_tokenizers.PATTERN else self.full
         self.beyond = re.compile(BEYOND_LATIN).search
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(merge(word.encode(), self.ranks, self.queue), "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            merged = self.merge(word.encode())
+            ids = struct.pack(f"<{len(merged)}I", *merged)
         if len(word) <= REMEMBERED:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids

@@ -8,7 +8,7 @@ import tiktoken
 
 from planloom.llm import rank_queue
 from planloom.llm.queries import RANKS
-from planloom.llm.rank_queue import Encoder, RankQueue, Ranks, merge
+from planloom.llm.rank_queue import Encoder, RankQueue, Ranks
 
 TEXTS = [None, "", " ", "\n\n  \t x", "it's they'll WE'VE 'tis", "a  b   c  d", "x\x1cy\x1d z\x85", "½ ² Ⅷ ٣ 12ab3", "naïve _under_score__ é́", "日本語 テキスト 한국어", "🙂👩‍👩‍👧 flags 🇩🇪",
          "<|endoftext|>", "a<|endoftext|> b", "\x00 nul \x00\x00", "a" * 100_000, "ab" * 50_000 + "c", "word " * 60_000, "!?!?...---  ---", "\r\n\r\n tab\tend ", " " * 5000 + "x"]
@@ -23,22 +23,6 @@ def plain_merge(piece, ranks):
     return [ranks[p] for p in parts]
 
 
-def test_queue_is_ordered_by_rank_then_position():
-    random.seed(1)
-    queue, waiting = RankQueue(70_000), []
-    for _ in range(4000):
-        if waiting and random.random() < 0.45:
-            want = min(waiting)
-            waiting.remove(want)
-            assert queue.lowest() == want[0] and queue.pop(want[0]) == want[1]
-        else:
-            waiting.append((random.choice([0, 63, 64, 4095, 4096, 69_999, random.randrange(70_000)]), random.randrange(10**6)))
-            queue.push(*waiting[-1])
-    for want in sorted(waiting):
-        assert (queue.lowest(), queue.pop(want[0])) == want
-    assert queue.lowest() == -1 and not any(any(level) for level in queue.levels)
-
-
 @pytest.mark.parametrize("seed", range(30))
 def test_merges_of_any_rank_table_equal_the_plain_rule(seed):
     """Also of tables that no training would give, where a merge makes a lower rank possible."""
@@ -46,11 +30,12 @@ def test_merges_of_any_rank_table_equal_the_plain_rule(seed):
     strings = list({bytes(random.choices(b"abc", k=random.randint(2, 5))) for _ in range(60)})
     random.shuffle(strings)
     ranks = {bytes([b]): len(strings) + b for b in range(256)} | {s: k for k, s in enumerate(strings)}
-    queue = RankQueue(1 + max(ranks.values()))
+    queue = RankQueue(ranks)
     for _ in range(60):
         piece = bytes(random.choices(b"abc", k=random.randint(1, 40)))
+        assert not any(queue.buckets) and not any(queue.low)
         want = [ranks[piece]] if piece in ranks else plain_merge(piece, ranks)
-        assert merge(piece, ranks, queue) == want
+        assert queue.merge(piece) == want
 
 
 def test_ids_and_bytes_equal_the_library(spark):
@@ -69,6 +54,14 @@ def test_ids_and_bytes_equal_the_library(spark):
         assert bytes(r.decoded) == text.encode()
 
 
+def test_what_is_remembered_does_not_change_ids(monkeypatch):
+    text = " ".join(f"w{k % 97}x{k % 13}" for k in range(5000))
+    whole = Encoder(Ranks(RANKS).lines, public_tokenizers.PATTERN).encode(text)
+    monkeypatch.setattr(rank_queue, "MEMO", 10)
+    few = Encoder(Ranks(RANKS).lines, public_tokenizers.PATTERN)
+    assert few.encode(text) == whole and len(few) <= 10 and len(few.older) <= 10
+
+
 def test_long_texts_bit_by_bit(monkeypatch):
     library = Encoder(Ranks(RANKS).lines, public_tokenizers.PATTERN)
     text = "Some words, 12 of them.\n\n  and é日 " * 300
