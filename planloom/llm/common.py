@@ -27,14 +27,14 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def salted_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def salted_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """``many.join(few, key, how)`` with the rows of the largest keys of ``many`` spread over tasks.
 
     The list of hot keys has ``HOT_KEYS`` rows at most, whatever the input, and is the only thing that is broadcast. It
     steers the placement of rows, never the result. ``how`` is inner, left, left_semi or left_anti. ``many`` is read twice:
-    pass a staged table. Columns other than ``key`` must not clash.
+    pass a staged table, or one with about the same rows for each key as ``counted``. Columns other than ``key`` must not clash.
     """
-    hot = (many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_SALT)
+    hot = ((many if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_SALT)
            .orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key, F.ceil(F.col("_n") / ROWS_PER_SALT).cast("int").alias("_n")))
     salts = F.coalesce(F.col("_n"), F.lit(1))
     left = many.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int")).drop("_n")

@@ -9,9 +9,10 @@ ascending rank until every coordinate is filled, which takes time in proportion
 Bands of the signature put texts into buckets. A bucket's texts are first compared with its head, the text whose buckets
 hold the most texts; linked texts make up a class (connected components by hooking and jumping). Then every pair of a
 bucket whose signatures may be similar enough and whose texts are not in one class yet is a candidate: first the likeliest
-of each text, then, classes having grown, all that are left. No text leaves a bucket, only pairs that are known to be in one
-class are passed over. Large buckets are cut into blocks and every two blocks meet in a task. Candidates are decided on
-whole texts, exactly.
+of each text, then, classes having grown, all that are left. Texts with candidates left get a second signature, seven times
+as long, and a pair leaves its task only if that one agrees, so texts that are somewhat alike (0.7, say) stay within tasks.
+No text leaves a bucket, only pairs that are known to be in one class are passed over. Large buckets are cut into blocks and
+every two blocks meet in a task. Candidates are decided on whole texts, exactly.
 """
 
 from __future__ import annotations
@@ -36,11 +37,12 @@ WALKED = 4096
 MAY = 0.68
 #: Candidates that a text of a bucket has in the first round, the likeliest ones; the second round has no limit.
 FIRST = 4
+#: Coordinates of the second signature, and the share of them that candidates of the second round have in common (3.2
+#: standard errors below 0.8).
+LONGER, STILL = 1024, 0.76
 #: Candidates that a task holds before it hands them on.
 HELD = 100_000
 WORD = re.compile(r"\w+")
-#: Words whose hashes are remembered in a task.
-MEMO = 1_000_000
 #: Stands for a null doc_id: after all others.
 NO_ID = (1 << 63) - 1
 U = np.uint64
@@ -58,20 +60,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x >> U(11)).astype(float) * 2.0**-53
 
 
-class WordHash(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
+def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the runs of five words, case and punctuation aside. A text of fewer words is one shingle; so is a
+    text without any word, by its characters between white space at both ends."""
+    from xxhash import xxh64_intdigest
 
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingles(text: str, memo: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the runs of five words, case and punctuation aside. A text of fewer words is one shingle."""
     words = WORD.findall(text.lower())
-    h = np.fromiter(map(memo.__getitem__, words), U, len(words))
+    h = np.fromiter(map(xxh64_intdigest, words), U, len(words))
+    if not len(h):
+        return np.array([xxh64_intdigest(rest) if (rest := text.strip()) else 0], U), np.ones(1, np.int64)
     n = max(1, len(h) - SHINGLE + 1)
     out = np.full(n, U(len(h) if len(h) < SHINGLE else SHINGLE))
     for k in range(min(SHINGLE, len(h))):
@@ -146,7 +143,7 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     each of its coordinates."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, darts = WordHash(), Darts(bands * rows)
+        darts = Darts(bands * rows)
         number = np.arange(bands, dtype=U)
 
         small: list[bytes] = []
@@ -162,8 +159,8 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         for batch in batches:
             out, bags, size = [], [], 0
             small.clear()
-            for text in batch.column("text").to_pylist():
-                bags.append(shingles(text, memo))
+            for text in batch.column("text"):
+                bags.append(shingles(text.as_py()))
                 size += len(bags[-1][0])
                 if size > TOGETHER:
                     out.append(keys(bags))
@@ -178,6 +175,30 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select("doc_id", F.md5("text").alias("text_key"), "text").mapInArrow(build, "doc_id long, text_key string, bands array<long>, coordinates binary")
 
 
+def longer(texts: DataFrame) -> DataFrame:
+    """(node, longer) of (node, text): one byte for each coordinate of the second signature."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        darts = Darts(LONGER)
+        for batch in batches:
+            out, bags, size = [], [], 0
+
+            def signed():
+                return [x.tobytes() for x in (darts.signatures(bags) >> U(56)).astype(np.uint8)]
+
+            for text in batch.column("text"):
+                bags.append(shingles(text.as_py()))
+                size += len(bags[-1][0])
+                if size > TOGETHER:
+                    out += signed()
+                    bags, size = [], 0
+            if bags:
+                out += signed()
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "longer"])
+
+    return texts.select("node", "text").mapInArrow(build, "node long, longer binary")
+
+
 def alike(pairs: DataFrame, coordinates: DataFrame) -> DataFrame:
     """The staged ``pairs`` (a, b) whose signatures agree in a share of MAY or more. ``coordinates``: (node, coordinates)."""
 
@@ -188,7 +209,7 @@ def alike(pairs: DataFrame, coordinates: DataFrame) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= MAY))
 
     one = salted_join(pairs.withColumnRenamed("b", "node"), coordinates, "node").select("a", F.col("node").alias("b"), F.col("coordinates").alias("y"))
-    two = one.join(coordinates.select(F.col("node").alias("a"), F.col("coordinates").alias("x")), "a")
+    two = salted_join(one, coordinates.select(F.col("node").alias("a"), F.col("coordinates").alias("x")), "a", counted=pairs)
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -227,9 +248,9 @@ def blocks_of(entries: DataFrame, roots: DataFrame, stage: Stage) -> DataFrame:
     return rows.select("bucket", "node", "root", F.explode(places).alias("at")).select("bucket", "at.*", "node", "root")
 
 
-def unlinked(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, signed: np.ndarray, first: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def unlinked(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, signed: np.ndarray, more: np.ndarray | None, first: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(texts, texts): the candidates of two blocks, or of the texts of one block, that are not in one class; of each text
-    only the likeliest ``first`` if given."""
+    only the likeliest ``first`` if given, and only those alike in their second signatures ``more`` if given."""
     one = (sides == sides[0]).all()
     left = np.arange(len(nodes)) if one else np.flatnonzero(sides == sides.max())
     right = left if one else np.flatnonzero(sides != sides.max())
@@ -240,63 +261,87 @@ def unlinked(nodes: np.ndarray, roots: np.ndarray, sides: np.ndarray, signed: np
         found = np.flatnonzero((same >= least) & (roots[right[skip:]] != roots[i]))
         if first is not None and len(found) > first:
             found = found[np.argsort(-same[found], kind="stable")[:first]]
+        found = right[skip:][found]
+        if more is not None and len(found):
+            found = found[np.count_nonzero(more[found] == more[i], axis=1) >= STILL * more.shape[1]]
         if len(found):
-            yield np.full(len(found), nodes[i]), nodes[right[skip:][found]]
+            yield np.full(len(found), nodes[i]), nodes[found]
 
 
-def candidates_of(rows: DataFrame, first: int | None) -> DataFrame:
-    """(a, b), a > b, of the rows of ``blocks_of`` with coordinates: two blocks follow each other in one task."""
+def met(rows: DataFrame, *signatures: str) -> tuple[DataFrame, list[str]]:
+    """The rows of ``blocks_of`` with signatures, two blocks after each other in one task, and the columns of a block."""
     key = ["bucket", "part", "i", "j"]
+    dealt = rows.repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
+    return dealt.select(*key, "node", "root", "side", *signatures), key
+
+
+def blocks(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[list[np.ndarray]]:
+    """Nodes, roots, sides and signatures of each two blocks."""
+    current, group = None, []
+
+    def arrays():
+        nodes, roots, sides, *signatures = zip(*group)
+        return [*(np.array(x) for x in (nodes, roots, sides)), *(np.frombuffer(b"".join(x), np.uint8).reshape(len(group), -1) for x in signatures)]
+
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+        for row in zip(*columns):
+            if row[: len(key)] != current:
+                if len(group) > 1:
+                    yield arrays()
+                current, group = row[: len(key)], []
+            group.append(row[len(key) :])
+    if len(group) > 1:
+        yield arrays()
+
+
+def candidates_of(rows: DataFrame, first: int | None, *more: str) -> DataFrame:
+    """(a, b), a > b, of the rows of ``blocks_of`` with coordinates, and with the second signature where ``more`` names it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(group):
-            nodes, roots, sides = (np.array(x) for x in list(zip(*group))[:3])
-            signed = np.frombuffer(b"".join(x[3] for x in group), np.uint8).reshape(len(nodes), -1)
-            return unlinked(nodes, roots, sides, signed, first)
-
-        def groups():
-            current, group = None, []
-            for batch in batches:
-                columns = [batch.column(c).to_pylist() for c in (*key, "node", "root", "side", "coordinates")]
-                for *at, node, root, side, signed in zip(*columns):
-                    if at != current:
-                        if len(group) > 1:
-                            yield group
-                        current, group = at, []
-                    group.append((node, root, side, signed))
-            if len(group) > 1:
-                yield group
-
-        def packed(found):
+        def packed():
             x, y = (np.concatenate(c) for c in zip(*found))
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
         found, held = [], 0
-        for group in groups():
-            for pair in pairs(group):
+        for nodes, roots, sides, signed, *second in blocks(batches, key):
+            for pair in unlinked(nodes, roots, sides, signed, second[0] if second else None, first):
                 found.append(pair)
                 held += len(pair[0])
                 if held >= HELD:
-                    yield packed(found)
+                    yield packed()
                     found, held = [], 0
         if found:
-            yield packed(found)
+            yield packed()
 
-    dealt = rows.repartition(partitions(rows.sparkSession), *key).sortWithinPartitions(*key)
-    return dealt.select(*key, "node", "root", "side", "coordinates").mapInArrow(run, "a long, b long").distinct()
+    dealt, key = met(rows, "coordinates", *more)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def still_open(rows: DataFrame) -> DataFrame:
+    """(node): the texts that have a candidate in another class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, roots, sides, signed in blocks(batches, key):
+            own = [np.unique(np.concatenate(pair)) for pair in unlinked(nodes, roots, sides, signed, None, None)]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own)))], names=["node"])
+
+    dealt, key = met(rows, "coordinates")
+    return dealt.mapInArrow(run, "node long").distinct()
 
 
 def similarity(pairs: DataFrame) -> DataFrame:
     """(a, b, similarity) of (a, b, text_a, text_b): the exact generalised Jaccard similarity of the shingle bags."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, last = WordHash(), {}
+        last = {}
         for batch in batches:
             out = []
-            for b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("b", "text_a", "text_b"))):
+            for b, text_a, text_b in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b")):
                 if b not in last:
-                    last = {b: shingles(text_b, memo)}  # rows of the same text follow each other
-                (x, n), (y, m) = shingles(text_a, memo), last[b]
+                    last = {b: shingles(text_b.as_py())}  # rows of the same text follow each other
+                (x, n), (y, m) = shingles(text_a.as_py()), last[b]
                 _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
                 common = np.minimum(n[i], m[j]).sum()
                 out.append(common / (n.sum() + m.sum() - common))
@@ -334,7 +379,7 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     and ``keeper`` marks one row of each class, of that doc_id.
 
     Equal texts, and texts linked by a similarity of ``least`` or more, are in one class. Null texts count as empty, and
-    empty texts are equal. Repeated rows are copies of each other: one of them is the keeper. Null doc_ids are never the
+    empty texts are equal, as are texts of white space only; other texts without words are equal if their characters are. Repeated rows are copies of each other: one of them is the keeper. Null doc_ids are never the
     smallest unless a class has no other.
     """
     stage = Stage(docs.sparkSession, "near_dedup")
@@ -356,14 +401,17 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     asked = stage.write(alike(against_heads(entries, stage), signatures))
     links = linked(asked)
     roots = components(links, stage)
-    for first in (FIRST, None):
-        met = blocks_of(entries, roots, stage).join(signatures, "node")
-        found = stage.write(candidates_of(met, first).join(asked, ["a", "b"], "left_anti"))
-        more = linked(found)
-        asked = asked.unionByName(found)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links, stage)
+    found = stage.write(candidates_of(blocks_of(entries, roots, stage).join(signatures, "node"), FIRST).join(asked, ["a", "b"], "left_anti"))
+    more = linked(found)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links, stage)
+    rest = blocks_of(entries, roots, stage).join(signatures, "node")
+    second = stage.write(longer(chosen.join(still_open(rest), "node", "left_semi")))
+    found = stage.write(candidates_of(rest.join(second, "node"), None, "longer").join(asked.unionByName(found), ["a", "b"], "left_anti"))
+    more = linked(found)
+    if not more.isEmpty():
+        roots = components(links.unionByName(more), stage)
     grouped = stage.write(texts.select("node", "text_key", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     best = grouped.groupBy("root").agg(F.min("first").alias("best"))
     named = salted_join(grouped.select("root", "text_key"), best, "root").select("text_key", "best")
@@ -382,7 +430,7 @@ def texts_of(nodes: DataFrame, texts: DataFrame, whole: DataFrame) -> DataFrame:
 def with_texts(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     """(a, b, text_a, text_b) of staged ``pairs``; equal b follow each other."""
     one = salted_join(pairs.withColumnRenamed("b", "node"), candidates, "node").select("a", F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return one.join(candidates.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").sortWithinPartitions("b")
+    return salted_join(one, candidates.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a", counted=pairs).sortWithinPartitions("b")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:

@@ -29,7 +29,7 @@ THRESHOLD = 0.3
 SENTENCE = re.compile(r"[^.!?\n…。！？]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Features counted in a task before they are handed on; words whose features are remembered.
-FLUSH, MEMO = 400_000, 400_000
+FLUSH, MEMO = 400_000, 50_000
 
 
 def features(word: str) -> list[str]:
