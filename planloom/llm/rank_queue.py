@@ -30,7 +30,7 @@ from planloom.llm.bpe import BEYOND_LATIN, LATIN
 BITS = 8
 WIDTH, MASK = 1 << BITS, (1 << BITS) - 1
 #: Pre-tokens whose ids a task remembers (at most twice as many), and the longest of them in characters.
-MEMO, REMEMBERED = 150_000, 32
+MEMO, REMEMBERED = 250_000, 32
 #: Texts of more characters are cut into pre-tokens bit by bit, so many at a time.
 LONG, AT_ONCE = 1 << 20, 1 << 16
 #: Bytes of ids that are handed on at a time.
@@ -46,6 +46,8 @@ class RankQueue:
         self.buckets: list[list[int]] = [[] for _ in range(size)]
         self.low = [0] * (1 + size // WIDTH)
         self.bit = [1 << k for k in range(max(WIDTH, len(self.low)))]
+        self.two = [ranks.get(bytes(divmod(k, 256)), -1) for k in range(1 << 16)]
+        self.after, self.before = list(range(1, REMEMBERED + 1)), list(range(-1, REMEMBERED - 1))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token; all buckets are empty before and after."""
@@ -53,8 +55,11 @@ class RankQueue:
         if (whole := rank_of(piece)) is not None:
             return [whole]
         buckets, low, bit, top = self.buckets, self.low, self.bit, 0
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waits = [rank_of(piece[k : k + 2], -1) for k in range(n - 1)]
+        after, before = (self.after[:n], self.before[:n]) if n <= REMEMBERED else (list(range(1, n + 1)), list(range(-1, n - 1)))
+        two, last, waits = self.two, piece[0], []
+        for byte in piece[1:]:
+            waits.append(two[last << 8 | byte])
+            last = byte
         waits.append(-1)
         for position, rank in enumerate(waits):
             if rank >= 0:
