@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from planloom.skew import hot_keys, salted_join
 from planloom.staging import Stage
@@ -60,6 +61,52 @@ def levels(arcs: Arcs, seeds: DataFrame, depth: int | None, paths: bool = False,
     return seen
 
 
+def search_trees(arcs: Arcs, seeds: DataFrame, weight: str, depth: int | None = None) -> DataFrame:
+    """Breadth-first trees (seed, node, hop, parent, total) of the ``seeds`` (seed, node), one row per seed and reached node.
+
+    The parent is the smallest neighbour one hop nearer, null at the seed; ``total`` sums the arcs' ``weight`` on the way. A
+    neighbour of the last level lies in the last two levels or is new, so only these two are looked up, however deep it goes.
+    """
+    path, write = arcs.stage.write_rounds("hop")
+    parent = F.lit(None).cast(arcs.df.schema["src"].dataType)
+    front = write(seeds.select("seed", "node", parent.alias("parent"), F.lit(0.0).alias("total")), 0)
+    schema, last, hop = front.schema, None, 0
+    while (depth is None or hop < depth) and not front.isEmpty():
+        hop += 1
+        step = arcs.step(front.select("seed", F.col("node").alias("src"), "total"))
+        best = F.min(F.struct("src", (F.col("total") + F.col(weight)).alias("total")))
+        step = step.groupBy("seed", F.col("dst").alias("node")).agg(best.alias("f"))
+        for known in (front, last):
+            if known is not None:
+                step = step.join(known.select("seed", "node"), ["seed", "node"], "left_anti")
+        last, front = front, write(step.select("seed", "node", F.col("f.src").alias("parent"), F.col("f.total").alias("total")), hop)
+    spark = arcs.df.sparkSession
+    return spark.read.schema(schema.add("hop", IntegerType())).option("basePath", path).parquet(path)
+
+
+def tree_paths(trees: DataFrame, ends: DataFrame, stage: Stage) -> DataFrame:
+    """(seed, end, pos, node): the nodes of the path from each seed (pos 0) to each of ``ends`` (seed, node, hop) by pointer doubling.
+
+    Jumps over 1, 2, 4, ... parents are tables of their own. From the longest jump down, every known place of a path gives the
+    place that far ahead of it; each place is reached once, so the rows are the paths' nodes and the rounds their logarithm.
+    """
+    ends = stage.write(ends.select("seed", F.col("node").alias("end"), F.col("hop").alias("pos"), "node"))
+    longest = ends.agg(F.max("pos")).first()[0] or 0
+    jumps = []
+    while 1 << len(jumps) <= longest:
+        if not jumps:
+            jump = trees.where("hop > 0").select("seed", "node", F.col("parent").alias("to"))
+        else:
+            ahead = jumps[-1].select("seed", F.col("node").alias("to"), F.col("to").alias("beyond"))
+            jump = salted_join(jumps[-1], ahead, ["seed", "to"]).select("seed", "node", F.col("beyond").alias("to"))
+        jumps.append(stage.write(jump))
+    places = ends
+    for k in reversed(range(len(jumps))):
+        more = salted_join(places, jumps[k], ["seed", "node"]).select("seed", "end", (F.col("pos") - (1 << k)).alias("pos"), F.col("to").alias("node"))
+        places = stage.write(places.unionByName(more))
+    return places
+
+
 def all_paths(arcs: Arcs, start, end, max_nodes: int) -> DataFrame:
     """Simple paths from ``start`` to ``end`` with at most ``max_nodes`` nodes (one row per path)."""
     spark = arcs.df.sparkSession

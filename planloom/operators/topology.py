@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions import geom
 from planloom.operators import relations as R
-from planloom.operators.graph import Arcs, adjacency, components, levels
+from planloom.operators.graph import Arcs, adjacency, components, levels, search_trees, tree_paths
 from planloom.operators.greedy import greedy_suppress
 from planloom.operators.spatial import cell, euclid, near_pairs, nearest, point_keys
 from planloom.ordered import first_n
@@ -98,21 +98,22 @@ def _any_word(col: Column, words) -> Column:
     return t
 
 
-def system_paths(edges: DataFrame, sources: DataFrame, terminals: DataFrame, max_hops: int) -> DataFrame:
-    """Shortest path from every source to every terminal within ``max_hops``, with its length.
+def system_paths(edges: DataFrame, sources: DataFrame, terminals: DataFrame, system: str | None = None, max_hops: int | None = None) -> DataFrame:
+    """(source, terminal, hop, total_length, path): a shortest path from every source to every terminal it reaches.
 
-    ``edges``: (id, a, b, length); of parallel edges the one with the smallest id counts.
+    ``edges``: (id, a, b, length); of parallel edges the one with the smallest id counts. Of several shortest paths it is the
+    one with the smallest nodes, read from the terminal. With ``system`` only sources and terminals of that system count
+    (column ``system``); the way between them may lead anywhere, as in the drawing. Repeated sources or terminals count once.
     """
-    found = levels(Arcs(adjacency(edges)), sources.select(F.col("node").alias("seed"), "node"), max_hops, paths=True)
-    ends = found.join(terminals.select("node"), "node", "left_semi").select(
-        F.col("seed").alias("source"), F.col("node").alias("terminal"), "hop", "path")
-    one = edges.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), "id", "length").groupBy("p", "q").agg(
-        F.min_by("length", "id").alias("length"))
-    steps = ends.where("hop > 0").select("source", "terminal", F.explode(F.transform(F.sequence(F.lit(1), F.col("hop")), lambda i: F.struct(
-        F.element_at("path", i).alias("u"), F.element_at("path", i + 1).alias("v")))).alias("s"))
-    total = steps.select("source", "terminal", F.least("s.u", "s.v").alias("p"), F.greatest("s.u", "s.v").alias("q")).join(one, ["p", "q"]).groupBy(
-        "source", "terminal").agg(F.sum("length").alias("total_length"))
-    return ends.join(total, ["source", "terminal"], "left").withColumn("total_length", F.coalesce("total_length", F.lit(0.0)))
+    if system is not None:
+        sources, terminals = (n.where(F.col("system") == system) for n in (sources, terminals))
+    one = edges.where("a <> b").groupBy(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).agg(F.min_by("length", "id").alias("length"))
+    arcs = Arcs(adjacency(one, "p", "q", ["length"]))
+    trees = search_trees(arcs, sources.select(F.col("node").alias("seed"), "node").distinct(), "length", max_hops)
+    ends = arcs.stage.write(trees.join(terminals.select("node").distinct(), "node", "left_semi"))
+    nodes = tree_paths(trees, ends, arcs.stage).groupBy("seed", "end").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node"))), lambda n: n["node"]).alias("path"))
+    return ends.withColumnRenamed("node", "end").join(nodes, ["seed", "end"]).select(
+        F.col("seed").alias("source"), F.col("end").alias("terminal"), "hop", F.col("total").alias("total_length"), "path")
 
 
 def feeds_edges(paths: DataFrame) -> DataFrame:

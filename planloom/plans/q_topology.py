@@ -83,24 +83,25 @@ def typed(t):
 
 
 TYPED = "ty AS (SELECT o_orderkey AS node, CASE WHEN o_totalprice>497000 THEN 'source' WHEN o_orderpriority='1-URGENT' THEN 'terminal' ELSE 'equipment' END AS node_type FROM orders)"
-WALKS = """w(source, node, path) AS (SELECT node, node, [node] FROM ty WHERE node_type='source' UNION ALL SELECT w.source, arcs.dst, list_append(w.path, arcs.dst) FROM w JOIN arcs ON arcs.src=w.node WHERE len(w.path)<=4 AND NOT list_contains(w.path, arcs.dst)),
-b AS (SELECT source, node AS terminal, arg_min(path, (len(path), path)) AS path FROM w WHERE node IN (SELECT node FROM ty WHERE node_type='terminal') GROUP BY ALL),
-one AS (SELECT least(a,b) AS p, greatest(a,b) AS q, arg_min(length, id) AS length FROM edges GROUP BY ALL),
-st AS (SELECT source, terminal, unnest(list_zip(path[1:-2], path[2:])) AS s FROM b),
-tot AS (SELECT source, terminal, sum(length) AS total_length FROM st JOIN one ON p=least(s[1],s[2]) AND q=greatest(s[1],s[2]) GROUP BY ALL)"""
+WALKS = """one AS (SELECT least(a,b) AS p, greatest(a,b) AS q, arg_min(length, id) AS length FROM edges WHERE a<>b GROUP BY ALL),
+d(source, node, hop) USING KEY (source, node) AS (SELECT node, node, 0 FROM ty WHERE node_type='source' UNION (SELECT d.source, arcs.dst, min(d.hop)+1 FROM d JOIN arcs ON arcs.src=d.node LEFT JOIN recurring.d r ON r.source=d.source AND r.node=arcs.dst WHERE r.node IS NULL GROUP BY d.source, arcs.dst)),
+up AS (SELECT d.source, d.node, min(p.node) AS parent FROM d JOIN arcs ON arcs.dst=d.node JOIN d p ON p.source=d.source AND p.node=arcs.src AND p.hop=d.hop-1 GROUP BY d.source, d.node),
+w(source, terminal, node, hop, total_length, path) AS (SELECT source, node, node, hop, 0e0, [node] FROM d WHERE node IN (SELECT node FROM ty WHERE node_type='terminal')
+ UNION ALL SELECT w.source, w.terminal, up.parent, w.hop, w.total_length+one.length, list_prepend(up.parent, w.path) FROM w JOIN up USING (source, node) JOIN one ON p=least(up.node,up.parent) AND q=greatest(up.node,up.parent)),
+b AS (SELECT * FROM w WHERE node=source)"""
 
 
-@query("system_paths", "G8", EDG + f", {TYPED}, {WALKS} SELECT b.source, b.terminal, len(path)-1 AS hop, coalesce(total_length,0) AS total_length, array_to_string(path,'-') AS path FROM b LEFT JOIN tot USING (source, terminal)")
+@query("system_paths", "G8", EDG + f", {TYPED}, {WALKS} SELECT source, terminal, hop::BIGINT AS hop, round(total_length,6) AS total_length, array_to_string(path,'-') AS path FROM b")
 def _(t):
     n = typed(t)
-    p = P.system_paths(t.edges, n.where("node_type = 'source'"), n.where("node_type = 'terminal'"), 4)
-    return p.withColumns({"path": F.array_join("path", "-"), "hop": F.col("hop").cast("long")})
+    p = P.system_paths(t.edges, n.where("node_type = 'source'"), n.where("node_type = 'terminal'"))
+    return p.withColumns({"path": F.array_join("path", "-"), "hop": F.col("hop").cast("long"), "total_length": F.round("total_length", 6)})
 
 
-@query("feeds_edges", "G9", EDG + f", {TYPED}, {WALKS} SELECT source AS from_id, terminal AS to_id, 'feeds' AS relation_type, len(path) AS n_nodes, 0.85e0 AS confidence FROM b WHERE len(path)>1")
+@query("feeds_edges", "G9", EDG + f", {TYPED}, {WALKS} SELECT source AS from_id, terminal AS to_id, 'feeds' AS relation_type, hop::BIGINT+1 AS n_nodes, 0.85e0 AS confidence FROM b WHERE hop>0")
 def _(t):
     n = typed(t)
-    f = P.feeds_edges(P.system_paths(t.edges, n.where("node_type = 'source'"), n.where("node_type = 'terminal'"), 4))
+    f = P.feeds_edges(P.system_paths(t.edges, n.where("node_type = 'source'"), n.where("node_type = 'terminal'")))
     return f.withColumn("n_nodes", F.col("n_nodes").cast("long"))
 
 

@@ -62,6 +62,19 @@ class Stage:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
+    def write_rounds(self, name: str) -> tuple[str, callable]:
+        """A table that grows by one part a round: its path, and a function that writes a part and reads it back.
+        ``spark.read.parquet(path)`` reads all parts, with the round in the column ``name``."""
+        path = f"{self.root}/t{self.count}"
+        self.count += 1
+
+        def write(df: DataFrame, round_no: int) -> DataFrame:
+            part = f"{path}/{name}={round_no}"
+            df.write.parquet(part)
+            return self.spark.read.schema(df.schema).parquet(part)
+
+        return path, write
+
     def write_parts(self, df: DataFrame, column: str, values: list[int]) -> list[tuple[DataFrame | None, str]]:
         """Writes ``df`` once, split by an integer column; gives (table or None when empty, path) per value."""
         path = f"{self.root}/t{self.count}"
