@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from planloom.operators.filters import any_contains
 from planloom.operators.spatial import near_pairs
-from planloom.skew import join_all, salted_join
+from planloom.skew import salted_join
+from planloom.staging import Stage
 
 RULE_SCHEMA = """rule_name string, rule_type string, subdomain string, element_types array<string>, near_types array<string>,
  priority int, min_distance double, max_velocity double, min_flow double, min_slope double, min_clearance double, severity string"""
@@ -19,18 +20,65 @@ def rule_table(spark: SparkSession, rows: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], RULE_SCHEMA)
 
 
+#: Stands for a condition that a context says nothing about.
+ABSENT = "\x00"
+
+
+def match_contexts(contexts: DataFrame, rules: DataFrame, stage: Stage) -> DataFrame:
+    """(context, rule): the rules whose every condition holds in a context, or is one the context says nothing about.
+
+    ``contexts``: (context, facts map<string, array<string>>); ``rules``: (rule, conditions map<string, array<string>>). A
+    condition holds if one of the context's values is among the rule's. Counting match over an inverted index: rules are
+    listed by (key, value), contexts too, with a mark for each key that only rules know; they meet in one equi-join and a
+    rule applies if as many of its keys are hit as it has. Rules without conditions are listed under a key that every context
+    has, once there is such a rule.
+    """
+    rules = stage.write(rules.select("rule", F.coalesce("conditions", F.map_from_arrays(F.array(), F.array()).cast("map<string,array<string>>")).alias("conditions")))
+    # the names of conditions: as many as the attributes that rules are written for
+    keys = sorted(r[0] for r in rules.select(F.explode(F.map_keys("conditions"))).distinct().collect())
+    free = not rules.where(F.size("conditions") == 0).isEmpty()
+    flat = lambda c: F.explode(F.array_distinct(F.flatten(F.transform(F.map_entries(c), lambda e: F.transform(e["value"], lambda v: F.struct(e["key"].alias("key"), v.alias("value")))))))
+    listed = rules.select("rule", F.greatest(F.size("conditions"), F.lit(1)).alias("needs"), F.when(F.size("conditions") == 0, F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value")))).otherwise(
+        F.concat(F.flatten(F.transform(F.map_entries("conditions"), lambda e: F.transform(e["value"], lambda v: F.struct(e["key"].alias("key"), v.alias("value"))))),
+                 F.transform(F.map_keys("conditions"), lambda k: F.struct(k.alias("key"), F.lit(ABSENT).alias("value"))))).alias("p"))
+    index = listed.select("rule", "needs", F.explode(F.array_distinct("p")).alias("p")).select("rule", "needs", "p.key", "p.value")
+    known = F.map_filter(F.coalesce("facts", F.map_from_arrays(F.array(), F.array()).cast("map<string,array<string>>")), lambda k, v: v.isNotNull())
+    missing = F.transform(F.array_except(F.array(*map(F.lit, keys)).cast("array<string>"), F.map_keys("known")), lambda k: F.struct(k.alias("key"), F.lit(ABSENT).alias("value")))
+    always = F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value"))) if free else F.array().cast("array<struct<key:string,value:string>>")
+    said = contexts.select("context", known.alias("known")).withColumn("more", F.concat(missing, always))
+    said = said.select("context", flat("known").alias("p")).unionByName(said.select("context", F.explode("more").alias("p"))).select("context", "p.key", "p.value")
+    hits = salted_join(stage.write(said), index, ["key", "value"]).groupBy("context", "rule").agg(F.count_distinct("key").alias("n"), F.first("needs").alias("needs"))
+    return hits.where("n = needs").select("context", "rule")
+
+
+def _facts(columns: dict[str, Column], more: Column | None) -> Column:
+    own = F.map_filter(F.create_map(*[x for k, v in columns.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    return own if more is None else F.map_concat(own, F.coalesce(more, F.map_from_arrays(F.array(), F.array()).cast("map<string,array<string>>")))
+
+
 def applicable_rules(elements: DataFrame, rules: DataFrame) -> DataFrame:
-    """(element columns, rule columns) where every condition present on both sides matches exactly.
+    """(element columns, rule columns) where every condition present on both sides matches.
 
-    Element types are exploded into an equi-join; rules without a type condition form the second, small part.
+    An element's context is its ``element_type``, ``element_subdomain``, ``near_elements`` (array) where it has these, and
+    whatever the map ``context`` (map<string, array<string>>) says, such as action or space type; null means that nothing is
+    known. A rule's conditions are ``element_types``, ``subdomain``, ``near_types`` where elements know their neighbours,
+    and the map ``conditions``. Elements of the same context are matched once. Columns of both must not clash.
     """
-    typed = rules.where(F.size("element_types") > 0).withColumn("_t", F.explode(F.array_distinct("element_types")))
-    free = rules.where(F.col("element_types").isNull() | (F.size("element_types") == 0))
-    sub = F.col("subdomain").isNull() | F.col("element_subdomain").isNull() | (F.col("subdomain") == F.col("element_subdomain"))
-    a = salted_join(elements.withColumn("_t", F.col("element_type")), typed, ["_t"]).drop("_t")
-    b = join_all(elements, free)
-    unknown = join_all(elements.where(F.col("element_type").isNull()), rules.where(F.size("element_types") > 0))
-    return a.unionByName(b).unionByName(unknown).where(sub)
+    stage = Stage(elements.sparkSession, "rules")
+    has = lambda df, c: c in df.columns
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c)))
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    own = {"element_type": one("element_type"), "subdomain": one("element_subdomain")} | ({"near": F.col("near_elements")} if has(elements, "near_elements") else {})
+    need = {"element_type": some("element_types"), "subdomain": one("subdomain")} | ({"near": some("near_types")} if has(elements, "near_elements") else {})
+    placed = elements.withColumn("_facts", _facts(own, F.col("context") if has(elements, "context") else None))
+    ordered = F.array_sort(F.transform(F.map_entries("_facts"), lambda e: F.struct(e["key"].alias("key"), F.array_sort(e["value"]).alias("value"))))
+    placed = placed.withColumn("_context", F.to_json(ordered))
+    known = stage.write(rules.withColumn("_rule", F.monotonically_increasing_id()))
+    asked = known.select(F.col("_rule").alias("rule"), _facts(need, F.col("conditions") if has(rules, "conditions") else None).alias("conditions"))
+    contexts = placed.groupBy(F.col("_context").alias("context")).agg(F.first("_facts").alias("facts"))
+    matched = stage.write(match_contexts(contexts, asked, stage))
+    found = matched.join(known, F.col("rule") == F.col("_rule")).drop("rule", "_rule").withColumnRenamed("context", "_context")
+    return salted_join(placed.drop("_facts"), found, ["_context"]).drop("_context")
 
 
 def clearance_rules(rules: DataFrame, element_type: str | None = None, near_type: str | None = None) -> DataFrame:

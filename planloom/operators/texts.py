@@ -10,6 +10,7 @@ from planloom.functions import text as T
 from planloom.operators.relations import BOX, endpoints
 from planloom.operators.spatial import near_pairs, nearest, overlap_pairs
 from planloom.ordered import first_n
+from planloom.staging import Stage
 
 
 def parse_annotations(texts: DataFrame, patterns=T.ANNOTATION_PATTERNS) -> DataFrame:
@@ -60,35 +61,43 @@ def associate_text(annotations: DataFrame, elements: DataFrame, max_distance: fl
 
     ``annotations``: (id, project_id, x, y, annotation_type, ...); ``elements``: (id, project_id, element_type,
     category, min_x..max_y). An element reaches as far as its rule factor times its size, or ``max_distance`` if that
-    is more, so its box is widened by that reach before the box join. Ties: smallest element id.
+    is more. Texts meet the elements of their rule's kinds only. The nearest one is mostly near, so elements first reach no
+    farther than ``max_distance / 8``, and only texts that found nothing look on. Ties: smallest element id.
     """
+    stage = Stage(annotations.sparkSession, "texts")
     kind = F.col("annotation_type")
     a = annotations.where(kind != "unknown").select(
-        "id", "project_id", "x", "y", kind, _rule(0, kind, "array<string>", rules).alias("kinds"),
+        "id", "project_id", "x", "y", kind, F.explode(_rule(0, kind, "array<string>", rules)).alias("element_type"),
         _rule(1, kind, "array<string>", rules).alias("cats"), _rule(2, kind, "double", rules).alias("factor"),
         _rule(3, kind, "boolean", rules).alias("inside"), _rule(4, kind, "string", rules).alias("relation"))
-    a = a.withColumns({"min_x": F.col("x"), "max_x": F.col("x"), "min_y": F.col("y"), "max_y": F.col("y")})
+    a = stage.write(a.withColumns({"min_x": F.col("x"), "max_x": F.col("x"), "min_y": F.col("y"), "max_y": F.col("y")}))
     size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
     top = max([r[2] for r in rules.values() if r[2]] + [OTHER[2]])
     # only rules with containment look at rooms, so a room box needs no reach
     wide = F.when(F.col("element_type") == "room_boundary", F.lit(0.0)).otherwise(F.greatest(size * top, F.lit(max_distance)))
-    e = elements.select("id", "project_id", "element_type", F.col("category").alias("cat"), *[F.col(c).alias(f"b_{c}") for c in BOX],
-                        size.alias("size"), (F.col("min_x") - wide).alias("min_x"), (F.col("min_y") - wide).alias("min_y"),
-                        (F.col("max_x") + wide).alias("max_x"), (F.col("max_y") + wide).alias("max_y"))
 
     def gap(p, q):
         return geom.box_distance(p["x"], p["y"], p["x"], p["y"], q["b_min_x"], q["b_min_y"], q["b_max_x"], q["b_max_y"])
 
-    def fits(p, q):
-        ok = F.array_contains(p["kinds"], q["element_type"]) & ((F.size(p["cats"]) == 0) | F.array_contains(p["cats"], q["cat"]))
-        reach = F.when(p["inside"], F.lit(0.0)).otherwise(F.greatest(p["factor"] * q["size"], F.lit(max_distance)))
-        return ok & (gap(p, q) <= reach)
-
-    pairs = overlap_pairs(a, e, BOX, on=["project_id"], where=fits)
-    d = pairs.select("a", "b", gap(F.col("a"), F.col("b")).alias("distance"))
-    best = d.groupBy(F.col("a.id").alias("annotation_id")).agg(F.min_by(
-        F.struct(F.col("a.project_id"), F.col("a.annotation_type"), F.col("a.relation"), F.col("b.id").alias("element_id"),
-                 F.col("b.element_type"), F.col("b.size"), "distance"), F.struct("distance", F.col("b.id"))).alias("m"))
+    def nearest_of(texts: DataFrame, ring: float | None) -> DataFrame:
+        out = wide if ring is None else F.least(wide, F.lit(ring))
+        e = elements.select("id", "project_id", "element_type", F.col("category").alias("cat"), *[F.col(c).alias(f"b_{c}") for c in BOX],
+                            size.alias("size"), (F.col("min_x") - out).alias("min_x"), (F.col("min_y") - out).alias("min_y"),
+                            (F.col("max_x") + out).alias("max_x"), (F.col("max_y") + out).alias("max_y"))
+
+        def fits(p, q):
+            reach = F.when(p["inside"], F.lit(0.0)).otherwise(F.greatest(p["factor"] * q["size"], F.lit(max_distance)))
+            return ((F.size(p["cats"]) == 0) | F.array_contains(p["cats"], q["cat"])) & (gap(p, q) <= (reach if ring is None else F.least(reach, F.lit(ring))))
+
+        pairs = overlap_pairs(texts, e, BOX, on=["project_id", "element_type"], where=fits)
+        d = pairs.select("a", "b", gap(F.col("a"), F.col("b")).alias("distance"))
+        return d.groupBy(F.col("a.id").alias("annotation_id")).agg(F.min_by(
+            F.struct(F.col("a.project_id"), F.col("a.annotation_type"), F.col("a.relation"), F.col("b.id").alias("element_id"),
+                     F.col("b.element_type"), F.col("b.size"), "distance"), F.struct("distance", F.col("b.id"))).alias("m"))
+
+    near = stage.write(nearest_of(a, max_distance / 8))
+    rest = a.where(~F.col("inside")).join(near.select(F.col("annotation_id").alias("id")), "id", "left_anti")
+    best = near.unionByName(nearest_of(rest, None))
     conf = F.when(F.col("distance") == 0, F.lit(1.0)).otherwise(
         F.greatest(F.lit(0.0), 1.0 - F.col("distance") / (3.0 * F.greatest(F.col("size"), F.lit(1.0)))))
     return best.select("annotation_id", "m.*").withColumn("confidence", conf).drop("size")

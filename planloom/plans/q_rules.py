@@ -52,6 +52,32 @@ def _(t):
     return L.applicable_rules(checked(t), table(t)).select("id", "rule_name", "priority")
 
 
+# rules on any attribute: (name, {attribute: values})
+WIDE_RULES = [
+    ("urgent_open", {"action": ["1-URGENT", "2-HIGH"], "space_type": ["O"]}), ("near_returned", {"near": ["R", "A"], "element_type": ["N"]}),
+    ("returned", {"element_type": ["R"]}), ("always", {}), ("settled", {"phase": ["BUILD"], "space_type": ["F", "P"]}), ("never", {"element_type": ["?"]}),
+    ("unknown_attribute", {"weather": ["rain"]}), ("quiet", {"action": ["5-LOW"], "near": ["N"], "element_type": ["A", "R"], "space_type": ["F"]}),
+]
+
+
+@query("contextual_rules", "R1", """WITH near AS (SELECT l_orderkey AS k, list(DISTINCT l_returnflag) AS near FROM lineitem WHERE l_linenumber>1 GROUP BY ALL),
+c AS (SELECT l_orderkey AS id, l_returnflag AS element_type, CASE WHEN o_orderkey%7<>0 THEN o_orderpriority END AS action, o_orderstatus AS space_type, near.near FROM lineitem JOIN orders ON o_orderkey=l_orderkey LEFT JOIN near ON near.k=l_orderkey WHERE l_linenumber=1),
+m AS (SELECT id, unnest(['always','unknown_attribute', CASE WHEN coalesce(action IN ('1-URGENT','2-HIGH'),true) AND space_type='O' THEN 'urgent_open' END,
+ CASE WHEN coalesce(len(list_intersect(near,['R','A']))>0,true) AND element_type='N' THEN 'near_returned' END, CASE WHEN element_type='R' THEN 'returned' END, CASE WHEN space_type IN ('F','P') THEN 'settled' END,
+ CASE WHEN coalesce(action='5-LOW',true) AND coalesce(list_contains(near,'N'),true) AND element_type IN ('A','R') AND space_type='F' THEN 'quiet' END]) AS rule_name FROM c)
+SELECT id, rule_name FROM m WHERE rule_name IS NOT NULL""")
+def _(t):
+    """Orders as elements: the first line gives the type, the other lines the neighbours; every seventh has no action."""
+    first = t.lineitem.where("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("element_type"))
+    near = t.lineitem.where("l_linenumber > 1").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_returnflag").alias("near_elements"))
+    facts = t.orders.select(F.col("o_orderkey").alias("id"), F.create_map(
+        F.lit("action"), F.when(F.col("o_orderkey") % 7 != 0, F.array("o_orderpriority")), F.lit("space_type"), F.array("o_orderstatus")).alias("context"))
+    e = first.join(facts, "id").join(near, "id", "left").withColumn("element_subdomain", F.lit(None).cast("string"))
+    rules = t.spark.createDataFrame([(n, None, c.get("element_type"), c.get("near"), {k: v for k, v in c.items() if k not in ("element_type", "near")}) for n, c in WIDE_RULES],
+                                    "rule_name string, subdomain string, element_types array<string>, near_types array<string>, conditions map<string,array<string>>")
+    return L.applicable_rules(e, rules).select("id", "rule_name")
+
+
 @query("rules_sorted", "K8 R2", f"WITH {EL}, {rule_sql()}, d AS (SELECT DISTINCT element_type FROM e) SELECT d.element_type, r.rule_name, r.priority FROM d JOIN r ON rule_type='clearance' AND (len(element_types)=0 OR list_contains(element_types, d.element_type)) AND (len(near_types)=0 OR list_contains(near_types,'beam'))")
 def _(t):
     """Clearance rules near a beam for every element type in the table, by priority."""

@@ -61,20 +61,20 @@ c AS (SELECT a.id AS annotation_id, a.project_id, a.annotation_type, a.text, e.i
  WHEN 'flow_rate' THEN e.element_type='symbol' AND e.category='mechanical' WHEN 'size' THEN e.element_type IN ('symbol','geometry')
  WHEN 'room_number' THEN e.element_type='room_boundary' WHEN 'area' THEN e.element_type='room_boundary' ELSE false END),
 k AS (SELECT *, row_number() OVER (PARTITION BY annotation_id ORDER BY distance, element_id) AS rn FROM c
- WHERE CASE WHEN element_type='room_boundary' THEN distance=0 ELSE distance<=greatest(factor*size, 30) END),
+ WHERE CASE WHEN element_type='room_boundary' THEN distance=0 ELSE distance<=greatest(factor*size, 100) END),
 links AS (SELECT annotation_id, project_id, annotation_type, relation, element_id, element_type, distance,
  CASE WHEN distance=0 THEN 1e0 ELSE greatest(0e0, 1-distance/(3*greatest(size,1))) END AS confidence, text FROM k WHERE rn=1)"""
 
 
 @query("associate_text", "J18 C5", ctes("annotations", "symbols", "rooms", "segments") + f", {ASSOC} SELECT annotation_id, project_id, annotation_type, relation, element_id, distance, confidence FROM links")
 def _(t):
-    return X.associate_text(stored(t), elements(t), 30.0).drop("element_type")
+    return X.associate_text(stored(t), elements(t)).drop("element_type")
 
 
 @query("element_tags", "A11", ctes("annotations", "symbols", "rooms", "segments") + f", {ASSOC} SELECT element_type, element_id, text AS tag FROM links WHERE annotation_type='equipment_tag'")
 def _(t):
     a = stored(t)
-    return X.annotations_by_element(X.associate_text(a, elements(t), 30.0), a)[0]
+    return X.annotations_by_element(X.associate_text(a, elements(t)), a)[0]
 
 
 @query("element_specs", "A11", ctes("annotations", "symbols", "rooms", "segments") + f""", {ASSOC}, s AS (
@@ -82,7 +82,7 @@ def _(t):
 SELECT element_type, element_id, f[1] AS field, arg_max(f[2], annotation_id) AS value FROM s GROUP BY ALL""")
 def _(t):
     a = stored(t)
-    return X.annotations_by_element(X.associate_text(a, elements(t), 30.0), a)[1]
+    return X.annotations_by_element(X.associate_text(a, elements(t)), a)[1]
 
 
 @query("room_annotations", "J19", ctes("annotations", "rooms") + f""", {PARSED},

@@ -145,6 +145,6 @@ def late_rows(progress: list[dict]) -> int:
     return sum(int(op["numRowsDroppedByWatermark"]) for p in progress for op in p["stateOperators"])
 
 
-def validate_stream(elements: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rule checks on arriving elements: a stream joined with the literal rule table."""
-    return L.validate(elements, rules)
+def validate_stream(elements: DataFrame, rules: DataFrame, sink: str) -> list[dict]:
+    """Rule checks on arriving elements: the findings of every micro-batch, a folder each, which a repeated batch overwrites."""
+    return run_batches(elements, lambda b, i: L.validate(b, rules).write.mode("overwrite").parquet(f"{sink}/batch={i}"), name="validate")
