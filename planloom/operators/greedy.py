@@ -1,23 +1,34 @@
 """First-come duplicate suppression, clustering and matching, with the result of the sequential scan.
 
 The rule "keep a row unless an earlier kept row conflicts with it" picks one set of rows, however it is
-computed. Here it runs in rounds over the whole table. Each round looks only at the earliest undecided row of
-every *clique* (rows that are so alike that at most one of them can stay): it is kept when no earlier
-undecided row conflicts with it, and the rows in conflict with it leave. A group of n near-copies therefore
-costs n comparisons, not n squared; a group of any size is only ever reduced by a partial minimum.
+computed. Two ways of computing it take turns.
+
+While rows may have many conflicts each (groups of near-copies), a round looks only at the earliest undecided row of every
+*clique* (rows that are so alike that at most one of them can stay): it is kept when no earlier undecided row conflicts
+with it, and the rows in conflict with it leave. A group of n near-copies therefore costs n comparisons, not n squared; a
+group of any size is only ever reduced by a partial minimum.
+
+As soon as the rows left can have few conflicts each (a sum over keys bounds them), the conflicts are listed once and only
+ids move on: rows are dealt to blocks of consecutive rows of a drawing, a task goes through a block in order, and decides
+every row whose earlier conflicts are decided. What a block needs from others comes in the next round, so a chain of
+conflicts takes one round for each block that it crosses, not for each link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planloom.ordered import row_index
 from planloom.skew import hot_keys, salted_join, widen
 from planloom.staging import Stage
 
 Conflict = Callable[[Column, Column], Column]
+#: Rows of a block; candidate conflicts for each row up to which they are listed.
+BLOCK, FEW = 20_000, 64
 
 
 def greedy_suppress(rows: DataFrame, order: Sequence[Column], home: Column, reach: Column, conflict: Conflict,
@@ -64,6 +75,9 @@ def _suppress(rows, order, home, reach, conflict, clique, id):
     if und.isEmpty():
         return start.select("_o", "_reach", "u"), src
     while und is not None:
+        if _few_conflicts(und):
+            part = _in_blocks(und, leaves, hot, stage, "project_id" if "project_id" in rows.columns else None)
+            return (part if kept is None else kept.unionByName(part)), src
         heads = und.groupBy("_q").agg(F.min_by(F.struct("_o", "_reach", "u"), "_o").alias("h")).select("h.*")
         probe = heads.select(F.col("_o").alias("_ho"), F.col("u").alias("_hu"), F.explode("_reach").alias("_k"))
         open_rows = widen(und.select("_o", "u", "_homes")).select("_o", "u", F.explode("_homes").alias("_k"))
@@ -83,6 +97,68 @@ def _suppress(rows, order, home, reach, conflict, clique, id):
     return kept, src
 
 
+def _few_conflicts(und: DataFrame) -> bool:
+    """Whether the rows that share keys are ``FEW`` for each row at most."""
+    count = lambda c, n: und.select(F.explode(c).alias("_k")).groupBy("_k").agg(F.count(F.lit(1)).alias(n))
+    shared = count("_homes", "n").join(count("_reach", "m"), "_k").agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    return shared <= FEW * max(1, und.count())
+
+
+def _in_blocks(und: DataFrame, leaves: Column, hot: list[tuple], stage: Stage, within: str | None) -> DataFrame:
+    """The rows of ``und`` that stay, as (_o, _reach, u)."""
+    ids = und.select(F.col("_o.oid").alias("n"), "_o", (F.col(f"u.{within}") if within else F.lit(0)).alias("g"))
+    ranked = stage.write(row_index(ids, ["g"], [F.col("_o")], "i").select("n", "g", "i", F.floor((F.col("i") - 1) / BLOCK).alias("block")))
+    probe = und.select(F.col("_o").alias("_ho"), F.col("u").alias("_hu"), F.explode("_reach").alias("_k"))
+    open_rows = widen(und.select("_o", "u", "_homes")).select("_o", "u", F.explode("_homes").alias("_k"))
+    pairs = salted_join(open_rows, probe, ["_k"], leaves & (F.col("_ho") < F.col("_o")), hot=hot)
+    edges = stage.write(pairs.select(F.col("_o.oid").alias("n"), F.col("_ho.oid").alias("e")).distinct())
+    kind = edges.schema["n"].dataType.simpleString()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a block in order, one for each earlier conflict; ``kept`` of a conflict is null where it is not known yet."""
+        place, known, row, states = None, {}, None, []
+        for batch in batches:
+            names, out = [], []
+            for g, block, n, e, kept in zip(*(batch.column(c).to_pylist() for c in ("g", "block", "n", "e", "kept"))):
+                if row is not None and n != row:
+                    known[row] = _decide(states)
+                    names.append(row)
+                    out.append(known[row])
+                if (g, block) != place:
+                    place, known = (g, block), {}
+                if n != row:
+                    row, states = n, []
+                if e is not None:
+                    states.append(known[e] if e in known else kept)
+            yield pa.RecordBatch.from_arrays([pa.array(names, batch.schema.field("n").type), pa.array(out, pa.bool_())], names=["n", "kept"])
+            kind_of_id = batch.schema.field("n").type
+        if row is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([row], kind_of_id), pa.array([_decide(states)], pa.bool_())], names=["n", "kept"])
+
+    decided, left = None, ranked
+    while True:
+        rows = left.join(edges, "n", "left")
+        if decided is None:
+            rows = rows.withColumn("kept", F.lit(None).cast("boolean"))
+        else:
+            rows = salted_join(rows, decided.select(F.col("n").alias("e"), "kept"), ["e"], how="left", hot=[])
+        dealt = rows.repartition("g", "block").sortWithinPartitions("g", "block", "i").select("g", "block", "n", "e", "kept")
+        new = stage.write(dealt.mapInArrow(scan, f"n {kind}, kept boolean"))
+        found = new.where("kept is not null")
+        decided = found if decided is None else decided.unionByName(found)
+        left = left.join(new.where("kept is null").select("n"), "n", "left_semi")
+        if new.where("kept is null").isEmpty():
+            stays = decided.where("kept").select(F.col("n"))
+            return und.join(stays, F.col("_o.oid") == F.col("n"), "left_semi").select("_o", "_reach", "u")
+
+
+def _decide(states: list[bool | None]) -> bool | None:
+    """A row leaves if an earlier conflict stays, stays if all of them leave; else it is not decided yet."""
+    if any(states):
+        return False
+    return None if None in states else True
+
+
 def greedy_match(pairs: DataFrame, a_rank: str, b: str, score: str) -> DataFrame:
     """One-to-one matching: the ``a`` rows in order of ``a_rank`` each take their best free ``b``.
 

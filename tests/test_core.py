@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from planloom import ordered, skew
 from planloom.operators import graph as G
+from planloom.operators import greedy
 from planloom.operators import spatial as S
 from planloom.operators.greedy import greedy_cluster, greedy_match, greedy_suppress
 
@@ -104,8 +105,10 @@ def test_overlap_pairs_of_mixed_sizes(spark):
         assert rows(S.overlap_pairs(df, df, BOX, on=["project_id"], margin=m).select("a.id", "b.id")) == both
 
 
+@pytest.mark.parametrize("few", [64, -1])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_greedy_equals_the_sequential_scan(spark, seed):
+def test_greedy_equals_the_sequential_scan(spark, monkeypatch, seed, few):
+    monkeypatch.setattr(greedy, "FEW", few)  # -1: rounds over cliques to the end
     data, df = points(spark, 150, seed, dense=True)
     kept, seed_of = [], {}
     for p in sorted(data, key=lambda r: (-r[4], r[0])):
@@ -155,3 +158,18 @@ def test_pair_order_does_not_change_results(spark):
     a = S.near_pairs(df, df, 6.0, on=["project_id"]).select("a.id", "b.id")
     b = S.near_pairs(df.orderBy(F.desc("id")), df.repartition(7), 6.0, on=["project_id"]).select("a.id", "b.id")
     assert rows(a) == rows(b)
+
+
+@pytest.mark.parametrize("block", [20_000, 7])
+def test_greedy_chain_takes_a_round_for_each_block(spark, monkeypatch, block):
+    """A chain of 60 rows, each in conflict with the two before it: the scan keeps every third."""
+    monkeypatch.setattr(greedy, "BLOCK", block)
+    rounds = []
+    write = greedy.Stage.write
+    monkeypatch.setattr(greedy.Stage, "write", lambda self, df: rounds.append(df.columns) or write(self, df))
+    df = spark.createDataFrame([(k, 1, k * 1.0, 0.0) for k in range(60)], "id long, project_id long, x double, y double")
+    home, reach = S.point_keys(("x", "y"), 2.5, ["project_id"])
+    near = lambda k, u: S.euclid(k, u, ("x", "y"), ("x", "y")) < 2.5
+    kept = greedy_suppress(df.repartition(4), [], home, reach, near, [F.col("project_id"), F.floor(F.col("x") / 1.5)])
+    assert sorted(r.id for r in kept.collect()) == list(range(0, 60, 3))
+    assert sum(c == ["n", "kept"] for c in rounds) <= -(-60 // block)
