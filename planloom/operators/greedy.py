@@ -28,7 +28,7 @@ from planloom.staging import Stage
 
 Conflict = Callable[[Column, Column], Column]
 #: Rows of a block; candidate conflicts for each row up to which they are listed.
-BLOCK, FEW = 20_000, 64
+BLOCK, FEW = 20_000, 512
 
 
 def greedy_suppress(rows: DataFrame, order: Sequence[Column], home: Column, reach: Column, conflict: Conflict,

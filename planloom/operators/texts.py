@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planloom.functions import geom
@@ -10,6 +10,7 @@ from planloom.functions import text as T
 from planloom.operators.relations import BOX, endpoints
 from planloom.operators.spatial import near_pairs, nearest, overlap_pairs
 from planloom.ordered import first_n
+from planloom.skew import salted_join
 from planloom.staging import Stage
 
 
@@ -204,38 +205,69 @@ def classify_documents(docs: DataFrame, text: str = "text", table: dict[str, lis
         "confidence": F.when(hit, F.least(F.lit(0.8), F.col("_s.score") / 50.0)).otherwise(F.lit(0.0))}).drop("_s")
 
 
-def classify_intent(msgs: DataFrame, patterns: list[tuple[str, str, float, str | None]], actions: dict[str, list[str]],
+#: A word, or what stands between two words.
+TOKEN = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"
+
+
+def word_runs(text: Column, longest: int) -> Column:
+    """The distinct runs of 1 to ``longest`` words of a text, each with what stands between its words."""
+    tokens = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
+    starts = F.filter(F.transform(tokens, lambda t, i: F.when(t.rlike(r"^[\p{L}\p{N}_]"), i + 1)), lambda i: i.isNotNull())
+
+    def of(k: int) -> Column:
+        return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(2 * k - 1)), ""))
+
+    return F.array_distinct(F.concat(*map(of, range(1, longest + 1))))
+
+
+def pattern_table(spark: SparkSession, patterns: list[tuple[str, str, float, str | None]]) -> DataFrame:
+    rows = [(i, d, w, float(wt), s) for i, (d, w, wt, s) in enumerate(patterns)]
+    return spark.createDataFrame(rows, "no int, domain string, words string, weight double, subdomain string")
+
+
+def score_domains(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(key, domain, subdomain, score, all_scores) of the texts (key, text in lower case) that some pattern matches.
+
+    Texts are listed by their runs of words and meet the pattern table (no, domain, words, weight, subdomain) in one join, so
+    the cost does not grow with the number of patterns. ``words`` begin and end with a letter, digit or underscore and match
+    whole words only. Of equal scores the domain that comes first in the table wins, of equal weights the first pattern.
+    """
+    longest = patterns.agg(F.max(F.ceil(F.size(F.regexp_extract_all("words", F.lit(TOKEN), F.lit(1))) / 2))).first()[0] or 1
+    first = patterns.groupBy("domain").agg(F.min("no").alias("domain_no"))
+    table = patterns.join(first, "domain").select(F.lower("words").alias("run"), "domain", "domain_no", "no", "weight", "subdomain")
+    hits = salted_join(texts.select("key", F.explode(word_runs(F.col("text"), int(longest))).alias("run")), table, ["run"], hot=[])
+    by_domain = hits.groupBy("key", "domain", "domain_no").agg(F.sum("weight").alias("score"), F.max_by(F.struct("subdomain"), F.struct("weight", -F.col("no"))).alias("s"))
+    best = F.max_by(F.struct("domain", "s.subdomain", "score"), F.struct("score", -F.col("domain_no"))).alias("b")
+    return by_domain.groupBy("key").agg(best, F.sum("score").alias("all_scores")).select("key", "b.*", "all_scores")
+
+
+def classify_intent(msgs: DataFrame, patterns: DataFrame | list[tuple[str, str, float, str | None]], actions: dict[str, list[str]],
                     apps: dict[str, list[str]], text: str = "text") -> DataFrame:
     """Domain, subdomain, action and program a sentence is about.
 
-    ``patterns``: (domain, words, weight, subdomain), matched as whole words; the domain with the largest summed
-    weight wins, its heaviest match names the subdomain. Actions and programs count contained words. All scores are
-    columns of one pass over the text.
+    ``patterns``: a table (see ``score_domains``) of any size, or a list of (domain, words, weight, subdomain); the domain with
+    the largest summed weight wins, its heaviest match names the subdomain. Equal texts are scored once. Actions and programs
+    count contained words. A null text is about nothing.
     """
+    if isinstance(patterns, list):
+        patterns = pattern_table(msgs.sparkSession, patterns)
     low = F.lower(text)
-    hits = F.filter(F.array(*[F.when(low.rlike(r"\b" + T._quote(w) + r"\b"), F.struct(
-        F.lit(d).alias("domain"), F.lit(float(wt)).alias("weight"), F.lit(-i).alias("neg"), F.lit(s).cast("string").alias("sub")))
-        for i, (d, w, wt, s) in enumerate(patterns)]), lambda h: h.isNotNull())
-    m = msgs.withColumn("_h", hits)
-    domains = list(dict.fromkeys(d for d, *_ in patterns))
-    total = lambda d: F.aggregate(F.filter("_h", lambda h: h["domain"] == d), F.lit(0.0), lambda s, h: s + h["weight"])
-    m = m.withColumn("_s", F.array(*[F.struct(total(d).alias("score"), F.lit(-i).alias("neg"), F.lit(d).alias("label"))
-                                     for i, d in enumerate(domains)])).withColumn("_b", F.array_max("_s"))
-    all_scores = F.aggregate("_s", F.lit(0.0), lambda s, v: s + v["score"])
-    any_hit = F.col("_b.score") > 0
-    own = F.transform(F.filter("_h", lambda h: h["domain"] == F.col("_b.label")),
-                      lambda h: F.struct(h["weight"].alias("weight"), h["neg"].alias("neg"), h["sub"].alias("sub")))
+    placed = msgs.withColumn("_key", F.md5(F.coalesce(low, F.lit(""))))
+    texts = msgs.where(F.col(text).isNotNull()).select(F.md5(low).alias("key"), low.alias("text")).dropDuplicates(["key"])
+    scored = score_domains(texts, patterns).select(F.col("key").alias("_key"), F.struct("domain", "subdomain", "score", "all_scores").alias("_b"))
+    m = salted_join(placed, scored, ["_key"], how="left")
+    any_hit = F.coalesce(F.col("_b.score") > 0, F.lit(False))
     act = F.array_max(T.keyword_scores(low, {k: [(w, 1.0) for w in v] for k, v in actions.items()}))
     count = lambda ws: sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in ws), F.lit(0))
     (n1, w1), (n2, w2) = apps.items()
     c1, c2 = count(w1), count(w2)
     return m.withColumns({
-        "domain": F.when(any_hit, F.col("_b.label")).otherwise("general"),
-        "subdomain": F.when(any_hit, F.array_max(own)["sub"]),
-        "confidence": F.when(any_hit, F.least(F.lit(1.0), F.col("_b.score") / 6.0) * 0.6 + F.col("_b.score") / all_scores * 0.4)
+        "domain": F.when(any_hit, F.col("_b.domain")).otherwise("general"),
+        "subdomain": F.when(any_hit, F.col("_b.subdomain")),
+        "confidence": F.when(any_hit, F.least(F.lit(1.0), F.col("_b.score") / 6.0) * 0.6 + F.col("_b.score") / F.col("_b.all_scores") * 0.4)
         .otherwise(F.lit(0.0)),
         "action": F.when(act["score"] > 0, act["label"]).otherwise("query"),
-        "app": F.when((c1 >= 2) & (c1 > c2 * 2), n1).when((c2 >= 2) & (c2 > c1 * 2), n2).otherwise("both")}).drop("_h", "_s", "_b")
+        "app": F.when((c1 >= 2) & (c1 > c2 * 2), n1).when((c2 >= 2) & (c2 > c1 * 2), n2).otherwise("both")}).drop("_b", "_key")
 
 
 # fixed values: words per conversion profile

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from planloom.functions import geom, naming
+from planloom.functions import geom, intents, naming
 from planloom.functions import text as T
 from planloom.operators import standards as D
 from planloom.operators import texts as X
@@ -144,24 +144,44 @@ INTENTS = [("hvac", "the", 3.0, "equipment"), ("hvac", "that", 2.5, "terminals")
            ("plumbing", "der", 3.0, "fixtures"), ("plumbing", "und", 2.0, "fittings")]
 ACTIONS = {"create": ["and", "est"], "modify": ["ich", "ment"], "delete": ["er"]}
 APPS = {"autocad": ["ou", "eau", "re"], "revit": ["the", "and", "th"]}
-_dom = {d: " + ".join(f"(CASE WHEN regexp_matches(lt, '\\b{w}\\b') THEN {wt}e0 ELSE 0e0 END)" for dd, w, wt, _ in INTENTS if dd == d)
-        for d in ("hvac", "electrical", "plumbing")}
-_sub = {d: "CASE " + " ".join(f"WHEN regexp_matches(lt, '\\b{w}\\b') THEN {q(s) if s else 'NULL'}" for dd, w, wt, s in sorted(
-    INTENTS, key=lambda r: -r[2]) if dd == d) + " END" for d in ("hvac", "electrical", "plumbing")}
 _act = {k: " + ".join(f"contains(lt,{q(w)})::INT" for w in ws) for k, ws in ACTIONS.items()}
 _app = {k: " + ".join(f"contains(lt,{q(w)})::INT" for w in ws) for k, ws in APPS.items()}
 
 
-@query("classify_intent", "T9 W8", f"""WITH l AS (SELECT conv_id, turn, translate(lower(text), 'éèêçà', '     ') AS lt FROM conversations), s AS (SELECT *, {_dom['hvac']} AS h, {_dom['electrical']} AS e, {_dom['plumbing']} AS p,
- {_act['create']} AS a1, {_act['modify']} AS a2, {_act['delete']} AS a3, {_app['autocad']} AS c1, {_app['revit']} AS c2 FROM l), b AS (SELECT *, greatest(h,e,p) AS top, greatest(a1,a2,a3) AS acts FROM s)
-SELECT conv_id, turn, CASE WHEN top=0 THEN 'general' WHEN h=top THEN 'hvac' WHEN e=top THEN 'electrical' ELSE 'plumbing' END AS domain,
- CASE WHEN top=0 THEN NULL WHEN h=top THEN {_sub['hvac']} WHEN e=top THEN {_sub['electrical']} ELSE {_sub['plumbing']} END AS subdomain,
- CASE WHEN top=0 THEN 0e0 ELSE least(1e0, top/6)*0.6+top/(h+e+p)*0.4 END AS confidence,
- CASE WHEN acts=0 THEN 'query' WHEN a1=acts THEN 'create' WHEN a2=acts THEN 'modify' ELSE 'delete' END AS action,
- CASE WHEN c1>=2 AND c1>c2*2 THEN 'autocad' WHEN c2>=2 AND c2>c1*2 THEN 'revit' ELSE 'both' END AS app FROM b""")
+def intent_sql(texts, patterns, act, app):
+    """Every pattern against every text as a regular expression; the first pattern and domain win ties."""
+    rows = ", ".join(f"({i}, {q(d)}, {q(w)}, {wt}e0, {q(sub) if sub else 'NULL::VARCHAR'})" for i, (d, w, wt, sub) in enumerate(patterns))
+    acts = ", ".join(f"{v} AS a_{k}" for k, v in act.items())
+    best = "greatest(" + ",".join(f"a_{k}" for k in act) + ")"
+    case = " ".join(f"WHEN a_{k}={best} THEN {q(k)}" for k in act)
+    (n1, c1), (n2, c2) = app.items()
+    return f"""WITH l AS ({texts}), p(no, domain, words, weight, subdomain) AS (VALUES {rows}), o AS (SELECT domain, min(no) AS dn FROM p GROUP BY ALL),
+h AS (SELECT conv_id, turn, domain, dn, sum(weight) AS score, arg_max(struct_pack(s := subdomain), (weight, -no)).s AS subdomain FROM l JOIN p ON contains(lt, words) AND regexp_matches(lt, '(^|[^\\p{{L}}\\p{{N}}_])' || words || '($|[^\\p{{L}}\\p{{N}}_])') JOIN o USING (domain) GROUP BY ALL),
+t AS (SELECT conv_id, turn, arg_max(struct_pack(d := domain, s := subdomain, v := score), (score, -dn)) AS b, sum(score) AS all_scores FROM h GROUP BY ALL),
+s AS (SELECT *, {acts}, {c1} AS c1, {c2} AS c2 FROM l LEFT JOIN t USING (conv_id, turn))
+SELECT conv_id, turn, coalesce(b.d, 'general') AS domain, b.s AS subdomain, CASE WHEN b IS NULL THEN 0e0 ELSE least(1e0, b.v/6)*0.6+b.v/all_scores*0.4 END AS confidence,
+ CASE WHEN {best}=0 THEN 'query' {case} END AS action, CASE WHEN c1>=2 AND c1>c2*2 THEN {q(n1)} WHEN c2>=2 AND c2>c1*2 THEN {q(n2)} ELSE 'both' END AS app FROM s"""
+
+
+@query("classify_intent", "T9 W8", intent_sql("SELECT conv_id, turn, lower(text) AS lt FROM conversations", INTENTS, _act, _app))
+def _(t):
+    return X.classify_intent(t.conversations.select("conv_id", "turn", "text"), INTENTS, ACTIONS, APPS).drop("text")
+
+
+# every message asks for two things of the shipped vocabulary, by its number
+_n = len(intents.PATTERNS)
+_words = "[" + ",".join(q(w) for _, w, *_ in intents.PATTERNS) + "]"
+ASKED = f"SELECT conv_id, turn, lower(concat(text, ' Show the ', {_words}[(conv_id*31+turn*7)%{_n}+1], ' (', {_words}[(conv_id*5+turn*11)%{_n}+1], ').')) AS lt FROM conversations"
+
+
+@query("shipped_intents", "T9", intent_sql(ASKED, intents.PATTERNS, {k: " + ".join(f"contains(lt,{q(w)})::INT" for w in ws) for k, ws in intents.ACTIONS.items()},
+                                           {k: " + ".join(f"contains(lt,{q(w)})::INT" for w in ws) for k, ws in intents.APPS.items()}))
 def _(t):
-    m = t.conversations.select("conv_id", "turn", F.translate(F.lower("text"), "éèêçà", "     ").alias("text"))
-    return X.classify_intent(m, INTENTS, ACTIONS, APPS).drop("text")
+    words = F.array(*[F.lit(w) for _, w, *_ in intents.PATTERNS])
+    pick = lambda a, b: F.element_at(words, ((F.col("conv_id") * a + F.col("turn") * b) % _n + 1).cast("int"))
+    m = t.conversations.select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), F.lit(" Show the "), pick(31, 7), F.lit(" ("), pick(5, 11), F.lit(").")).alias("text"))
+    return X.classify_intent(m, intents.PATTERNS, intents.ACTIONS, intents.APPS).drop("text")
+
 
 
 _pf = {k: " + ".join(f"contains(fn,{q(w)})::INT + contains(lt,{q(w)})::INT + 3*contains(dt,{q(w)})::INT" for w in ws) for k, ws in X.PROFILES.items()}
