@@ -151,12 +151,15 @@ _app = {k: " + ".join(f"contains(lt,{q(w)})::INT" for w in ws) for k, ws in APPS
 def intent_sql(texts, patterns, act, app):
     """Every pattern against every text as a regular expression; the first pattern and domain win ties."""
     rows = ", ".join(f"({i}, {q(d)}, {q(w)}, {wt}e0, {q(sub) if sub else 'NULL::VARCHAR'})" for i, (d, w, wt, sub) in enumerate(patterns))
+    edge = "[^\\p{L}\\p{N}_]"
+    hits = ", ".join(f"CASE WHEN regexp_matches(lt, {q(f'(^|{edge}){w}($|{edge})')}) THEN {i} END" for i, (_, w, *_) in enumerate(patterns))
     acts = ", ".join(f"{v} AS a_{k}" for k, v in act.items())
     best = "greatest(" + ",".join(f"a_{k}" for k in act) + ")"
     case = " ".join(f"WHEN a_{k}={best} THEN {q(k)}" for k in act)
     (n1, c1), (n2, c2) = app.items()
     return f"""WITH l AS ({texts}), p(no, domain, words, weight, subdomain) AS (VALUES {rows}), o AS (SELECT domain, min(no) AS dn FROM p GROUP BY ALL),
-h AS (SELECT conv_id, turn, domain, dn, sum(weight) AS score, arg_max(struct_pack(s := subdomain), (weight, -no)).s AS subdomain FROM l JOIN p ON contains(lt, words) AND regexp_matches(lt, '(^|[^\\p{{L}}\\p{{N}}_])' || words || '($|[^\\p{{L}}\\p{{N}}_])') JOIN o USING (domain) GROUP BY ALL),
+m AS (SELECT conv_id, turn, unnest([{hits}]) AS no FROM l),
+h AS (SELECT conv_id, turn, domain, dn, sum(weight) AS score, arg_max(struct_pack(s := subdomain), (weight, -no)).s AS subdomain FROM m JOIN p USING (no) JOIN o USING (domain) GROUP BY ALL),
 t AS (SELECT conv_id, turn, arg_max(struct_pack(d := domain, s := subdomain, v := score), (score, -dn)) AS b, sum(score) AS all_scores FROM h GROUP BY ALL),
 s AS (SELECT *, {acts}, {c1} AS c1, {c2} AS c2 FROM l LEFT JOIN t USING (conv_id, turn))
 SELECT conv_id, turn, coalesce(b.d, 'general') AS domain, b.s AS subdomain, CASE WHEN b IS NULL THEN 0e0 ELSE least(1e0, b.v/6)*0.6+b.v/all_scores*0.4 END AS confidence,

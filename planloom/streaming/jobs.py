@@ -6,10 +6,13 @@ batch that runs again after a failure gives the same tables.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from planloom.operators import keyed as K
 from planloom.operators import relations as R
@@ -113,19 +116,90 @@ def incremental_edges(changed_elements: DataFrame, elements: DataFrame, edges: D
 
 # -- P4, P5, P6, P7, P8 ---------------------------------------------------------------------------------------------
 
-def fact_state(facts: DataFrame, sink: str) -> list[dict]:
-    """Newest fact per (project, type, key) of every micro-batch, appended to ``sink``; ``facts_now`` merges the batches on read.
+#: What the state of a fact's key holds: its newest fact.
+FACT_STATE = "id long, confidence double, created_at timestamp, expires_at timestamp, value string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    No state is kept between batches, so none has to expire: ``expires_at`` is a column, and ``live_facts`` hides expired
-    facts exactly at read time. A batch that runs again writes the same folder.
+
+class NewestFact(StatefulProcessor):
+    """Keeps the newest fact of each (project, type, key), tells every change, and forgets a fact when the clock of the stream
+    (its watermark) passes ``expires_at``."""
+
+    def __init__(self, names: list[str]):
+        self.names = names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.fact = handle, handle.getValueState("fact", FACT_STATE)
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = tuple(self.fact.get()) if self.fact.exists() else None
+        best = before
+        for batch in rows:
+            for r in batch[self.names].astype(object).itertuples(index=False):
+                r = tuple(None if pd.isna(v) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in r)
+                if best is None or (r[2], r[0]) > (best[2], best[0]):  # created_at, then id
+                    best = r
+        now = timerValues.getCurrentWatermarkInMs()
+        if best is not None and best != before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if best[3] is not None and millis(best[3]) <= now:
+                self.fact.clear()
+                yield told(key, best, "expire", self.names)
+            else:
+                self.fact.update(best)
+                if best[3] is not None:
+                    self.handle.registerTimer(millis(best[3]))
+                yield told(key, best, "set", self.names)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if self.fact.exists():
+            best = tuple(self.fact.get())
+            self.fact.clear()
+            yield told(key, best, "expire", self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def millis(t: datetime.datetime) -> int:
+    return int(t.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+
+
+def told(key: tuple, fact: tuple, op: str, names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame([[*key, *fact, op]], columns=["project_id", "fact_type", "key", *names, "op"]).astype({"created_at": "datetime64[us]", "expires_at": "datetime64[us]"})
+
+
+def fact_changes(facts: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """The stream of changes (fact columns, ``op``: set or expire) to the newest fact per (project, type, key).
+
+    The newest is that of the last ``created_at``, then of the largest id; later arrivals that are older change nothing. A fact
+    with ``expires_at`` leaves the state by a timer when the watermark, ``late`` behind the newest ``created_at``, has passed
+    that time; one without stays. Facts without ``created_at`` are not ordered and left out. The state is kept by RocksDB, a
+    row for each key that has not expired. The session's time zone is taken to be UTC.
     """
-    rows = facts.select("project_id", "fact_type", "key", "id", "confidence", "created_at", "expires_at", "value")
-    newest = lambda b: K.latest(b, ["project_id", "fact_type", "key"], ["created_at", "id"])
-    return run_batches(rows, lambda b, i: newest(b).write.mode("overwrite").parquet(f"{sink}/batch={i}"), name="facts")
+    spark = facts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    names = [c.split()[0] for c in FACT_STATE.split(", ")]
+    rows = facts.select("project_id", "fact_type", "key", *names).where("created_at is not null").withWatermark("created_at", late)
+    kinds = {f.name: f.dataType.simpleString() for f in facts.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("project_id", "fact_type", "key")) + f", {FACT_STATE}, op string"
+    return rows.groupBy("project_id", "fact_type", "key").transformWithStateInPandas(NewestFact(names), schema, "Append", "EventTime")
+
+
+def fact_state(facts: DataFrame, sink: str, late: str = "0 seconds") -> list[dict]:
+    """Runs ``fact_changes`` over all that is there and appends the changes to ``sink``, a folder per micro-batch that a
+    repeated batch overwrites. Started again with the same ``sink`` it goes on from its checkpoint, beside the changes."""
+    query = (fact_changes(facts, late).writeStream.outputMode("append").option("checkpointLocation", f"{sink}.checkpoint").trigger(availableNow=True)
+             .foreachBatch(lambda b, i: b.withColumn("step", F.lit(i).cast("long")).write.mode("overwrite").parquet(f"{sink}/batch={i}")).start())
+    query.awaitTermination()
+    return query.recentProgress
 
 
 def facts_now(log: DataFrame) -> DataFrame:
-    return K.latest(log.drop("batch"), ["project_id", "fact_type", "key"], ["created_at", "id"])
+    """The facts that are set: the last change of each key, unless it is that the fact expired."""
+    last = K.latest(log.drop("batch"), ["project_id", "fact_type", "key"], ["step", "created_at", "id"])
+    return last.where("op = 'set'").drop("op", "step")
 
 
 def usage_counts(events: DataFrame, late: str, size: str) -> DataFrame:
