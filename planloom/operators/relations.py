@@ -95,6 +95,28 @@ def recompute_edges(edges: DataFrame, elements: DataFrame, changed: DataFrame, r
     return near.unionByName(same).unionByName(fresh).unionByName(on_layer_pairs(elements, layer_limit, layers))
 
 
+def edge_changes(edges: DataFrame, elements: DataFrame, changed: DataFrame, before: DataFrame, radius: float, layer_limit: int = 100) -> DataFrame:
+    """What a change of elements does to their edges: the edges to add (or set to a new distance) and to remove (``op``).
+
+    ``elements`` and ``before`` are all elements after and before the change, ``changed`` the ids. Only edges at a changed
+    element and ``on_layer`` edges of the layers that hold or held one are looked at. Nothing is said about edges that stay.
+    """
+    ids = changed.select("id").distinct()
+    layers = (elements.join(ids, "id", "left_semi").select("project_id", "layer")
+              .union(before.join(ids, "id", "left_semi").select("project_id", "layer")).where(F.col("layer").isNotNull()).distinct())
+    members = elements.join(layers, ["project_id", "layer"], "left_semi").select(F.col("id").alias("from_id"))
+    ends = [edges.join(ids.withColumnRenamed("id", c), c, "left_semi").select(*edges.columns) for c in ("from_id", "to_id")]
+    on_layer = edges.where(F.col("relation_type") == "on_layer").join(members, "from_id", "left_semi").select(*edges.columns)
+    stale = ends[0].unionByName(ends[1]).unionByName(on_layer).distinct()
+    fresh = (intersecting_pairs(elements, ids).unionByName(within_distance(elements, radius, touching=ids))
+             .unionByName(on_layer_pairs(elements, layer_limit, layers)).select(*edges.columns).distinct())
+    side = lambda n: F.max(F.when(F.col("_s") == n, F.struct("distance")))
+    both = stale.withColumn("_s", F.lit(1)).unionByName(fresh.withColumn("_s", F.lit(2)))
+    both = both.groupBy("project_id", "from_id", "to_id", "relation_type").agg(side(1).alias("was"), side(2).alias("now")).where(~F.col("was").eqNullSafe(F.col("now")))
+    change = both.withColumn("distance", F.coalesce("now", "was")["distance"]).withColumn("op", F.when(F.col("now").isNull(), "remove").otherwise("add"))
+    return change.select(*edges.columns, "op")
+
+
 # -- one reference element or point (J3, J4, J6, J7, J24) ----------------------------------------------
 
 def nearby(elements: DataFrame, ref: DataFrame, radius: float, pos=XYZ) -> DataFrame:

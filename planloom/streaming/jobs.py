@@ -97,21 +97,98 @@ def current_table(base: DataFrame, log: DataFrame, key: str = "id", version: str
 
 # -- P3 -----------------------------------------------------------------------------------------------------------
 
-def incremental_edges(changed_elements: DataFrame, elements: DataFrame, edges: DataFrame, radius: float, layer_limit: int) -> tuple[DataFrame, DataFrame]:
-    """Edges kept up to date while changed elements arrive; equal to a full recompute after every micro-batch."""
-    state = {"elements": elements, "edges": edges}
-    stage = Stage(elements.sparkSession, "edges")
+class ChangeLog:
+    """A table as a log of changes: a folder of added and removed rows (``op``) for each batch, the rows to start with as batch
+    -1, and now and then a folder ``snap=n`` that stands for all batches up to n. A row is known by its ``key``.
+
+    A batch's folder is overwritten as a whole, so a batch that runs again leaves the same log, and it reads batches before
+    itself only. A snapshot counts once Spark has marked it as complete; the folders it replaces may then go.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str]):
+        self.spark, self.path, self.key = spark, path, key
+        self.fs_path = spark._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def folders(self, kind: str) -> list[int]:
+        if not self.fs.exists(self.fs_path(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.fs_path(self.path))]
+        found = [n for n in names if n.startswith(f"{kind}=") and self.fs.exists(self.fs_path(f"{self.path}/{n}/_SUCCESS"))]
+        return sorted(int(n.split("=")[1]) for n in found)
+
+    def write(self, changes: DataFrame, batch: int) -> None:
+        changes.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def start(self, rows: DataFrame) -> None:
+        """Writes the rows to start with, once."""
+        if not self.folders("batch") and not self.folders("snap"):
+            self.write(rows.withColumn("op", F.lit("add")), -1)
+
+    def table(self, before: int | None = None) -> DataFrame:
+        """The rows after all batches, or after those before ``before``: of each key the last change, unless it removes it."""
+        snap = max((n for n in self.folders("snap") if before is None or n < before), default=None)
+        parts = [(n, f"{self.path}/batch={n}") for n in self.folders("batch") if (snap is None or n > snap) and (before is None or n < before)]
+        if snap is not None:
+            parts.append((snap, f"{self.path}/snap={snap}"))
+        log = None
+        for n, path in parts:
+            part = self.spark.read.parquet(path).withColumn("_batch", F.lit(n))
+            log = part if log is None else log.unionByName(part)
+        return K.latest(log, self.key, ["_batch"]).where("op = 'add'").drop("op", "_batch")
+
+    def compact(self) -> None:
+        """Folds all batches so far into a snapshot and removes what it replaces. Not while a batch is being written."""
+        batches, snaps = self.folders("batch"), self.folders("snap")
+        if batches:
+            last = batches[-1]
+            self.table().withColumn("op", F.lit("add")).write.mode("overwrite").parquet(f"{self.path}/snap={last}")
+            for kind, numbers in (("batch", batches), ("snap", snaps)):
+                for n in numbers:
+                    if kind == "batch" or n < last:
+                        self.fs.delete(self.fs_path(f"{self.path}/{kind}={n}"), True)
+
+
+EDGE_KEY = ["project_id", "from_id", "to_id", "relation_type"]
+
+
+def edge_logs(spark: SparkSession, root: str) -> tuple[ChangeLog, ChangeLog]:
+    """The logs of elements and edges in a folder."""
+    return ChangeLog(spark, f"{root}/elements", ["id"]), ChangeLog(spark, f"{root}/edges", EDGE_KEY)
+
+
+def incremental_edges(changed_elements: DataFrame, elements: DataFrame, edges: DataFrame, radius: float, layer_limit: int, root: str | None = None,
+                      compact_every: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Edges kept up to date while changed elements arrive; equal to a full recompute after every micro-batch.
+
+    A micro-batch appends the changed elements and the edges that come and go to two logs in ``root``; nothing is rewritten and
+    no state is kept on the driver. Started again with the same ``root``, it goes on from its checkpoint there; ``elements``
+    and ``edges`` are read the first time only. Of several rows for one id in a micro-batch the greatest counts. Every
+    ``compact_every`` batches the logs are folded, before the next batch is written.
+    """
+    spark = elements.sparkSession
+    root = root or Stage(spark, "edges").root
+    parts, lines = edge_logs(spark, root)
+    parts.start(elements)
+    lines.start(edges)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        new = stage.write(batch.select(*elements.columns).dropDuplicates(["id"]))
-        if new.isEmpty():
-            return
-        table = stage.write(state["elements"].join(new.select("id"), "id", "left_anti").select(*elements.columns).unionByName(new))
-        state["edges"] = stage.write(R.recompute_edges(state["edges"], table, new.select("id"), radius, layer_limit, before=state["elements"]))
-        state["elements"] = table
-
-    run_batches(changed_elements, step, name="edgefeed")
-    return state["elements"], state["edges"]
+        before, stage = parts.table(batch_id), Stage(spark, "edgefeed")
+        new = stage.write(K.latest(batch.select(*elements.columns), ["id"], [c for c in elements.columns if c != "id"]))
+        after = before.join(new.select("id"), "id", "left_anti").select(*elements.columns).unionByName(new)
+        lines.write(R.edge_changes(lines.table(batch_id), after, new.select("id"), before, radius, layer_limit), batch_id)
+        parts.write(new.withColumn("op", F.lit("add")), batch_id)
+
+    def step_and_fold(batch: DataFrame, batch_id: int) -> None:
+        if batch_id and batch_id % compact_every == 0:
+            for log in (parts, lines):
+                if log.folders("batch") and log.folders("batch")[-1] < batch_id:  # not when this batch runs again
+                    log.compact()
+        step(batch, batch_id)
+
+    query = (changed_elements.writeStream.foreachBatch(step_and_fold).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return parts.table(), lines.table()
 
 
 # -- P4, P5, P6, P7, P8 ---------------------------------------------------------------------------------------------
