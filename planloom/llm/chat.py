@@ -22,8 +22,9 @@ from planloom.staging import Stage
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
-#: Costs of a merge, of a relabelled role, of a missing or unknown role that gets one, and of an empty turn.
-MERGE, RELABEL, NAME, EMPTY = 1, 2, 1, 3
+#: Costs of a merge, of a relabelled role, of a missing or unknown role that becomes user or assistant, of one that becomes
+#: system (never the cheapest where a conversation may begin with the user), and of an empty turn.
+MERGE, RELABEL, NAME, AS_SYSTEM, EMPTY = 1, 2, 1, 4, 3
 #: States in which a conversation may end.
 FINAL = (START, USER, ASSISTANT)
 FAR = 1 << 40
@@ -56,7 +57,7 @@ def step_costs() -> np.ndarray:
     for role in range(4):
         for s in range(4):
             for x in (SYSTEM, USER, ASSISTANT):
-                label = 0 if role == x else NAME if role == 0 else RELABEL
+                label = 0 if role == x else RELABEL if role else AS_SYSTEM if x == SYSTEM else NAME
                 ways = [EMPTY * len(INSERTED[s, x])] if (s, x) in INSERTED else []
                 out[role, s, x] = min([FAR, *ways, *([MERGE] if s == x else [])]) + label
     return np.minimum(out, FAR)
