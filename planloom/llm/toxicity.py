@@ -28,8 +28,8 @@ PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.3
 SENTENCE = re.compile(r"[^.!?\n…。！？]+")
 WORD = re.compile(r"[^\W\d_]+")
-#: Features counted in a task before they are handed on; words whose features are remembered.
-FLUSH, MEMO = 400_000, 50_000
+#: Features counted in a task before they are handed on; words whose features are remembered (at most twice as many).
+FLUSH, MEMO = 400_000, 120_000
 
 
 def features(word: str) -> list[str]:
@@ -58,16 +58,20 @@ class Model:
 
 
 class Memo(dict):
-    """The vocabulary features of a word, by number."""
+    """The vocabulary features of a word, by number. When there are too many words, those that have not been met again since
+    the last time are forgotten."""
 
     def __init__(self, numbers: dict[str, int]):
         super().__init__()
-        self.numbers = numbers
+        self.numbers, self.older = numbers, {}
 
     def __missing__(self, word: str):
         if len(self) >= MEMO:
+            self.older = dict(self)
             self.clear()
-        hits = tuple(self.numbers[f] for f in features(word) if f in self.numbers)
+        hits = self.older.get(word)
+        if hits is None:
+            hits = tuple(self.numbers[f] for f in features(word) if f in self.numbers)
         self[word] = hits
         return hits
 
