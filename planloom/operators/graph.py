@@ -126,33 +126,34 @@ def all_paths(arcs: Arcs, start, end, max_nodes: int) -> DataFrame:
     return found
 
 
-def components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: str = "b", node: str = "node") -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: str = "b", node: str = "node", log: list[dict] | None = None) -> DataFrame:
     """(node, component): component is the smallest node id. Isolated nodes are their own component.
 
-    Labels spread along edges by a minimum per node, then every node jumps to the label of its label, so long
-    chains halve each round.
+    Large-star and small-star in turn: every node ties its larger neighbours to the smallest node around it, then its
+    smaller neighbours and itself to the smallest of those. Edges point ever nearer to the smallest node and equal ones
+    fall together, so only edges are kept, fewer each round, and a hub's edges meet its minimum in a salted join. It ends when
+    the edges are stars. ``log`` gets the number of edges of every round.
     """
-    arcs = Arcs(adjacency(edges.where(F.col(a) != F.col(b)), a, b))
-    stage = arcs.stage
-    ids = nodes.select(F.col(node).alias("node")).unionByName(arcs.df.select(F.col("src").alias("node"))).distinct()
-    labels, last = stage.write_path(ids.select("node", F.col("node").alias("component")))
+    stage = Stage(edges.sparkSession, "components")
+    links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+    links, last = stage.write_path(links)
     while True:
-        near = arcs.step(labels.select(F.col("node").alias("src"), F.col("component").alias("c")))
-        low = near.groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("c"))
-        spread = labels.join(low, "node", "left").select(
-            "node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
-        # hook: a root whose tree saw a smaller label points to it
-        lift = spread.groupBy(F.col("old").alias("node")).agg(F.min("component").alias("c2"))
-        hooked = stage.write(spread.join(lift, "node", "left").select(
-            "node", F.least("component", "c2").alias("component"), "old"))
-        jump = hooked.where(F.col("node") != F.col("component")).select(
-            F.col("node").alias("component"), F.col("component").alias("c3"))
-        moved = salted_join(hooked, jump, ["component"], how="left").select(
-            "node", F.least("component", "c3").alias("component"), "old")
-        nxt, path = stage.write_path(moved)
-        changed = nxt.where(F.col("component") != F.col("old")).limit(1).count()
-        labels = nxt.select("node", "component")
-        stage.drop(last)
-        last = path
-        if not changed:
-            return labels
+        arcs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = salted_join(arcs.where("v > u"), least, ["u"], hot=hot_keys(arcs, ["u"])).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large, wide = stage.write_path(large)
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = salted_join(large, least, ["a"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        nxt, path = stage.write_path(small.select("e.*").where("a > b").distinct())
+        # as many edges as nodes at their larger end, and none of those at a smaller end: stars
+        check = nxt.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+        row = nxt.join(check.select(F.col("a").alias("b"), F.lit(1).alias("inner")), "b", "left").agg(F.count(F.lit(1)).alias("edges"), F.count("inner").alias("inner"), F.count_distinct("a").alias("ends")).first()
+        for old in (last, wide):
+            stage.drop(old)
+        links, last = nxt, path
+        if log is not None:
+            log.append(row.asDict())
+        if row["inner"] == 0 and row["edges"] == row["ends"]:
+            break
+    ids = nodes.select(F.col(node).alias("node")).unionByName(edges.select(F.explode(F.array(a, b)).alias("node"))).where("node is not null").distinct()
+    return ids.join(links.withColumnRenamed("a", "node").withColumnRenamed("b", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -53,3 +53,27 @@ def test_paths_of_any_length_equal_a_plain_search(spark):
     feeds = T.feeds_edges(T.system_paths(df, node([0]), node([55]))).first()
     assert (feeds.from_id, feeds.to_id, feeds.n_nodes) == (0, 55, 56)
     assert T.system_paths(df, node([500]), node([500])).select(F.size("path")).first()[0] == 1
+
+
+def test_components_of_hubs_chains_and_lone_nodes(spark):
+    rng = random.Random(9)
+    edges = [(0, k) for k in range(1000, 1300)]  # a hub with most edges
+    edges += [(k + 1, k) for k in range(2000, 2120)] + [(5, 5), (7, 6), (6, 7)]
+    edges += [(3000 + rng.randrange(80), 3000 + rng.randrange(80)) for _ in range(60)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    nodes = spark.createDataFrame([(k,) for k in (5, 9, 2000, 3000)], "node long")
+    log = []
+    got = {r.node: r.component for r in T.components(nodes, spark.createDataFrame(edges, "a long, b long").repartition(4), log=log).collect()}
+    assert got == {x: find(x) for x in [*root, 9, 3000]}
+    assert len(log) <= 9 and all(x["edges"] >= y["edges"] for x, y in zip(log, log[1:]))
+    none = T.components(nodes.limit(0), spark.createDataFrame([], "a long, b long"))
+    assert none.count() == 0
