@@ -96,22 +96,33 @@ def entities(df: DataFrame, layer: str | None, type_part: str | None, limit: int
 
 
 def resolve_reference(elements: DataFrame, refs: DataFrame, hits: DataFrame | None = None) -> DataFrame:
-    """Best candidate per reference text: source id, then numeric id, then the best search hit.
+    """Best candidate per reference text: source id, then the source id of a plain number (``007`` is 7), then the element's own
+    id (the column ``uuid`` in any case of letters where elements have one, else ``id``), then the best search hit.
 
-    ``refs``: (ref); ``hits``: (ref, id, rank). Each step is an equi-join, so no candidate list is built.
+    ``refs``: (ref), spaces around it aside; ``hits``: (ref, id, rank). Each step is an equi-join, so no candidate list is built.
     """
-    by_source = refs.join(elements.select(F.col("source_id").alias("ref"), "id"), "ref").withColumn("step", F.lit(1))
-    number = F.when(F.col("ref").rlike(r"^\d+$"), F.col("ref").try_cast("long"))
-    by_id = refs.withColumn("id", number).where(F.col("id").isNotNull()).join(
-        elements.select("id"), "id", "left_semi").withColumn("step", F.lit(2))
-    found = by_source.select("ref", "id", "step", F.lit(0).alias("rank")).unionByName(
-        by_id.select("ref", "id", "step", F.lit(0).alias("rank")))
+    sources = elements.select(F.col("source_id").alias("_s"), "id")
+    clean = refs.withColumn("_c", F.trim("ref"))
+    number = F.when(F.col("_c").rlike(r"^[+-]?\d+$"), F.col("_c").try_cast("long"))
+    own = F.lower("uuid") if "uuid" in elements.columns else F.col("id").cast("string")
+    key = F.lower("_c") if "uuid" in elements.columns else number.cast("string")
+    steps = [(F.col("_c"), sources), (number.cast("string"), sources), (key, elements.select(own.alias("_s"), "id"))]
+    found = None
+    for step, (ref, table) in enumerate(steps, 1):
+        part = clean.select("ref", ref.alias("_s")).join(table, "_s").select("ref", "id", F.lit(step).alias("step"), F.lit(0).alias("rank"))
+        found = part if found is None else found.unionByName(part)
     if hits is not None:
         found = found.unionByName(hits.select("ref", "id", F.lit(4).alias("step"), F.col("rank").cast("int").alias("rank")))
     best = found.groupBy("ref").agg(F.min(F.struct("step", "rank", "id")).alias("m"))
     return refs.join(best.select("ref", "m.id", "m.step"), "ref", "left")
 
 
+def edges_contains(edges: DataFrame, containers: DataFrame | None = None) -> DataFrame:
+    """``contains`` edges, with ``containers`` (id) only those that lead from one of them."""
+    df = edges_of(edges, ["contains"])
+    return df if containers is None else df.join(containers.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(*edges.columns)
+
+
 def edges_of(edges: DataFrame, types: list[str]) -> DataFrame:
     return edges.where(F.col("relation_type").isin(types))
 

@@ -19,11 +19,12 @@ def old_turns(messages: DataFrame, keep: int) -> DataFrame:
 
 
 def summarize_conversation(messages: DataFrame, keep: int = 6, topics: int = 3, topic_chars: int = 50,
-                           max_tokens: int = 200, error_role: str = "tool") -> DataFrame:
-    """Summary of the old turns per conversation: first distinct topics, error count, tokens saved.
+                           max_tokens: int = 200, error_role: str = "tool", actions: int = 10) -> DataFrame:
+    """Summary of the old turns per conversation: first distinct topics, first ``actions`` distinct actions, error count, tokens saved.
 
-    ``messages``: (conv_id, turn, role, text). The first distinct topics come from a minimum turn per topic
-    followed by a top-n, so a long conversation is never collected.
+    ``messages``: (conv_id, turn, role, text), and the assistant's actions as ``tool_calls`` (array of names) where there are
+    any. The first distinct topics and actions come from a minimum turn for each, followed by a top-n, so a long conversation
+    is never collected.
     """
     old = old_turns(messages, keep)
     topic = F.trim(F.substring("text", 1, topic_chars))
@@ -31,6 +32,13 @@ def summarize_conversation(messages: DataFrame, keep: int = 6, topics: int = 3,
         "conv_id", "topic").agg(F.min("turn").alias("turn"))
     few = first_n(firsts, ["conv_id"], [F.col("turn")], topics)
     listed = few.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "topic"))).alias("t"))
+    listed = listed.withColumn("acts", F.lit(None).cast("string"))
+    if "tool_calls" in messages.columns:
+        calls = old.where("role = 'assistant'").select("conv_id", "turn", F.posexplode("tool_calls").alias("pos", "act"))
+        done = calls.groupBy("conv_id", "act").agg(F.min(F.struct("turn", "pos")).alias("at"))
+        named = first_n(done, ["conv_id"], [F.col("at"), F.col("act")], actions).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "act"))).alias("l"))
+        named = named.select("conv_id", F.array_join(F.transform("l", lambda s: s["act"]), ", ").alias("acts"))
+        listed = listed.drop("acts").join(named, "conv_id", "full_outer")
     bad = F.contains(F.lower("text"), F.lit("error")) | F.contains(F.lower("text"), F.lit("failed"))
     totals = old.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("messages_summarized"),
@@ -38,6 +46,7 @@ def summarize_conversation(messages: DataFrame, keep: int = 6, topics: int = 3,
         F.count_if((F.col("role") == error_role) & bad).alias("errors"))
     joined = F.array_join(F.transform("t", lambda s: s["topic"]), "; ")
     parts = F.concat_ws(". ", F.when(F.col("t").isNotNull(), F.concat(F.lit("Topics: "), joined)),
+                        F.concat(F.lit("Actions: "), "acts"),
                         F.when(F.col("errors") > 0, F.concat(F.lit("Errors encountered: "), F.col("errors").cast("string"))))
     text = F.when(parts == "", "[Previous conversation context]").otherwise(parts)
     cap = max_tokens * 4

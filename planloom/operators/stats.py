@@ -34,6 +34,39 @@ def context_totals(elements: DataFrame, edges: DataFrame) -> DataFrame:
     return e.join(r, "project_id", "left").withColumn("relationships", F.coalesce("relationships", F.lit(0)))
 
 
+def edge_build_stats(edges: DataFrame) -> DataFrame:
+    """(name, value) rows of inferred edges (relation_type, system, confidence, bidirectional): total, average confidence (0 for
+    none), bidirectional edges, and how many there are of each type and of each known system. One pass; rows, not a map."""
+    total = edges.agg(F.count(F.lit(1)).cast("double").alias("total"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("average_confidence"),
+                      F.count_if("bidirectional").cast("double").alias("bidirectional"))
+    flat = total.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in total.columns])).alias("r")).select("r.*")
+    kinds = F.array(F.concat(F.lit("type:"), "relation_type"), F.when(F.col("system") != "unknown", F.concat(F.lit("system:"), "system")))
+    counts = edges.select(F.explode(F.array_compact(kinds)).alias("name")).groupBy("name").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return flat.unionByName(counts)
+
+
+def required_layers(entities: DataFrame) -> DataFrame:
+    """The distinct layers that entities need, in order."""
+    return entities.select("layer").distinct().orderBy("layer")
+
+
+def required_blocks(entities: DataFrame, entity_type: str = "block") -> DataFrame:
+    """The distinct, not empty block names of block entities (type in any case of letters), in order."""
+    named = entities.where((F.lower("entity_type") == entity_type) & F.col("block_name").isNotNull() & (F.col("block_name") != ""))
+    return named.select("block_name").distinct().orderBy("block_name")
+
+
+def validation_report(results: DataFrame) -> DataFrame:
+    """``results`` (status, accuracy, iteration, max_iterations, approved, issues, critical, major, minor, corrections, applied)
+    with the lines of a report as ``report``."""
+    line = lambda name, *v: F.concat(F.lit(name), *[F.col(c).cast("string") if isinstance(c, str) else c for c in v])
+    found = F.concat_ws("\n", line("Issues Found: ", "issues"), line("  - Critical: ", "critical"), line("  - Major: ", "major"), line("  - Minor: ", "minor"),
+                        F.when(F.col("corrections") > 0, F.concat_ws("\n", F.lit(""), line("Corrections Suggested: ", "corrections"), line("Corrections Applied: ", "applied"))))
+    head = F.concat_ws("\n", line("Validation Status: ", "status"), F.concat(F.lit("Accuracy Estimate: "), F.bround("accuracy", 0).cast("long").cast("string"), F.lit("%")),
+                       F.concat(F.lit("Iterations: "), F.col("iteration").cast("string"), F.lit("/"), F.col("max_iterations").cast("string")), F.lit(""))
+    return results.withColumn("report", F.concat_ws("\n", head, F.when(F.col("approved"), "Result: APPROVED - Extraction validated successfully!").otherwise(found)))
+
+
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 

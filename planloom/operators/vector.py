@@ -67,6 +67,12 @@ def hybrid_topk(df: DataFrame, query: DataFrame, point: tuple[float, ...], radiu
     return vector_topk(near, query, k, None, vec, tie)
 
 
+def hybrid_topk_near(df: DataFrame, query: DataFrame, element, radius: float, k: int, vec: str = "embedding", tie: str = "id") -> DataFrame:
+    """``hybrid_topk`` around the element with the id ``element``, which counts itself. Without it (or its place) no rows."""
+    at = df.where((F.col(tie) == element) & F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull()).select(*XYZ).first()
+    return hybrid_topk(df if at else df.limit(0), query, tuple(at) if at else (0.0, 0.0, 0.0), radius, k, vec, tie)
+
+
 def prefer_nearby(candidates: DataFrame, nearby_ids: DataFrame) -> DataFrame:
     """First candidate (by rank) that is near the context element, else the top one."""
     near = nearby_ids.select("id", F.lit(True).alias("_n"))

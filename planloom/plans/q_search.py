@@ -40,6 +40,15 @@ def _(t):
     return V.hybrid_topk(element_vectors(t), first_vector(t), (50.0, 50.0, 2.0), 30.0, 10).select("id", "distance", "spatial_distance")
 
 
+@query("hybrid_topk_near", "K2", ctes("elements") + f""", {EV}, spot AS (SELECT x AS px, y AS py, z AS pz FROM v ORDER BY id LIMIT 1)
+SELECT v.id, {COS} AS distance, sqrt((x-px)*(x-px)+(y-py)*(y-py)+(z-pz)*(z-pz)) AS spatial_distance FROM v, q, spot
+ WHERE sqrt((x-px)*(x-px)+(y-py)*(y-py)+(z-pz)*(z-pz))<=30 ORDER BY distance, v.id LIMIT 10""")
+def _(t):
+    """The same around the element of the smallest id."""
+    e = element_vectors(t)
+    return V.hybrid_topk_near(e, first_vector(t), e.agg(F.min("id")).first()[0], 30.0, 10).select("id", "distance", "spatial_distance")
+
+
 @query("symbol_topk", "K3", f"WITH {VQ} SELECT v.id, 1-{COS} AS confidence FROM v, q WHERE {COS}<1-0.05 ORDER BY {COS}, v.id LIMIT 20")
 def _(t):
     return V.symbol_topk(vectors(t), first_vector(t), 20, 0.05).select("id", "confidence")

@@ -34,10 +34,13 @@ def _(t):
     return j.groupBy((F.col("doc_id") % 10).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.count("embedding").alias("embedded"))
 
 
-@query("edge_build_stats", "A6", ctes("edges") + " SELECT kind, count(*) AS n, avg(length) AS mean_length, count(*) FILTER (WHERE a>b) AS backward FROM edges GROUP BY kind")
+@query("edge_build_stats", "A6", ctes("edges") + """, r AS (SELECT *, CASE id%4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'hvac' WHEN 2 THEN 'plumbing' END AS system, (id%10)/10e0 AS confidence FROM edges)
+SELECT 'total' AS name, count(*)::DOUBLE AS value FROM r UNION ALL SELECT 'average_confidence', round(avg(confidence),9) FROM r UNION ALL SELECT 'bidirectional', count(*) FILTER (WHERE a>b) FROM r
+UNION ALL SELECT 'type:'||kind, count(*) FROM r GROUP BY kind UNION ALL SELECT 'system:'||system, count(*) FROM r WHERE system<>'unknown' GROUP BY system""")
 def _(t):
-    return t.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"),
-                                       F.count_if(F.col("a") > F.col("b")).alias("backward"))
+    system = F.when(F.col("id") % 4 == 0, "unknown").when(F.col("id") % 4 == 1, "hvac").when(F.col("id") % 4 == 2, "plumbing")
+    e = t.edges.select(F.col("kind").alias("relation_type"), system.alias("system"), ((F.col("id") % 10) / 10).alias("confidence"), (F.col("a") > F.col("b")).alias("bidirectional"))
+    return stats.edge_build_stats(e).withColumn("value", F.round("value", 9))
 
 
 @query("entities_by", "A9", E + """, r AS (SELECT project_id, layer, id, (row_number() OVER (PARTITION BY project_id, layer ORDER BY id)-1)//10 AS block FROM elements WHERE NOT deleted)
@@ -49,7 +52,14 @@ def _(t):
 
 @query("required_layers", "A10", E + " SELECT DISTINCT layer FROM elements WHERE NOT deleted")
 def _(t):
-    return t.elements.where("not deleted").select("layer").distinct().orderBy("layer")
+    return stats.required_layers(t.elements.where("not deleted"))
+
+
+@query("required_blocks", "A10", E + " SELECT DISTINCT family AS block_name FROM elements WHERE entity_type='PROMO' AND NOT deleted")
+def _(t):
+    kind = F.when(F.col("entity_type") == "PROMO", "BLOCK").otherwise(F.col("entity_type"))
+    blocks = t.elements.where("not deleted").select(kind.alias("entity_type"), F.when(F.col("entity_type") != "SMALL", F.col("family")).otherwise("").alias("block_name"))
+    return stats.required_blocks(blocks)
 
 
 @query("batch_status", "A13", """SELECT o_custkey AS batch, count(*) FILTER (WHERE o_orderstatus='F') AS success, count(*) FILTER (WHERE o_orderstatus='P') AS failed,
@@ -67,27 +77,31 @@ def _(t):
     return p.withColumnsRenamed({"F": "critical", "O": "major", "P": "minor"})
 
 
-@query("validation_report", "A22", """SELECT c_custkey AS drawing, 'Validation Status: '||CASE WHEN n=0 THEN 'approved' ELSE 'needs_correction' END||chr(10)||'Issues Found: '||n||chr(10)||'  - Critical: '||f||chr(10)||'  - Major: '||o||chr(10)||'  - Minor: '||p AS report
- FROM (SELECT c_custkey, count(o_orderkey) AS n, count(*) FILTER (WHERE o_orderstatus='F') AS f, count(*) FILTER (WHERE o_orderstatus='O') AS o, count(*) FILTER (WHERE o_orderstatus='P') AS p
- FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY c_custkey)""")
+@query("validation_report", "A22", """WITH r AS (SELECT c_custkey AS drawing, count(o_orderkey) AS n, count(*) FILTER (WHERE o_orderstatus='F') AS f, count(*) FILTER (WHERE o_orderstatus='O') AS o, count(*) FILTER (WHERE o_orderstatus='P') AS p FROM customer LEFT JOIN orders ON o_custkey=c_custkey GROUP BY ALL)
+SELECT drawing, 'Validation Status: '||CASE WHEN n=0 THEN 'approved' ELSE 'needs_correction' END||chr(10)||'Accuracy Estimate: '||(100-n%40)||'%'||chr(10)||'Iterations: '||(n%3+1)||'/3'||chr(10)||chr(10)||
+ CASE WHEN n=0 THEN 'Result: APPROVED - Extraction validated successfully!' ELSE 'Issues Found: '||n||chr(10)||'  - Critical: '||f||chr(10)||'  - Major: '||o||chr(10)||'  - Minor: '||p||
+ CASE WHEN f>0 THEN chr(10)||chr(10)||'Corrections Suggested: '||f||chr(10)||'Corrections Applied: '||f//2 ELSE '' END END AS report FROM r""")
 def _(t):
-    n = lambda s: F.coalesce(F.count_if(F.col("o_orderstatus") == s), F.lit(0)).cast("string")
-    total = F.count("o_orderkey")
-    return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.col("c_custkey").alias("drawing")).agg(
-        F.concat_ws("\n", F.concat(F.lit("Validation Status: "), F.when(total == 0, "approved").otherwise("needs_correction")),
-                    F.concat(F.lit("Issues Found: "), total.cast("string")), F.concat(F.lit("  - Critical: "), n("F")),
-                    F.concat(F.lit("  - Major: "), n("O")), F.concat(F.lit("  - Minor: "), n("P"))).alias("report"))
+    n = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    r = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left").groupBy(F.col("c_custkey").alias("drawing")).agg(
+        F.count("o_orderkey").alias("issues"), n("F").alias("critical"), n("O").alias("major"), n("P").alias("minor"))
+    r = r.withColumns({"approved": F.col("issues") == 0, "accuracy": (100 - F.col("issues") % 40) + F.lit(0.25), "iteration": F.col("issues") % 3 + 1, "max_iterations": F.lit(3),
+                       "corrections": F.col("critical"), "applied": F.floor(F.col("critical") / 2)})
+    return stats.validation_report(r.withColumn("status", F.when(F.col("approved"), "approved").otherwise("needs_correction"))).select("drawing", "report")
 
 
 @query("summarize_conversation", "A16 C15", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations),
 old AS (SELECT * FROM o WHERE rn>4), topics AS (SELECT conv_id, trim(text[1:50], ' ') AS topic, min(turn) AS turn FROM old WHERE role='user' AND length(trim(text[1:50],' '))>0 GROUP BY ALL),
+acts AS (SELECT conv_id, act, min(turn) AS turn FROM (SELECT conv_id, turn, string_split(trim(text),' ')[1] AS act FROM old WHERE role='assistant') WHERE act<>'' GROUP BY ALL),
+aa AS (SELECT conv_id, string_agg(act,', ' ORDER BY turn, act) AS a FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, act) rn FROM acts) WHERE rn<=10 GROUP BY conv_id),
 tt AS (SELECT conv_id, string_agg(topic,'; ' ORDER BY turn) AS t FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) rn FROM topics) WHERE rn<=3 GROUP BY conv_id),
 s AS (SELECT conv_id, count(*) AS messages_summarized, sum(length(text)//4)::BIGINT AS old_tokens, count(*) FILTER (WHERE role='assistant' AND (contains(lower(text),'error') OR contains(lower(text),'failed'))) AS errors FROM old GROUP BY conv_id),
-u AS (SELECT s.*, CASE WHEN t IS NULL AND errors=0 THEN '[Previous conversation context]' ELSE concat_ws('. ', 'Topics: '||t, CASE WHEN errors>0 THEN 'Errors encountered: '||errors END) END AS summary FROM s LEFT JOIN tt USING (conv_id))
+u AS (SELECT s.*, CASE WHEN t IS NULL AND a IS NULL AND errors=0 THEN '[Previous conversation context]' ELSE concat_ws('. ', 'Topics: '||t, 'Actions: '||a, CASE WHEN errors>0 THEN 'Errors encountered: '||errors END) END AS summary FROM s LEFT JOIN tt USING (conv_id) LEFT JOIN aa USING (conv_id))
 SELECT conv_id, messages_summarized, errors, CASE WHEN length(summary)>160 THEN summary[1:157]||'...' ELSE summary END AS summary,
  old_tokens - (CASE WHEN length(summary)>160 THEN 160 ELSE length(summary) END)//4 AS tokens_saved FROM u""")
 def _(t):
-    return M.summarize_conversation(t.conversations, keep=4, max_tokens=40, error_role="assistant")
+    tool = F.array_compact(F.array(F.when(F.trim("text") != "", F.split(F.trim("text"), " ")[0])))  # the first word stands for the tool an answer called
+    return M.summarize_conversation(t.conversations.withColumn("tool_calls", tool), keep=4, max_tokens=40, error_role="assistant")
 
 
 @query("degree", "A20", ctes("edges") + " SELECT node, count(*) AS degree FROM (SELECT a AS node FROM edges UNION ALL SELECT b FROM edges) GROUP BY node")

@@ -254,7 +254,7 @@ def _(t):
 
 
 @query("resolve_reference", "F6", E + """, refs AS (SELECT DISTINCT CASE c_custkey%3 WHEN 0 THEN 'S'||c_custkey WHEN 1 THEN c_custkey::VARCHAR ELSE c_name END AS ref FROM customer),
-c AS (SELECT ref, id, 1 AS step FROM refs JOIN elements ON source_id=ref UNION ALL SELECT ref, id, 2 FROM refs JOIN elements ON id=TRY_CAST(ref AS BIGINT) AND regexp_full_match(ref,'[0-9]+')
+c AS (SELECT ref, id, 1 AS step FROM refs JOIN elements ON source_id=ref UNION ALL SELECT ref, id, 3 FROM refs JOIN elements ON id=TRY_CAST(ref AS BIGINT) AND regexp_full_match(ref,'[0-9]+')
  UNION ALL SELECT ref, min(id), 4 FROM refs JOIN elements ON length(description)=length(ref)-8 GROUP BY ref)
 SELECT ref, arg_min(id, step) AS id, min(step)::INTEGER AS step FROM (SELECT * FROM c UNION ALL SELECT ref, NULL, NULL FROM refs) GROUP BY ref""")
 def _(t):
@@ -315,6 +315,16 @@ def _(t):
     return X.edges_of(t.edges.withColumnRenamed("kind", "relation_type"), ["5-LOW", "1-URGENT"]).select("id", "a", "b")
 
 
+@query("edges_contains", "F11", ctes("rooms", "symbols") + """SELECT r.id AS from_id, s.id AS to_id FROM rooms r JOIN symbols s ON s.project_id=r.project_id
+ WHERE s.x BETWEEN r.x0 AND r.x1 AND s.y BETWEEN r.y0 AND r.y1 AND r.name LIKE '%ring%'""")
+def _(t):
+    """What rooms of one kind contain, among the edges of all rooms."""
+    rooms = t.rooms.withColumns({"boundary": F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))])})
+    inside = R.contains_bbox(rooms, t.symbols).select(F.col("room.id").alias("from_id"), F.col("point.id").alias("to_id"), F.lit("contains").alias("relation_type"))
+    others = t.edges.select(F.col("a").alias("from_id"), F.col("b").alias("to_id"), F.col("kind").alias("relation_type"))
+    return X.edges_contains(inside.unionByName(others), t.rooms.where("name like '%ring%'")).select("from_id", "to_id")
+
+
 @query("json_eq", "F12 C18", "SELECT event_id FROM events WHERE json_extract_string(props,'$.k')='69'")
 def _(t):
     return t.events.where(F.get_json_object("props", "$.k") == "69").select("event_id")
