@@ -15,8 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import json
-import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -27,33 +25,55 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from planloom.llm.bpe import Vocabulary, pack, unpack
+from planloom.llm.bpe import Splitter, Vocabulary, pack, unpack
 from planloom.llm.common import salted_join
 from planloom.staging import Stage
 
 #: Characters of documents in a chunk, and of texts that are encoded together; a longer document is alone.
 CHUNK_CHARS, TOGETHER = 8_000_000, 1_000_000
+#: Words that are remembered (at most twice as many, and the words of one batch).
+MEMO = 150_000
+#: Stands for the ids of a word that they don't give back.
+UNLIKE = -1
 #: A pair is one number: A's id shifted by so many bits, plus B's.
 SHIFT = 32
+#: Ends of the first window that is compared.
+FIRST = 4
 #: Token pairs of an irregular group that are listed one by one; in larger groups equal ids are counted first.
 LISTED = 64
 
 
 class ByteLevel:
-    """Tokenizer A. Strings of special tokens inside a text are plain text."""
+    """Tokenizer A. Strings of special tokens inside a text are plain text. The texts' different words are encoded once, and
+    remembered; when there are too many, those that have not been met again since the last time are forgotten."""
 
     def __init__(self, spec: str, pieces: list[bytes]):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer, self.split = Vocabulary.encoder(spec), Splitter([])
         self.tokenizer.encode_special_tokens = True
-        self.pieces, self.sizes = pieces, np.fromiter(map(len, pieces), np.int64, len(pieces))
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        self.pieces, self.sizes, self.names = pieces, np.fromiter(map(len, pieces), np.int64, len(pieces)), list(map(str, range(len(pieces))))
+
+    def encode(self, texts: list[str]) -> list[list[int] | None]:
+        """The ids of a space and each text; None where their bytes are not those of the text."""
+        cut, new = [self.split(" " + t) for t in texts], []
+        if len(self.known) > MEMO:
+            self.known, self.older = {}, self.known
+        for word in set(itertools.chain.from_iterable(cut)):
+            if word not in self.known:
+                if word in self.older:
+                    self.known[word] = self.older[word]
+                else:
+                    new.append(word)
+        piece = self.pieces.__getitem__
+        for word, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            ids = e.ids
+            self.known[word] = ids if b"".join(map(piece, ids)) == word.encode() else [UNLIKE]
+        out = []
+        for text, words in zip(texts, cut):
+            ids = list(itertools.chain.from_iterable(map(self.known.__getitem__, words)))
+            out.append(ids if len(text) + 1 == sum(map(len, words)) and UNLIKE not in ids else None)
+        return out
 
 
 class Pieces:
@@ -64,7 +84,7 @@ class Pieces:
 
         self.tokenizer = SentencePieceProcessor(model_proto=model)
         self.pieces = [self.bytes_of(self.tokenizer.id_to_piece(k)) for k in range(self.tokenizer.get_piece_size())]
-        self.sizes = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
+        self.sizes, self.names = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces)), list(map(str, range(len(self.pieces))))
 
     @staticmethod
     def bytes_of(piece: str) -> bytes:
@@ -72,36 +92,39 @@ class Pieces:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.tokenizer.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[list[int] | None]:
+        """The ids of each text, the space before it included; None where their bytes are not those of the text."""
+        piece, out = self.pieces.__getitem__, []
+        for text, ids in zip(texts, self.tokenizer.encode(texts, num_threads=1)):
+            out.append(ids if b"".join(map(piece, ids)) == (" " + text).encode() else None)
+        return out
 
 
 def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
     """(i, i', j, j'): tokens i..i' of A and j..j' of B, from the byte ends of both. With i' - i = j' - j the ends are equal one
     by one, each pair a group of its own; else, or if both are 1, it is one group. The last ends of a and b are equal."""
-    i, j, n, m = 0, 0, len(a), len(b)
+    i, j, n = 0, 0, len(a)
     while i < n:
-        start, window = i, 1
-        while i < n and window:
-            k = min(window, n - i, m - j)
-            if k and a[i : i + k] == b[j : j + k]:
-                i, j, window = i + k, j + k, 2 * window
-            else:  # the first difference lies in this window: halve it down
-                while k := k // 2:
-                    if a[i : i + k] == b[j : j + k]:
-                        i, j = i + k, j + k
-                while i < n and j < m and a[i] == b[j]:
-                    i, j = i + 1, j + 1
-                window = 0
+        start, k = i, FIRST
+        while (ends := a[i : i + k]) and ends == b[j : j + k]:
+            i, j, k = i + len(ends), j + len(ends), 2 * k
+        while k := k >> 1:  # the first difference lies in this window: halve it down
+            if i + k <= n and a[i : i + k] == b[j : j + k]:
+                i, j = i + k, j + k
+        while i < n and a[i] == b[j]:
+            i, j = i + 1, j + 1
         if i > start:
             yield start, i, j - (i - start), j
         if i < n:
             start, other = i, j
-            while a[i] != b[j]:
-                if a[i] < b[j]:
+            x, y = a[i], b[j]
+            while x != y:
+                if x < y:
                     i += 1
+                    x = a[i]
                 else:
                     j += 1
+                    y = b[j]
             i, j = i + 1, j + 1
             yield start, i, other, j
 
@@ -109,43 +132,51 @@ def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]
 class Alignment:
     """Groups and links of one text: ``keys`` are its distinct pairs in order, ``times`` how often each is linked."""
 
-    def __init__(self, ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]):
+    def __init__(self, ids_a: list[int], ids_b: list[int], a: ByteLevel, b: Pieces):
         self.n_a, self.n_b, self.n_groups, self.n_links = len(ids_a), len(ids_b), 0, 0
-        names_a, names_b = list(map(str, ids_a)), list(map(str, ids_b))
-        groups, pairs, many = [], [], Counter()
+        words_a, words_b = list(map(a.names.__getitem__, ids_a)), list(map(b.names.__getitem__, ids_b))
+        all_a, all_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(a.sizes[all_a]).tolist(), np.cumsum(b.sizes[all_b]).tolist()
+        groups, pairs, many, runs = [], [], Counter(), []
         for i, i_end, j, j_end in stretches(ends_a, ends_b):
-            a, b = ids_a[i:i_end], ids_b[j:j_end]
-            if len(a) == len(b) and ends_a[i] == ends_b[j]:
-                self.n_groups += len(a)
-                self.n_links += len(a)
-                groups += [f"{x}|{y}" for x, y in zip(names_a[i:i_end], names_b[j:j_end])]
-                pairs += [x << SHIFT | y for x, y in zip(a, b)]
+            if ends_a[i] == ends_b[j]:
+                runs.append((i, i_end, j, j_end))
+                groups += map("|".join, zip(words_a[i:i_end], words_b[j:j_end]))
                 continue
-            self.n_groups += 1
-            self.n_links += len(a) * len(b)
-            groups.append(",".join(names_a[i:i_end]) + "|" + ",".join(names_b[j:j_end]))
-            if len(a) * len(b) <= LISTED:
-                pairs += [x << SHIFT | y for x in a for y in b]
+            own, other = ids_a[i:i_end], ids_b[j:j_end]
+            groups.append(",".join(words_a[i:i_end]) + "|" + ",".join(words_b[j:j_end]))
+            n_links = len(own) * len(other)
+            self.n_links += n_links
+            if n_links <= LISTED:
+                pairs += [x << SHIFT | y for x in own for y in other]
             else:
-                other = Counter(b)
-                for x, n in Counter(a).items():
+                other = Counter(other)
+                for x, n in Counter(own).items():
                     for y, m in other.items():
                         many[x << SHIFT | y] += n * m
-        listed = np.concatenate([np.array(pairs, np.int64), np.fromiter(many, np.int64, len(many))])
+        # tokens of one-to-one groups follow each other in the same order on both sides
+        i, i_end, j, j_end = np.array(runs, np.int64).reshape(-1, 4).T
+        one = (all_a[inside(i, i_end, len(ids_a))] << SHIFT) | all_b[inside(j, j_end, len(ids_b))]
+        self.n_groups, self.n_links = len(groups), self.n_links + len(one)
+        listed = np.concatenate([one, np.array(pairs, np.int64), np.fromiter(many, np.int64, len(many))])
         self.keys, places = np.unique(listed, return_inverse=True)
         self.times = np.zeros(len(self.keys), np.int64)
-        np.add.at(self.times, places, np.concatenate([np.ones(len(pairs), np.int64), np.fromiter(many.values(), np.int64, len(many))]))
+        np.add.at(self.times, places, np.concatenate([np.ones(len(one) + len(pairs), np.int64), np.fromiter(many.values(), np.int64, len(many))]))
         self.groups_sha256 = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
 
 
+def inside(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the ranges, which do not overlap."""
+    change = np.zeros(n + 1, np.int64)
+    change[starts] += 1
+    np.subtract.at(change, stops, 1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def aligned(texts: list[str], a: ByteLevel, b: Pieces) -> Iterator[Alignment]:
-    none = Alignment([], [], [], [])
+    none = Alignment([], [], a, b)
     for text, ids_a, ids_b in zip(texts, a.encode(texts), b.encode(texts)):
-        whole = (" " + text).encode()
-        if not text or whole != b"".join(map(a.pieces.__getitem__, ids_a)) or whole != b"".join(map(b.pieces.__getitem__, ids_b)):
-            yield none
-        else:
-            yield Alignment(ids_a, ids_b, np.cumsum(a.sizes[ids_a]).tolist(), np.cumsum(b.sizes[ids_b]).tolist())
+        yield none if not text or ids_a is None or ids_b is None else Alignment(ids_a, ids_b, a, b)
 
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
@@ -249,8 +280,8 @@ def links(docs: DataFrame, byte_level_path: str, model_path: str, doc_id: str =
         a, b = ByteLevel(spec, pieces), Pieces(model)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                (ids_a,), (ids_b,), whole = a.encode([text.as_py()]), b.encode([text.as_py()]), (" " + text.as_py()).encode()
-                if whole != b"".join(map(a.pieces.__getitem__, ids_a)) or whole != b"".join(map(b.pieces.__getitem__, ids_b)):
+                (ids_a,), (ids_b,) = a.encode([text.as_py()]), b.encode([text.as_py()])
+                if ids_a is None or ids_b is None:
                     continue
                 ends_a, ends_b = np.cumsum(a.sizes[ids_a]).tolist(), np.cumsum(b.sizes[ids_b]).tolist()
                 out, first = [], 0

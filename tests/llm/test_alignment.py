@@ -1,7 +1,9 @@
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -84,11 +86,12 @@ def test_stretches_equal_common_ends():
 
 
 def test_long_groups_count_equal_ids_first(monkeypatch):
-    ids_a, ids_b, ends_a, ends_b = [1, 2] * 500, [3] * 999, list(range(2, 2001, 2)), [*range(1, 1997, 2), 2000]
-    one = alignment.Alignment(ids_a, ids_b, ends_a, ends_b)
-    assert (one.n_groups, one.n_links, one.keys.tolist(), one.times.tolist()) == (1, 999_000, [1 << 32 | 3, 2 << 32 | 3], [499_500, 499_500])
+    ids_a, ids_b = [1, 2] * 500, [4, *[3] * 997, 5]  # ends at 2, 4, ..., 2000 and at 1, 3, ..., 1995, 2000
+    table = SimpleNamespace(names=list("012345"), sizes=np.array([0, 2, 2, 2, 1, 5]))
+    one = alignment.Alignment(ids_a, ids_b, table, table)
+    assert (one.n_groups, one.n_links, one.keys.tolist(), one.times.tolist()) == (1, 999_000, [1 << 32 | 3, 1 << 32 | 4, 1 << 32 | 5, 2 << 32 | 3, 2 << 32 | 4, 2 << 32 | 5], [498_500, 500, 500] * 2)
     monkeypatch.setattr(alignment, "LISTED", 10**9)
-    other = alignment.Alignment(ids_a, ids_b, ends_a, ends_b)
+    other = alignment.Alignment(ids_a, ids_b, table, table)
     assert (one.groups_sha256, one.keys.tolist(), one.times.tolist()) == (other.groups_sha256, other.keys.tolist(), other.times.tolist())
 
 
