@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planloom.skew import join_all
+from planloom.staging import Stage, remove
 
 
 def latest(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
@@ -47,6 +48,33 @@ def purge(elements: DataFrame, edges: DataFrame, projects: DataFrame) -> tuple[D
     return kept, edges.join(gone, "project_id", "left_anti")
 
 
+#: Folders that a stored table is dealt to by project.
+PARTS = 64
+
+
+def part_of(parts: int) -> Column:
+    return F.pmod(F.xxhash64("project_id"), F.lit(parts)).cast("int")
+
+
+def store_by_project(df: DataFrame, path: str, parts: int = PARTS) -> None:
+    """Writes a table in ``parts`` folders by a hash of the project, so that a project is in one of them."""
+    df.withColumn("part", part_of(parts)).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def purge_stored(spark: SparkSession, paths: list[str], projects: DataFrame, parts: int = PARTS) -> None:
+    """Removes projects from tables written by ``store_by_project``: elements, then, by cascade, edges and whatever else is kept
+    by project. Only folders that hold one of the projects are read and written (dynamic partition overwrite); a folder that
+    is left without rows is removed. Done again, or after a failure half way, it gives the same tables."""
+    gone = projects.where("project_id is not null").select("project_id").distinct()
+    numbers = sorted(r[0] for r in gone.select(part_of(parts).alias("part")).distinct().collect())  # at most ``parts``
+    for path in paths:
+        stage = Stage(spark, "purge")
+        left = stage.write(spark.read.parquet(path).where(F.col("part").isin(numbers)).join(gone, "project_id", "left_anti"))
+        left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        for n in set(numbers) - {r[0] for r in left.select("part").distinct().collect()}:
+            remove(spark, f"{path}/part={n}")
+
+
 def changed_files(manifest: DataFrame, seen: DataFrame) -> DataFrame:
     """Inputs whose (path, hash) has not been processed."""
     return manifest.join(seen.select("path", "hash").distinct(), ["path", "hash"], "left_anti")

@@ -9,6 +9,7 @@ from planloom.operators import relations as R
 from planloom.plans.bind import ctes
 from planloom.plans.registry import query
 from planloom.sources import entities as S
+from planloom.staging import Stage
 
 E = ctes("elements")
 NOW = "TIMESTAMP '2024-01-03 00:00:00'"
@@ -114,6 +115,19 @@ def _(t):
         edges.agg(F.lit("edge").alias("what"), F.count(F.lit(1)).alias("n")))
 
 
+@query("purge_stored", "S8", ctes("elements", "segments") + """SELECT 'elements' AS name, project_id, count(*) AS n FROM elements WHERE project_id%3<>1 GROUP BY project_id
+UNION ALL SELECT 'segments', project_id, count(*) FROM segments WHERE project_id%3<>1 GROUP BY project_id""")
+def _(t):
+    """Every third project is removed from two stored tables, whose folders are then read again."""
+    root = Stage(t.spark, "projects").root
+    paths = {name: f"{root}/{name}" for name in ("elements", "segments")}
+    for name, path in paths.items():
+        K.store_by_project(getattr(t, name), path, 16)
+    K.purge_stored(t.spark, list(paths.values()), t.segments.select("project_id").union(t.elements.select("project_id")).where("project_id % 3 = 1"), 16)
+    counts = [t.spark.read.parquet(path).groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "project_id", "n") for name, path in paths.items()]
+    return counts[0].unionByName(counts[1])
+
+
 @query("changed_files", "S9 C19", """SELECT url AS path, md5(html) AS hash FROM pages p WHERE NOT EXISTS
  (SELECT 1 FROM pages s WHERE s.url=p.url AND md5(CASE WHEN s.page_id%3=0 THEN s.html||'x' ELSE s.html END)=md5(p.html))""")
 def _(t):
