@@ -14,9 +14,12 @@ from planloom.skew import hot_keys, salted_join
 from planloom.staging import Stage
 
 
-def adjacency(edges: DataFrame, a: str = "a", b: str = "b", keep: list[str] | None = None) -> DataFrame:
-    """Both directions of every edge as (src, dst, kept columns); one row per neighbour, never a list per node."""
+def adjacency(edges: DataFrame, a: str = "a", b: str = "b", keep: list[str] | None = None, system: str | None = None) -> DataFrame:
+    """Both directions of every edge, of those of one ``system`` if given, as (src, dst, kept columns); one row per neighbour,
+    never a list per node."""
     cols = keep or []
+    if system is not None:
+        edges = edges.where(F.col("system") == system)
     out = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"), *cols)
     return out.unionByName(edges.select(F.col(b).alias("src"), F.col(a).alias("dst"), *cols)).distinct()
 

@@ -11,7 +11,7 @@ from planloom.functions import geom
 from planloom.operators import relations as R
 from planloom.operators.graph import Arcs, adjacency, components, levels, search_trees, tree_paths
 from planloom.operators.greedy import greedy_suppress
-from planloom.operators.spatial import cell, euclid, near_pairs, nearest, point_keys
+from planloom.operators.spatial import cell, euclid, near_pairs, nearest, overlap_pairs, point_keys
 from planloom.ordered import first_n
 
 XY = ("x", "y")
@@ -60,26 +60,48 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return types.unionByName(flat).unionByName(edges.agg(F.lit("n_edges").alias("name"), F.count(F.lit(1)).cast("double").alias("value")))
 
 
-def build_graph(lines: DataFrame, symbols: DataFrame, tolerance: float = 10.0) -> tuple[DataFrame, DataFrame]:
+#: Types of lines that are drawn but carry nothing (fixed values).
+NO_SYSTEM_LINES = ["dimension_line", "leader", "unknown"]
+
+
+def build_graph(lines: DataFrame, symbols: DataFrame, tolerance: float = 10.0, rooms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, project_id, node_type, x, y) and edges (a, b, edge_type, length, line_id) of a drawing.
 
-    Line ends meet at rounded positions: 2 ends make a junction, 3 a tee, 4 or more a cross. Each line is an edge
-    between its positions; each symbol is tied to the nearest position within three tolerances.
+    Line ends meet at rounded positions: 2 ends make a junction, 3 a tee, 4 or more a cross. Each line is an edge between its
+    positions, but for dimension lines, leaders and unknown ones where lines have a ``geometry_type``; each symbol is tied to
+    the nearest position within three tolerances. ``rooms`` (id, project_id, min_x..max_y) are nodes at their centre and contain
+    the nodes in their box. Where lines have a ``system``, nodes and edges have one too: that of the line, of the line of the
+    smallest id at a position, of the symbol if symbols have one.
     """
-    ends = R.endpoints(lines.select("id", "project_id", "x1", "y1", "x2", "y2", geom.length().alias("length")))
+    more = [c for c in ("system", "geometry_type") if c in lines.columns]
+    system = "system" in more
+    ends = R.endpoints(lines.select("id", "project_id", "x1", "y1", "x2", "y2", geom.length().alias("length"), *more))
     ends = ends.withColumns({"x": F.rint("x"), "y": F.rint("y")})
     name = F.concat_ws(":", F.lit("J"), "project_id", F.col("x").cast("long"), F.col("y").cast("long"))
-    spots = ends.groupBy("project_id", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    spots = ends.groupBy("project_id", "x", "y").agg(F.count(F.lit(1)).alias("n"), *([F.min_by("system", "id").alias("system")] if system else []))
     kind = F.when(F.col("n") >= 4, "cross").when(F.col("n") == 3, "tee").otherwise("junction")
-    junctions = spots.select(name.alias("node"), "project_id", kind.alias("node_type"), "x", "y")
-    syms = symbols.select(F.concat(F.lit("S:"), F.col("id")).alias("node"), "project_id", symbol_type(F.col("kind"), F.col("category")).alias("node_type"), "x", "y")
+    own = ["system"] if system else []
+    junctions = spots.select(name.alias("node"), "project_id", kind.alias("node_type"), "x", "y", *own)
+    of_symbol = [F.col("system") if "system" in symbols.columns else F.lit(None).cast("string").alias("system")] if system else []
+    syms = symbols.select(F.concat(F.lit("S:"), F.col("id")).alias("node"), "project_id", symbol_type(F.col("kind"), F.col("category")).alias("node_type"), "x", "y", *of_symbol)
     pick = lambda e: F.max(F.when(F.col("end_no") == e, name))
-    runs = ends.groupBy("id", "length").agg(pick(0).alias("a"), pick(1).alias("b")).select(
-        "a", "b", F.lit("run").alias("edge_type"), "length", F.col("id").alias("line_id"))
+    carrying = ends.where(F.col("geometry_type").isNull() | ~F.col("geometry_type").isin(NO_SYSTEM_LINES)) if "geometry_type" in more else ends
+    none = [F.lit(None).cast("string").alias("system")] if system else []
+    runs = carrying.groupBy("id", "length", *own).agg(pick(0).alias("a"), pick(1).alias("b")).select(
+        "a", "b", F.lit("run").alias("edge_type"), "length", F.col("id").alias("line_id"), *own)
     tie = nearest(syms, junctions, 3.0 * tolerance, on=["project_id"], lid="node", rid="node").select(
         F.col("a.node").alias("a"), F.col("b.node").alias("b"), F.lit("connects_to").alias("edge_type"), F.col("distance").alias("length"),
-        F.lit(None).cast("long").alias("line_id"))
-    return junctions.unionByName(syms), runs.unionByName(tie)
+        F.lit(None).cast("long").alias("line_id"), *none)
+    nodes, edges = junctions.unionByName(syms), runs.unionByName(tie)
+    if rooms is None:
+        return nodes, edges
+    points = nodes.select("node", "project_id", *[F.col(c).alias(f"{m}_{c}") for m in ("min", "max") for c in XY])
+    inside = overlap_pairs(points, rooms.select("id", "project_id", *R.BOX), R.BOX, on=["project_id"])
+    contains = inside.select(F.concat(F.lit("R:"), F.col("b.id")).alias("a"), F.col("a.node").alias("b"), F.lit("contains").alias("edge_type"), F.lit(0.0).alias("length"),
+                             F.lit(None).cast("long").alias("line_id"), *none)
+    middle = [((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2).alias(c) for c in XY]
+    places = rooms.select(F.concat(F.lit("R:"), F.col("id")).alias("node"), "project_id", F.lit("room").alias("node_type"), *middle, *none)
+    return nodes.unionByName(places), edges.unionByName(contains)
 
 
 def symbol_type(kind: Column, category: Column) -> Column:

@@ -156,6 +156,20 @@ def _(t):
     return P.build_graph(t.segments, t.symbols)[1].drop("line_id")
 
 
+@query("graph_with_rooms", "G7", ctes("segments", "symbols", "rooms") + """, s AS (SELECT *, CASE id%3 WHEN 0 THEN 'hvac' WHEN 1 THEN 'plumbing' END AS system FROM segments),
+ep AS (SELECT DISTINCT project_id, x, y FROM (SELECT project_id, x1 AS x, y1 AS y FROM segments UNION ALL SELECT project_id, x2, y2 FROM segments)),
+n AS (SELECT project_id, x, y, 'J:'||project_id||':'||x::BIGINT||':'||y::BIGINT AS node FROM ep UNION ALL SELECT project_id, x, y, 'S:'||id FROM symbols)
+SELECT 'J:'||project_id||':'||x1::BIGINT||':'||y1::BIGINT AS a, 'J:'||project_id||':'||x2::BIGINT||':'||y2::BIGINT AS b, 'run' AS edge_type, system FROM s WHERE id%5>1
+UNION ALL SELECT 'R:'||r.id, n.node, 'contains', NULL FROM rooms r JOIN n ON n.project_id=r.project_id AND n.x BETWEEN r.x0 AND r.x1 AND n.y BETWEEN r.y0 AND r.y1""")
+def _(t):
+    """Runs by system without dimension lines and leaders, and what rooms contain."""
+    kind = F.when(F.col("id") % 5 == 0, "dimension_line").when(F.col("id") % 5 == 1, "leader").otherwise("duct")
+    lines = t.segments.withColumns({"system": F.when(F.col("id") % 3 == 0, "hvac").when(F.col("id") % 3 == 1, "plumbing"), "geometry_type": kind})
+    rooms = t.rooms.withColumnsRenamed({"x0": "min_x", "y0": "min_y", "x1": "max_x", "y1": "max_y"})
+    edges = P.build_graph(lines, t.symbols, rooms=rooms)[1]
+    return edges.where("edge_type <> 'connects_to'").select("a", "b", "edge_type", "system")
+
+
 EPS = "ep AS (SELECT id*2 AS id, project_id, x1 AS x, y1 AS y FROM segments UNION ALL SELECT id*2+1, project_id, x2, y2 FROM segments)"
 SG = ctes("segments", recursive=True) + f", {EPS}, " + oracle.greedy("ep", "id", "sqrt((k.x-u.x)^2+(k.y-u.y)^2)<9") + """,
 nr AS (SELECT p.id, e.id AS node, row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.x-e.x)^2+(p.y-e.y)^2), e.id) AS rn FROM ep p JOIN kept k ON k.project_id=p.project_id AND k.id<=p.id JOIN ep e ON e.id=k.id WHERE sqrt((p.x-e.x)^2+(p.y-e.y)^2)<9),
