@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions import geom
 from planloom.operators.spatial import near_pairs, nearest, overlap_pairs, overlap_self
-from planloom.skew import salted_join
+from planloom.skew import salted_join, shuffled
 
 XYZ = ("x", "y", "z")
 BOX = ("min_x", "min_y", "max_x", "max_y")
@@ -148,7 +148,7 @@ def related(edges: DataFrame, ids: DataFrame, types: list[str] | None = None) ->
     e = edges.where(F.col("relation_type").isin(types)) if types else edges
     both = e.select(F.col("from_id").alias("id"), F.col("to_id").alias("other")).unionByName(
         e.select(F.col("to_id").alias("id"), F.col("from_id").alias("other")))
-    return both.join(ids.select("id").distinct(), "id", "left_semi").distinct()
+    return both.join(shuffled(ids.select("id").distinct()), "id", "left_semi").distinct()
 
 
 def clearance_around(elements: DataFrame, ref: DataFrame, minimum: float) -> DataFrame:

@@ -58,7 +58,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[s
     test = (dist < radius) if strict else (dist <= radius)
     if where is not None:
         test = test & where(a, b)
-    return salted_join(home, probe, keys, test).select("a", "b", dist.alias("distance"))
+    return salted_join(home, probe, keys, test, shuffle=True).select("a", "b", dist.alias("distance"))
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[str] = ("x", "y"),
@@ -168,8 +168,8 @@ def overlap_pairs(left: DataFrame, right: DataFrame, box: Sequence[str], rbox: S
     test = boxes_meet(a, b, box, rbox, margin)
     if where is not None:
         test = test & where(a, b)
-    up = salted_join(_home(right, "b", rbox, on, margin), _probe(left, "a", box, on, levels, margin, False), keys, test)
-    down = salted_join(_home(left, "a", box, on, margin), _probe(right, "b", rbox, on, levels, margin, True), keys, test)
+    up = salted_join(_home(right, "b", rbox, on, margin), _probe(left, "a", box, on, levels, margin, False), keys, test, shuffle=True)
+    down = salted_join(_home(left, "a", box, on, margin), _probe(right, "b", rbox, on, levels, margin, True), keys, test, shuffle=True)
     return up.select("a", "b").unionByName(down.select("a", "b"))
 
 
@@ -189,7 +189,7 @@ def overlap_self(df: DataFrame, box: Sequence[str], on: Sequence[str] = (), wher
     if where is not None:
         test = test & (where(p, q) if symmetric else
                        ((p[id] < q[id]) & where(p, q)) | ((p[id] > q[id]) & where(q, p)))
-    pairs = salted_join(_home(df, "b", box, on, margin), _probe(df, "a", box, on, levels, margin, False), keys, test)
+    pairs = salted_join(_home(df, "b", box, on, margin), _probe(df, "a", box, on, levels, margin, False), keys, test, shuffle=True)
     return pairs.select(first.alias("a"), second.alias("b"))
 
 

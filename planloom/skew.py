@@ -16,6 +16,8 @@ HOT_SHARE = 1 / 1000
 SAMPLE = 0.01
 ROWS_PER_TASK = 200_000
 SMALL_BYTES = 256 * 1024 * 1024
+#: Written bytes that a loop may broadcast in a round; they may be ten times as many in memory.
+BROADCAST_BYTES = 1024 * 1024
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -32,6 +34,15 @@ def widen(df: DataFrame, limit: int = 32 * 1024 * 1024) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df, limit) else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that broadcasts neither side, whatever sizes the optimizer expects.
+
+    It expects as much as the read columns of a file have bytes, which says little about rows that are computed from them and
+    exploded: keys in order take next to nothing in a file, so a broadcast of their cells can be a thousand times as large.
+    """
+    return df if df.isStreaming else df.hint("merge")
+
+
 def hot_keys(df: DataFrame, keys: list[str], sample: float = SAMPLE, rows_per_task: int = ROWS_PER_TASK,
              small_bytes: int | None = None) -> list[tuple]:
     """Key values that need several tasks, with the number of tasks: ``[(key values..., salts)]``."""
@@ -50,12 +61,12 @@ def _salts(keys: list[str], hot: list[tuple]) -> Column:
 
 
 def salted_join(many: DataFrame, few: DataFrame, keys: list[str], condition: Column | None = None,
-                how: str = "inner", hot: list[tuple] | None = None) -> DataFrame:
+                how: str = "inner", hot: list[tuple] | None = None, shuffle: bool = False) -> DataFrame:
     """``many.join(few, keys, how)`` with the rows of hot keys in ``many`` spread over several tasks.
 
     Each row of ``many`` gets one salt and each row of ``few`` with a hot key is repeated per salt, so any join
     type that keeps the left side (inner, left, left_semi, left_anti) stays exact. ``condition`` may use columns
-    of both sides; column names other than ``keys`` must not overlap.
+    of both sides; column names other than ``keys`` must not overlap. With ``shuffle`` neither side is broadcast.
     """
     if hot is None:
         hot = hot_keys(many, keys)
@@ -68,14 +79,15 @@ def salted_join(many: DataFrame, few: DataFrame, keys: list[str], condition: Col
         many = many.withColumn("_salt", F.pmod(spread, n.cast("long")).cast("int"))
         few = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
         on.append("_salt")
+    side = shuffled if shuffle and not many.isStreaming else lambda df: df
     if condition is None:
-        out = many.join(few, on, how)
+        out = many.join(side(few), on, how)
     else:
         renamed = few.select(*[F.col(k).alias(f"_r_{k}") for k in on], *[c for c in few.columns if c not in on])
         match = condition
         for k in on:
             match = match & (F.col(k) == F.col(f"_r_{k}"))
-        out = many.join(renamed, match, how).drop(*[f"_r_{k}" for k in on])
+        out = many.join(side(renamed), match, how).drop(*[f"_r_{k}" for k in on])
     return out.drop("_salt")
 
 

@@ -260,3 +260,16 @@ def test_repeated_keys_and_zero_vectors(spark):
     query = spark.createDataFrame([([1.0, 0.0],)], "qvec array<double>")
     assert [(r["id"], r["distance"]) for r in vector.vector_topk(vectors, query, 2).collect()] == [(2, 0.0), (1, 1.0)]
     assert spark.range(1).select(T.scale_per_pixel(F.lit("1/0\" = 1'-0\""), F.lit(300.0))["value"].alias("v")).first()["v"] is None
+
+
+def test_exploded_rows_are_not_broadcast(spark, tmp_path):
+    """Ids in order take next to nothing in a file: the optimizer would broadcast the cells of all of them."""
+    spark.range(2000).selectExpr("id", "id div 100 project_id", "cast(id % 10 as double) x", "cast(id % 7 as double) y").write.parquet(str(tmp_path / "p"))
+    p = spark.read.parquet(str(tmp_path / "p"))
+    box = p.selectExpr("id", "project_id", "x - 1 min_x", "y - 1 min_y", "x + 1 max_x", "y + 1 max_y")
+    near = relations.spacing_violations(p, 1.5)
+    edges = box.select("project_id", F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.lit("near").alias("relation_type"), F.lit(0.0).alias("distance"))
+    for df in (near, relations.intersecting_pairs(box), relations.contains_bbox(p.selectExpr(
+            "id", "project_id", "array(struct(x, y), struct(x + 1 as x, y), struct(x + 1 as x, y + 1 as y)) boundary"), p),
+            relations.related(edges, p)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
