@@ -10,7 +10,7 @@ from planloom.functions import text as T
 from planloom.operators.relations import BOX, endpoints
 from planloom.operators.spatial import near_pairs, nearest, overlap_pairs
 from planloom.ordered import first_n
-from planloom.skew import salted_join
+from planloom.skew import salted_join, shuffled
 from planloom.staging import Stage
 
 
@@ -97,7 +97,7 @@ def associate_text(annotations: DataFrame, elements: DataFrame, max_distance: fl
                      F.col("b.element_type"), F.col("b.size"), "distance"), F.struct("distance", F.col("b.id"))).alias("m"))
 
     near = stage.write(nearest_of(a, max_distance / 8))
-    rest = a.where(~F.col("inside")).join(near.select(F.col("annotation_id").alias("id")), "id", "left_anti")
+    rest = a.where(~F.col("inside")).join(shuffled(near.select(F.col("annotation_id").alias("id"))), "id", "left_anti")
     best = near.unionByName(nearest_of(rest, None))
     conf = F.when(F.col("distance") == 0, F.lit(1.0)).otherwise(
         F.greatest(F.lit(0.0), 1.0 - F.col("distance") / (3.0 * F.greatest(F.col("size"), F.lit(1.0)))))
@@ -114,7 +114,7 @@ def annotations_by_element(links: DataFrame, annotations: DataFrame) -> tuple[Da
     with very many texts stays spread out.
     """
     j = links.select("element_type", "element_id", F.col("annotation_id").alias("id")).join(
-        annotations.select("id", "text", "annotation_type", "fields"), "id")
+        shuffled(annotations.select("id", "text", "annotation_type", "fields")), "id")
     tags = j.where("annotation_type = 'equipment_tag'").select("element_type", "element_id", F.col("text").alias("tag"))
     f = j.where(F.col("annotation_type").isin(SPEC_TYPES)).select("element_type", "element_id", "id", F.explode("fields").alias("field", "value"))
     return tags, f.groupBy("element_type", "element_id", "field").agg(F.max_by("value", "id").alias("value"))
