@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -327,13 +329,32 @@ def parallel_pairs(lines: DataFrame, angle_tolerance: float = 3.0, low: float =
                    share: float = 0.3, orthogonal_tolerance: float = 5.0) -> DataFrame:
     """Pairs of near-parallel lines at a spacing of ``low``..``high`` that overlap by more than ``share``.
 
-    Lines that face each other at that spacing have boxes no farther apart than ``high``, so the boxes are
-    joined with that margin and the three exact tests run inside the join.
+    Near-parallel lines share a fan of directions, in whose frame (along and across its middle) lines that face each other are
+    at most ``high`` apart across and next to nothing along, more only by the slope. A line is in the fans within the tolerance of
+    its direction; a pair is taken in the fan of its first line. Boxes are widened by half of what a pair may be apart, across
+    coordinates shrunk so that a box is about as tall as long, and the three exact tests run inside the join.
     """
     size = geom.length()
-    rows = geom.box_of_segments(lines.where(size > 0).select(
+    fans = max(2, 2 * int(90.0 / (3.0 * angle_tolerance))) if angle_tolerance > 0 else 60
+    width = 180.0 / fans
+    slope = math.sin(math.radians(min(90.0, width / 2 + angle_tolerance)))
+    shrink = max(slope, 0.125)
+    fan = lambda direction: F.floor(direction / width + 0.5).cast("int")
+    slack = angle_tolerance + 1e-6
+    rows = lines.where(size > 0).select(
         "id", "project_id", "x1", "y1", "x2", "y2", size.alias("len"), geom.angle360().alias("angle"),
-        ((F.col("x2") - F.col("x1")) / size).alias("ux"), ((F.col("y2") - F.col("y1")) / size).alias("uy")))
+        ((F.col("x2") - F.col("x1")) / size).alias("ux"), ((F.col("y2") - F.col("y1")) / size).alias("uy"))
+    within = F.sequence(fan(F.col("angle") % 180.0 - slack), fan(F.col("angle") % 180.0 + slack))
+    rows = rows.select("*", F.pmod(fan(F.col("angle") % 180.0), F.lit(fans)).alias("own_fan"),
+                       F.explode(F.array_distinct(F.transform(within, lambda k: F.pmod(k, F.lit(fans))))).alias("fan"))
+    cos, sin = F.cos(F.radians(F.col("fan") * width)), F.sin(F.radians(F.col("fan") * width))
+    along = [F.col(f"x{i}") * cos + F.col(f"y{i}") * sin for i in (1, 2)]
+    across = [F.col(f"y{i}") * cos - F.col(f"x{i}") * sin for i in (1, 2)]
+    far = F.greatest(*[F.abs(c) for c in ("x1", "y1", "x2", "y2")])
+    room = high / 2 + F.col("len") * (math.sin(math.radians(min(90.0, angle_tolerance))) / 2)
+    out, side = room * slope + far * 1e-9 + 1e-6, room + far * 1e-9 + 1e-6
+    rows = rows.withColumns({"min_x": F.least(*along) - out, "max_x": F.greatest(*along) + out,
+                             "min_y": (F.least(*across) - side) * shrink, "max_y": (F.greatest(*across) + side) * shrink})
 
     def facing(a, b):
         diff = F.abs(a["angle"] - b["angle"])
@@ -343,9 +364,12 @@ def parallel_pairs(lines: DataFrame, angle_tolerance: float = 3.0, low: float =
         t2 = (b["x2"] - a["x1"]) * a["ux"] + (b["y2"] - a["y1"]) * a["uy"]
         shared = F.least(a["len"], F.greatest(t1, t2)) - F.greatest(F.lit(0.0), F.least(t1, t2))
         near = (diff <= angle_tolerance) | (F.abs(diff - 180.0) <= angle_tolerance) | (diff >= 360.0 - angle_tolerance)
-        return near & gap.between(low, high) & (shared > F.least(a["len"], F.abs(t2 - t1)) * share)
+        return (a["id"] < b["id"]) & near & gap.between(low, high) & (shared > F.least(a["len"], F.abs(t2 - t1)) * share)
 
-    pairs = overlap_self(rows, BOX, ["project_id"], where=facing, margin=high)
+    # first lines and later ones apart, so that the tests are written once: for both orders of a pair the code gets too long
+    # for the compiler of the JVM
+    first = rows.where(F.col("fan") == F.col("own_fan")).drop("own_fan")
+    pairs = overlap_pairs(first, rows.drop("own_fan"), BOX, on=["project_id", "fan"], where=facing)
     a, b = F.col("a"), F.col("b")
     turn = a["angle"] % 90.0
     return pairs.select(

@@ -273,3 +273,30 @@ def test_exploded_rows_are_not_broadcast(spark, tmp_path):
             "id", "project_id", "array(struct(x, y), struct(x + 1 as x, y), struct(x + 1 as x, y + 1 as y)) boundary"), p),
             relations.related(edges, p)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parallel_pairs_against_all_pairs(spark):
+    """Long slanted lines and exact spacings; boxes along the axes lose pairs of lines that run apart."""
+    import random
+    r, lines = random.Random(5), []
+    for i in range(240):
+        x, y, a = r.uniform(-200, 400), r.uniform(-100, 300), math.radians(r.choice([0, 90, r.uniform(0, 360), r.gauss(180, 9), r.gauss(270, 9)]))
+        n = r.choice([r.uniform(1, 40), r.uniform(800, 3000)])
+        lines.append((i, 0, x, y, x + n * math.cos(a), y + n * math.sin(a)))
+    lines += [(240 + i, 0, 36.0 * (i % 5), 36.0 * (i // 5), 36.0 * (i % 5) + 30.0, 36.0 * (i // 5)) for i in range(25)]
+
+    def faces(p, q, tol, high):
+        (ax, ay, bx, by), (cx, cy, dx, dy) = p[2:], q[2:]
+        n, m = math.hypot(bx - ax, by - ay), math.hypot(dx - cx, dy - cy)
+        ux, uy = (bx - ax) / n, (by - ay) / n
+        turn = abs(math.degrees(math.atan2(by - ay, bx - ax)) % 360 - math.degrees(math.atan2(dy - cy, dx - cx)) % 360)
+        t1, t2 = (cx - ax) * ux + (cy - ay) * uy, (dx - ax) * ux + (dy - ay) * uy
+        gap = abs(((cy + dy) / 2 - ay) * ux - ((cx + dx) / 2 - ax) * uy)
+        shared = min(n, max(t1, t2)) - max(0.0, min(t1, t2))
+        return min(turn, abs(turn - 180), 360 - turn) <= tol and 1 <= gap <= high and shared > min(n, abs(t2 - t1)) * 0.3
+
+    df = spark.createDataFrame(lines, LINE)
+    for tol, high in ((3.0, 72.0), (40.0, 30.0)):
+        want = {(p[0], q[0]) for p in lines for q in lines if p[0] < q[0] and faces(p, q, tol, high)}
+        got = [(x.id1, x.id2) for x in relations.parallel_pairs(df, tol, high=high).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
