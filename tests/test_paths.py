@@ -77,3 +77,14 @@ def test_components_of_hubs_chains_and_lone_nodes(spark):
     assert len(log) <= 9 and all(x["edges"] >= y["edges"] for x, y in zip(log, log[1:]))
     none = T.components(nodes.limit(0), spark.createDataFrame([], "a long, b long"))
     assert none.count() == 0
+
+
+def test_large_levels_are_not_broadcast(spark):
+    """A level of 200,000 nodes is a few hundred kilobytes in files, so Spark would send it whole to the driver every round."""
+    from pyspark.sql import functions as F
+
+    from planloom.operators import graph
+    from planloom.staging import materialize
+    arcs = graph.Arcs(graph.adjacency(spark.range(1000).selectExpr("id a", "id + 1 b")))
+    front = materialize(spark.range(200_000).select(F.lit(1).alias("seed"), (F.col("id") * 7919).alias("src")))
+    assert "BroadcastHashJoin" not in arcs.step(front)._jdf.queryExecution().executedPlan().toString()
