@@ -44,6 +44,12 @@ def mid(s: Column | None = None) -> tuple[Column, Column]:
     return (g("x1") + g("x2")) / 2.0, (g("y1") + g("y2")) / 2.0
 
 
+def leaning_box(lean: float) -> list[Column]:
+    """Box (min_x, min_y, max_x, max_y) of a line, widened by ``lean`` times its length (column ``len``)."""
+    more = F.col("len") * lean
+    return [F.least("x1", "x2") - more, F.least("y1", "y2") - more, F.greatest("x1", "x2") + more, F.greatest("y1", "y2") + more]
+
+
 def point_to_line(s: Column, px: Column, py: Column) -> Column:
     """Distance of a point from the infinite line through ``s``; null for a zero-length line."""
     dx, dy = s["x2"] - s["x1"], s["y2"] - s["y1"]

@@ -166,13 +166,10 @@ def merge_collinear(lines: DataFrame, distance: float = 5.0, gap: float = 20.0,
     size = geom.length()
     rows = lines.select("id", "project_id", "x1", "y1", "x2", "y2").withColumns({
         "len": size, "bucket": F.rint(F.pmod(F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))), F.lit(180.0))).cast("int")})
-    rows = geom.box_of_segments(rows.where("len >= 1e-6")).withColumns({
+    rows = rows.where("len >= 1e-6").withColumns({
         "ux": (F.col("x2") - F.col("x1")) / F.col("len"), "uy": (F.col("y2") - F.col("y1")) / F.col("len")})
     # a line of the same whole degree leans away from the track by at most its length times sin(1 degree)
-    lean = F.col("len") * 0.018
-    rows = rows.withColumns({"min_x": F.col("min_x") - lean, "min_y": F.col("min_y") - lean,
-                             "max_x": F.col("max_x") + lean, "max_y": F.col("max_y") + lean})
-    home, reach = box_keys(rows, BOX, ["project_id", "bucket"], margin=gap + distance)
+    home, reach = box_keys(rows, geom.leaning_box(0.018), ["project_id", "bucket"], margin=gap + distance)
     like = [F.col("project_id"), F.col("bucket"), F.floor(F.col("x1") / (distance / 1.5)), F.floor(F.col("y1") / (distance / 1.5))]
 
     def along(k, u, i):
@@ -183,7 +180,7 @@ def merge_collinear(lines: DataFrame, distance: float = 5.0, gap: float = 20.0,
         lo, hi = F.least(along(k, u, 1), along(k, u, 2)), F.greatest(along(k, u, 1), along(k, u, 2))
         return (k["bucket"] == u["bucket"]) & (off <= distance) & (F.greatest(lo - k["len"], -hi) <= gap)
 
-    g = greedy_cluster(rows, [], home, reach, same, like)
+    g = greedy_cluster(rows, [], home, reach, same, like, seed=["id", "project_id", "x1", "y1", "ux", "uy"])
     k, u = F.col("seed"), F.col("u")
     t = g.select(k["id"].alias("id"), k["project_id"].alias("project_id"), u["id"].alias("member"),
                  F.least(along(k, u, 1), along(k, u, 2)).alias("lo"), F.greatest(along(k, u, 1), along(k, u, 2)).alias("hi"),

@@ -11,10 +11,11 @@ from planloom.functions import geom
 from planloom.functions import text as T
 from planloom.operators.greedy import greedy_cluster, greedy_match, greedy_suppress
 from planloom.operators.relations import BOX
-from planloom.operators.spatial import box_keys, cell, euclid, near_pairs, point_keys
+from planloom.operators.spatial import WIDEN, box_keys, cell, euclid, near_pairs, point_keys
 
 XY = ("x", "y")
 ROOT2 = math.sqrt(2.0)
+ENDS = ("x1", "y1", "x2", "y2")
 
 
 def _tile(cols: tuple[str, ...], side: float, *more: Column) -> list[Column]:
@@ -41,41 +42,54 @@ def nms_iou(df: DataFrame, limit: float = 0.45) -> DataFrame:
 
 def dedup_lines_overlap(lines: DataFrame, angle: float = 5.0, distance: float = 15.0) -> DataFrame:
     """Longest of near-parallel, near and overlapping lines."""
-    size = geom.length()
-    rows = geom.box_of_segments(lines.withColumns({"len": size, "ang": geom.angle180()}))
+    rows = lines.withColumns({"len": geom.length(), "ang": geom.angle180()})
+    # what the test needs of one line is worked out once for each line: a short test is compiled, a long one interpreted
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    rows = rows.withColumn("size", F.sqrt(dx * dx + dy * dy))
+    rows = rows.withColumns({"ux": F.when(F.col("size") > 0, dx / F.col("size")), "uy": F.when(F.col("size") > 0, dy / F.col("size"))})
+    own = [F.col(f"x{i}") * F.col("ux") + F.col(f"y{i}") * F.col("uy") for i in (1, 2)]
+    rows = rows.withColumns({"lo": F.least(*own), "hi": F.greatest(*own)})
     # the later line's midpoint is near the earlier line; its far parts may lean away by its slope
-    lean = F.col("len") * 0.05
-    wide = rows.withColumns({"min_x": F.col("min_x") - lean, "min_y": F.col("min_y") - lean,
-                             "max_x": F.col("max_x") + lean, "max_y": F.col("max_y") + lean})
-    home, reach = box_keys(wide, BOX, ["project_id"], margin=distance * ROOT2)
+    home, reach = _by_direction(*box_keys(rows, geom.leaning_box(0.05), ["project_id"], margin=distance * ROOT2), F.col("ang"), angle)
     mx, my = geom.mid()
     like = [F.col("project_id"), F.floor(F.col("ang") / angle), F.floor(mx / (distance / 1.5)), F.floor(my / (distance / 1.5))]
 
     def same(k, u):
-        gap = geom.point_to_line(k, *geom.mid(u))
-        a0, a1, b0, b1 = geom.projection(k, u)
+        px, py = geom.mid(u)
+        gap = F.abs((py - k["y1"]) * (k["x2"] - k["x1"]) - (px - k["x1"]) * (k["y2"] - k["y1"])) / k["size"]
+        b0, b1 = (u[f"x{i}"] * k["ux"] + u[f"y{i}"] * k["uy"] for i in (1, 2))
+        lo, hi = k["lo"] - distance, k["hi"] + distance
         return ((k["len"] >= 1.0) & (geom.angle_gap(k["ang"], u["ang"]) <= angle) & (gap < distance)
-                & (b1 >= a0 - distance) & (b0 <= a1 + distance))
+                & ((b0 >= lo) | (b1 >= lo)) & ((b0 <= hi) | (b1 <= hi)))
+
+    return greedy_suppress(rows, [-F.col("len")], home, reach, same, like, reads=["project_id", *ENDS, "len", "ang", "size", "ux", "uy", "lo", "hi"]).select(*lines.columns)
+
 
-    return greedy_suppress(wide, [-F.col("len")], home, reach, same, like).select(*lines.columns)
+def _by_direction(home: Column, reach: Column, ang: Column, angle: float) -> tuple[Column, Column]:
+    """``home`` and ``reach`` for rows whose directions (0 to 180 degrees, 180 being 0 again) differ by ``angle`` at most."""
+    n = max(1, int(180 / (4 * angle)))
+    sector = lambda a: F.floor(a * (n / 180)).cast("long")
+    near = F.array_distinct(F.transform(F.sequence(sector(ang - angle * WIDEN), sector(ang + angle * WIDEN)), lambda i: F.pmod(i, F.lit(n).cast("long"))))
+    own = F.pmod(sector(ang), F.lit(n).cast("long"))
+    return (F.transform(home, lambda k: F.xxhash64(k, own)),
+            F.flatten(F.transform(reach, lambda k: F.transform(near, lambda i: F.xxhash64(k, i)))))
 
 
 def dedup_circles(circles: DataFrame, center: float = 30.0, radius: float = 20.0) -> DataFrame:
     """First (by id) of circles with near centres and radii."""
     home, reach = point_keys(("cx", "cy", "radius"), max(center, radius), ["project_id"])
     same = lambda k, u: (euclid(k, u, ("cx", "cy"), ("cx", "cy")) < center) & (F.abs(k["radius"] - u["radius"]) < radius)
-    return greedy_suppress(circles, [], home, reach, same, _tile(("cx", "cy"), center / ROOT2, cell(F.col("radius"), radius)))
-
-
-ENDS = ("x1", "y1", "x2", "y2")
-TURNED = ("x2", "y2", "x1", "y1")
+    return greedy_suppress(circles, [], home, reach, same, _tile(("cx", "cy"), center / ROOT2, cell(F.col("radius"), radius)),
+                           reads=["project_id", "cx", "cy", "radius"])
 
 
 def _end_keys(tolerance: float) -> tuple[Column, Column, list[Column]]:
-    """Keys on both ends at once, so lines that share only one busy end do not meet."""
-    home, reach = point_keys(ENDS, tolerance, ["project_id"])
-    _, turned = point_keys(TURNED, tolerance, ["project_id"])
-    return home, F.array_distinct(F.concat(reach, turned)), _tile(ENDS, tolerance / ROOT2)
+    """Keys on both ends at once, so lines that share only one busy end do not meet: by midpoint and extent, which are the
+    same in either direction. Where both ends are near, the midpoint is as near and the extents differ by two tolerances at most."""
+    extent = [F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))]
+    slack = tolerance * (1 + 1e-6)
+    home, reach = point_keys([*geom.mid(), *extent], slack, ["project_id"], cells=4.0, radii=[slack, slack, 2 * slack, 2 * slack])
+    return home, reach, _tile(ENDS, tolerance / ROOT2)
 
 
 def _same_ends(tolerance: float):
@@ -89,7 +103,7 @@ def _same_ends(tolerance: float):
 def dedup_lines_endpoints(lines: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """First of lines with the same ends in either direction."""
     home, reach, like = _end_keys(tolerance)
-    return greedy_suppress(lines, [], home, reach, _same_ends(tolerance), like)
+    return greedy_suppress(lines, [], home, reach, _same_ends(tolerance), like, reads=["project_id", *ENDS])
 
 
 def _first_known(seq: Column, col: str, empty: Column) -> Column:
@@ -105,7 +119,8 @@ def fuse_lines(lines: DataFrame, tolerance: float = 5.0, measured: str = "select
     """
     home, reach, like = _end_keys(tolerance)
     first = F.when(F.col("source") == "direct", 0).otherwise(1)
-    g = greedy_cluster(lines.withColumn("_rank", first), [F.col("_rank")], home, reach, _same_ends(tolerance), like)
+    g = greedy_cluster(lines.withColumn("_rank", first), [F.col("_rank")], home, reach, _same_ends(tolerance), like,
+                       reads=["project_id", *ENDS], seed=["id"])
     rows = g.select(F.col("seed.id").alias("id"), F.col("u.project_id").alias("project_id"), F.col("u"), (F.col("u.id") == F.col("seed.id")).alias("own"))
     # members that merely repeat a semantic line change nothing
     rows = rows.where(F.col("own") | (F.col("u.source") == measured))
@@ -127,7 +142,8 @@ def fuse_circles(circles: DataFrame, tolerance: float = 5.0, measured: str = "se
     same = lambda k, u: (euclid(k, u, ("cx", "cy"), ("cx", "cy")) < tolerance) & (F.abs(k["radius"] - u["radius"]) < tolerance)
     first = F.when(F.col("source") == "direct", 0).otherwise(1)
     g = greedy_cluster(circles.withColumn("_rank", first), [F.col("_rank")], home, reach, same,
-                       _tile(("cx", "cy"), tolerance / ROOT2, cell(F.col("radius"), tolerance)))
+                       _tile(("cx", "cy"), tolerance / ROOT2, cell(F.col("radius"), tolerance)),
+                       reads=["project_id", "cx", "cy", "radius"], seed=["id"])
     own = F.col("u.id") == F.col("seed.id")
     rows = g.where(own | (F.col("u.source") == measured)).select(
         F.col("seed.id").alias("id"), "u.project_id", F.struct((~own).alias("o"), F.col("u._rank").alias("r"), F.col("u.id").alias("i")).alias("seq"),

@@ -16,6 +16,8 @@ from planloom.staging import Stage
 
 Pred = Callable[[Column, Column], Column]
 WIDEN = 1 + 1e-9
+#: Side of a level's cells, in largest boxes of the level: the larger, the fewer cells a box reaches and the more boxes share one.
+SIDE = 2.0
 
 
 def pack(df: DataFrame, name: str) -> DataFrame:
@@ -97,8 +99,8 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[str]
 
 
 def box_level(box: Sequence[str], row: Column | None = None, finest: int = 0) -> Column:
-    """Grid level whose cells (side 2^level) are at least as large as the box."""
-    g = (lambda c: row[c]) if row is not None else F.col
+    """Grid level of a box: no side of it is longer than 2^level. ``box`` names columns or has expressions."""
+    g = (lambda c: row[c]) if row is not None else _col
     dims = len(box) // 2
     ext = F.lit(2.0 ** finest)
     for i in range(dims):
@@ -106,6 +108,17 @@ def box_level(box: Sequence[str], row: Column | None = None, finest: int = 0) ->
     return F.ceil(F.log2(ext) + 1e-9).cast("int")
 
 
+def _col(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _corner_cells(lo: Column, hi: Column, level: Column, margin: float) -> tuple[Column, Column]:
+    """First and last cell in which a box of ``level`` has its lower corner if it meets ``lo`` to ``hi``, widened by ``margin``."""
+    most = F.pow(F.lit(2.0), level)
+    side = most * SIDE
+    return F.floor((lo - margin - most) / side).cast("long"), F.floor((hi + margin) / side).cast("long")
+
+
 def _finest(margin: float) -> int:
     """Cells are never much smaller than the margin, so a probe covers a bounded number of cells per level."""
     return max(-30, math.ceil(math.log2(margin))) if margin > 0 else 0
@@ -131,7 +144,7 @@ def _home(df: DataFrame, name: str, box: Sequence[str], on: Sequence[str], margi
     dims = len(box) // 2
     row = F.col(name)
     out = pack(df, name).withColumn("_lv", box_level(box, row, _finest(margin)))
-    side = F.pow(F.lit(2.0), F.col("_lv"))
+    side = F.pow(F.lit(2.0), F.col("_lv")) * SIDE
     return out.select(name, "_lv", *[row[k].alias(f"_k{i}") for i, k in enumerate(on)],
                       *[F.floor(row[box[i]] / side).cast("long").alias(f"_c{i}") for i in range(dims)])
 
@@ -144,10 +157,8 @@ def _probe(df: DataFrame, name: str, box: Sequence[str], on: Sequence[str], leve
     table = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
     keep = (lambda v: v > F.col("_own")) if above else (lambda v: v >= F.col("_own"))
     out = out.withColumn("_lv", F.explode(F.filter(table, keep)))
-    side = F.pow(F.lit(2.0), F.col("_lv"))
     for i in range(dims):
-        lo = F.floor((row[box[i]] - margin) / side).cast("long") - 1
-        hi = F.floor((row[box[dims + i]] + margin) / side).cast("long")
+        lo, hi = _corner_cells(row[box[i]], row[box[dims + i]], F.col("_lv"), margin)
         out = out.withColumn(f"_c{i}", F.explode(F.sequence(lo, hi)))
     return out.select(name, "_own", "_lv", *[row[k].alias(f"_k{i}") for i, k in enumerate(on)],
                       *[f"_c{i}" for i in range(dims)])
@@ -193,7 +204,7 @@ def overlap_self(df: DataFrame, box: Sequence[str], on: Sequence[str] = (), wher
     return pairs.select(first.alias("a"), second.alias("b"))
 
 
-def box_keys(df: DataFrame, box: Sequence[str], on: Sequence[str] = (), margin: float = 0.0) -> tuple[Column, Column]:
+def box_keys(df: DataFrame, box: Sequence[str | Column], on: Sequence[str] = (), margin: float = 0.0) -> tuple[Column, Column]:
     """``(home, reach)`` key arrays for the greedy operators: two rows whose boxes meet share a key."""
     levels = _levels(_finest(margin), (df, box))
     dims = len(box) // 2
@@ -208,28 +219,30 @@ def box_keys(df: DataFrame, box: Sequence[str], on: Sequence[str] = (), margin:
             ranges[1], lambda j: F.xxhash64(F.lit(tag), lv, i, j, *keyed))))
 
     def at(lv: Column, tag: int, spread: bool) -> Column:
-        side = F.pow(F.lit(2.0), lv)
-        base = [F.floor(F.col(box[i]) / side).cast("long") for i in range(dims)]
         if not spread:
+            base = [F.floor(_col(box[i]) / (F.pow(F.lit(2.0), lv) * SIDE)).cast("long") for i in range(dims)]
             return cells(lv, base, base, tag)
-        lows = [F.floor((F.col(box[i]) - margin) / side).cast("long") - 1 for i in range(dims)]
-        highs = [F.floor((F.col(box[dims + i]) + margin) / side).cast("long") for i in range(dims)]
-        return cells(lv, lows, highs, tag)
+        ranges = [_corner_cells(_col(box[i]), _col(box[dims + i]), lv, margin) for i in range(dims)]
+        return cells(lv, [r[0] for r in ranges], [r[1] for r in ranges], tag)
 
+    # boxes of one level meet at the cells of tag 0, a smaller box that comes second at those of tag 1
     table = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
-    ups = F.filter(table, lambda v: v >= own)
-    home = F.concat(at(own, 0, False), F.flatten(F.transform(ups, lambda v: at(v, 1, True))))
-    reach = F.concat(at(own, 1, False), F.flatten(F.transform(ups, lambda v: at(v, 0, True))))
+    over = lambda keep, tag: F.flatten(F.transform(F.filter(table, keep), lambda v: at(v, tag, True)))
+    home = F.concat(at(own, 0, False), over(lambda v: v > own, 1))
+    reach = F.concat(F.when(own > F.lit(min(levels, default=0)), at(own, 1, False)).otherwise(F.array().cast("array<long>")), over(lambda v: v >= own, 0))
     return home, reach
 
 
-def point_keys(pos: Sequence[str], radius: float, on: Sequence[str] = ()) -> tuple[Column, Column]:
-    """``(home, reach)`` for points: home is one cell (two radii wide), reach the cells within ``radius``."""
-    size = 2.0 * radius * WIDEN
+def point_keys(pos: Sequence[str | Column], radius: float, on: Sequence[str] = (), cells: float = 2.0,
+               radii: Sequence[float] | None = None) -> tuple[Column, Column]:
+    """``(home, reach)`` for points: home is one cell (``cells`` radii wide), reach the cells within ``radius``.
+
+    ``radii`` gives each axis a radius of its own.
+    """
     keyed = [F.col(k) for k in on]
-    home = F.xxhash64(*[cell(F.col(p), size) for p in pos], *keyed)
-    ranges = [F.sequence(cell(F.col(p) - radius * WIDEN, size), cell(F.col(p) + radius * WIDEN, size)) for p in pos]
-    return home, _grid(ranges, [], keyed)
+    axes = [(_col(p), r * WIDEN, cells * r * WIDEN) for p, r in zip(pos, radii or [radius] * len(pos))]
+    home = F.xxhash64(*[cell(p, size) for p, _, size in axes], *keyed)
+    return home, _grid([F.sequence(cell(p - r, size), cell(p + r, size)) for p, r, size in axes], [], keyed)
 
 
 def _grid(ranges: list[Column], chosen: list[Column], keyed: list[Column]) -> Column:
