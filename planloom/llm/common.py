@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,18 +29,28 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def hot_salts(many: DataFrame, key: str) -> list[tuple[int, list]]:
+    """(salts, keys): the largest keys of ``many``, those with as many salts (a power of two) together."""
+    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_SALT)
+    found: dict[int, list] = {}
+    for value, n in counts.orderBy(F.desc("_n"), key).limit(HOT_KEYS).collect():
+        found.setdefault(1 << math.ceil(math.log2(n / ROWS_PER_SALT)), []).append(value)
+    return sorted(found.items())
+
+
 def salted_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
     """``many.join(few, key, how)`` with the rows of the largest keys of ``many`` spread over tasks.
 
-    The list of hot keys has ``HOT_KEYS`` rows at most, whatever the input, and is the only thing that is broadcast. It
-    steers the placement of rows, never the result. ``how`` is inner, left, left_semi or left_anti. ``many`` is read twice:
-    pass a staged table, or one with about the same rows for each key as ``counted``. Columns other than ``key`` must not clash.
+    The list of hot keys has ``HOT_KEYS`` entries at most, whatever the input; it is fetched at once and becomes part of the
+    expressions, so no row is joined to look its key up and nothing is broadcast. It steers the placement of rows, never the
+    result. ``how`` is inner, left, left_semi or left_anti. ``many`` is read twice: pass a staged table, or one with about the
+    same rows for each key as ``counted``. Keys are numbers or strings; columns other than ``key`` must not clash.
     """
-    hot = ((many if counted is None else counted).where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > ROWS_PER_SALT)
-           .orderBy(F.desc("_n"), key).limit(HOT_KEYS).select(key, F.ceil(F.col("_n") / ROWS_PER_SALT).cast("int").alias("_n")))
-    salts = F.coalesce(F.col("_n"), F.lit(1))
-    left = many.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int")).drop("_n")
-    right = few.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_n")
+    salts = F.lit(1)
+    for n, keys in hot_salts(many if counted is None else counted, key):
+        salts = F.when(F.col(key).isin(keys), n).otherwise(salts)
+    left = many.withColumn("_salt", F.pmod(F.xxhash64(*many.columns), salts).cast("int"))
+    right = few.withColumn("_n", salts).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

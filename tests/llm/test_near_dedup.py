@@ -133,3 +133,23 @@ def test_candidates_of_texts_somewhat_alike_stay_few(spark):
     nodes = np.arange(300)
     asked = lambda second: sum(len(a) for a, _ in N.unlinked(nodes, nodes, np.zeros(300), short, second, None))
     assert asked(long) <= 0.02 * 300 * 299 / 2 <= 0.2 * asked(None) or asked(None) < 5000 and asked(long) < 20
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_looks_no_row_up(spark, monkeypatch, how):
+    """One join, and nothing broadcast for the hot keys; rows as those of the plain join, nulls and a hot key among them."""
+    from planloom.llm import common
+
+    monkeypatch.setattr(common, "ROWS_PER_SALT", 8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for kind in ("long", "string"):
+            many = spark.createDataFrame([(k % 50 if k % 3 else 7, k) for k in range(400)] + [(None, 1000)] * 20, "key long, v long").withColumn("key", N.F.col("key").cast(kind))
+            few = spark.createDataFrame([(7, 1), (7, 2), (8, 3), (9, 4), (99, 5), (None, 6)], "key long, w long").withColumn("key", N.F.col("key").cast(kind))
+            got = common.salted_join(many, few, "key", how)
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert plan.count("Join ") == 1 and "_salt" in plan
+            assert max(n for n, _ in common.hot_salts(many, "key")) >= 16
+            assert sorted(map(str, got.collect())) == sorted(map(str, many.join(few, "key", how).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
