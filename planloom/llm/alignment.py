@@ -4,7 +4,7 @@ Tokenizer A (byte-level BPE) encodes a space and the text, tokenizer B (sentence
 both cover the same bytes. The byte offsets where tokens of both end cut them into groups. Most tokens are the same in both,
 so ends are compared along the current index shift with windows of doubled size, and a stretch of one-to-one groups is passed
 over in a logarithmic number of list comparisons. Where ends differ, the group is followed token by token to the next common
-end, which sets a new shift.
+end, which sets a new shift. The links and the text of all groups of a document are made from the stretches by arrays.
 
 Tokens of A and B in one group are linked. In how many documents a pair of ids is linked is counted over the whole corpus:
 some MB of documents form a chunk, which keeps its distinct pairs once, with the number of its documents, and the documents
@@ -13,6 +13,7 @@ as places in that list. Chunks' pairs are counted, the counts join back by pair,
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import zlib
@@ -52,7 +53,7 @@ class ByteLevel:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
-        self.pieces, self.sizes, self.names = pieces, np.fromiter(map(len, pieces), np.int64, len(pieces)), list(map(str, range(len(pieces))))
+        self.pieces, self.sizes = pieces, np.fromiter(map(len, pieces), np.int64, len(pieces))
 
     def encode(self, texts: list[str]) -> list[list[int] | None]:
         """The ids of a space and each text; None where their bytes are not those of the text."""
@@ -84,7 +85,7 @@ class Pieces:
 
         self.tokenizer = SentencePieceProcessor(model_proto=model)
         self.pieces = [self.bytes_of(self.tokenizer.id_to_piece(k)) for k in range(self.tokenizer.get_piece_size())]
-        self.sizes, self.names = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces)), list(map(str, range(len(self.pieces))))
+        self.sizes = np.fromiter(map(len, self.pieces), np.int64, len(self.pieces))
 
     @staticmethod
     def bytes_of(piece: str) -> bytes:
@@ -100,6 +101,18 @@ class Pieces:
         return out
 
 
+#: The tokenizers of this Python process by what they were made from: loading them takes as long as some MB of texts.
+_loaded: dict[str, tuple[ByteLevel, Pieces]] = {}
+
+
+def loaded(spec: str, pieces: list[bytes], model: bytes) -> tuple[ByteLevel, Pieces]:
+    key = hashlib.sha256(spec.encode() + model).hexdigest()
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = ByteLevel(spec, pieces), Pieces(model)
+    return _loaded[key]
+
+
 def stretches(a: list[int], b: list[int]) -> Iterator[tuple[int, int, int, int]]:
     """(i, i', j, j'): tokens i..i' of A and j..j' of B, from the byte ends of both. With i' - i = j' - j the ends are equal one
     by one, each pair a group of its own; else, or if both are 1, it is one group. The last ends of a and b are equal."""
@@ -133,36 +146,51 @@ class Alignment:
     """Groups and links of one text: ``keys`` are its distinct pairs in order, ``times`` how often each is linked."""
 
     def __init__(self, ids_a: list[int], ids_b: list[int], a: ByteLevel, b: Pieces):
-        self.n_a, self.n_b, self.n_groups, self.n_links = len(ids_a), len(ids_b), 0, 0
-        words_a, words_b = list(map(a.names.__getitem__, ids_a)), list(map(b.names.__getitem__, ids_b))
+        self.n_a, self.n_b = len(ids_a), len(ids_b)
         all_a, all_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-        ends_a, ends_b = np.cumsum(a.sizes[all_a]).tolist(), np.cumsum(b.sizes[all_b]).tolist()
-        groups, pairs, many, runs = [], [], Counter(), []
-        for i, i_end, j, j_end in stretches(ends_a, ends_b):
-            if ends_a[i] == ends_b[j]:
-                runs.append((i, i_end, j, j_end))
-                groups += map("|".join, zip(words_a[i:i_end], words_b[j:j_end]))
-                continue
-            own, other = ids_a[i:i_end], ids_b[j:j_end]
-            groups.append(",".join(words_a[i:i_end]) + "|" + ",".join(words_b[j:j_end]))
-            n_links = len(own) * len(other)
-            self.n_links += n_links
-            if n_links <= LISTED:
-                pairs += [x << SHIFT | y for x in own for y in other]
-            else:
-                other = Counter(other)
-                for x, n in Counter(own).items():
-                    for y, m in other.items():
-                        many[x << SHIFT | y] += n * m
+        ends_a, ends_b = np.cumsum(a.sizes[all_a]), np.cumsum(b.sizes[all_b])
+        cuts = np.fromiter(itertools.chain.from_iterable(stretches(ends_a.tolist(), ends_b.tolist())), np.int64).reshape(-1, 4)
+        run = ends_a[cuts[:, 0]] == ends_b[cuts[:, 2]]
         # tokens of one-to-one groups follow each other in the same order on both sides
-        i, i_end, j, j_end = np.array(runs, np.int64).reshape(-1, 4).T
-        one = (all_a[inside(i, i_end, len(ids_a))] << SHIFT) | all_b[inside(j, j_end, len(ids_b))]
-        self.n_groups, self.n_links = len(groups), self.n_links + len(one)
-        listed = np.concatenate([one, np.array(pairs, np.int64), np.fromiter(many, np.int64, len(many))])
+        i, i_end, j, j_end = cuts[run].T
+        last_a, last_b = inside(i, i_end, len(ids_a)), inside(j, j_end, len(ids_b))
+        one = (all_a[last_a] << SHIFT) | all_b[last_b]
+        i, i_end, j, j_end = cuts[~run].T
+        last_a[i_end - 1] = last_b[j_end - 1] = True
+        own, other = i_end - i, j_end - j
+        links, many = own * other, Counter()
+        for k in np.flatnonzero(links > LISTED):
+            counted = Counter(ids_b[j[k] : j_end[k]])
+            for x, n in Counter(ids_a[i[k] : i_end[k]]).items():
+                for y, m in counted.items():
+                    many[x << SHIFT | y] += n * m
+        few = links <= LISTED
+        each = links[few]
+        place = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        i, j, other = (np.repeat(x[few], each) for x in (i, j, other))
+        pairs = (all_a[i + place // other] << SHIFT) | all_b[j + place % other]
+        self.n_groups, self.n_links = int(last_a.sum()), int(links.sum()) + len(one)
+        listed = np.concatenate([one, pairs, np.fromiter(many, np.int64, len(many))])
         self.keys, places = np.unique(listed, return_inverse=True)
         self.times = np.zeros(len(self.keys), np.int64)
         np.add.at(self.times, places, np.concatenate([np.ones(len(one) + len(pairs), np.int64), np.fromiter(many.values(), np.int64, len(many))]))
-        self.groups_sha256 = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+        self.groups_sha256 = hashlib.sha256(groups_text(all_a, last_a, all_b, last_b, max(len(a.sizes), len(b.sizes))).encode()).hexdigest() if self.n_groups else ""
+
+
+@functools.lru_cache(2)
+def separated(n: int) -> list[str]:
+    """Every id below n before a comma, a bar and a semicolon."""
+    return [f"{k}{mark}" for k in range(n) for mark in ",|;"]
+
+
+def groups_text(ids_a: np.ndarray, last_a: np.ndarray, ids_b: np.ndarray, last_b: np.ndarray, n: int) -> str:
+    """``a1,a2|b1;a3|b2,b3`` of ids below n and of which tokens are the last of their group."""
+    stops_a, stops_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    codes = np.empty(len(ids_a) + len(ids_b), np.int64)
+    codes[np.arange(len(ids_a)) + np.concatenate([[0], stops_b])[group_a]] = 3 * ids_a + last_a
+    codes[np.arange(len(ids_b)) + stops_a[group_b]] = 3 * ids_b + 2 * last_b
+    return "".join(map(separated(n).__getitem__, codes.tolist()))[:-1]
 
 
 def inside(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
@@ -191,7 +219,7 @@ def chunked(docs: DataFrame, spec: str, pieces: list[bytes], model: bytes, chunk
     number of its documents that hold each, and the documents' pairs as places in that list with the times of each."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, serial = ByteLevel(spec, pieces), Pieces(model), itertools.count(TaskContext.get().partitionId() << 32)
+        (a, b), serial = loaded(spec, pieces, model), itertools.count(TaskContext.get().partitionId() << 32)
 
         def row(ids, found):
             keys, places, docs = np.unique(np.concatenate([x.keys for x in found]), return_inverse=True, return_counts=True)
@@ -277,7 +305,7 @@ def links(docs: DataFrame, byte_level_path: str, model_path: str, doc_id: str =
     schema = pa.schema([("doc_id", pa.int64()), ("a_ids", pa.list_(pa.int32())), ("b_ids", pa.list_(pa.int32())), ("first", pa.int64()), ("last", pa.int64())])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteLevel(spec, pieces), Pieces(model)
+        a, b = loaded(spec, pieces, model)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 (ids_a,), (ids_b,) = a.encode([text.as_py()]), b.encode([text.as_py()])

@@ -105,3 +105,14 @@ def test_odd_rows_and_groups_as_rows(spark):
     assert len(two) == 2 and two[0] == two[1] and two[0][6] == 2 * two[0][4] == 2 * two[0][5]
     groups = alignment.links(spark.createDataFrame(rows, schema), VOCABULARY, PIECES).where("doc_id = 2").collect()
     assert len(groups) == 2 * two[0][3] and max(r.last for r in groups) == len(" same words")
+
+
+def test_tokenizers_are_loaded_once_and_no_token_is_named_on_its_own():
+    """What a task costs beyond its texts, and Python work for each token: arrays give the groups' text."""
+    vocab, model = alignment.Vocabulary(VOCABULARY), open(PIECES, "rb").read()
+    a, b = alignment.loaded(vocab.text, vocab.pieces, model)
+    assert alignment.loaded(vocab.text, list(vocab.pieces), bytes(model)) == (a, b)
+    flags = lambda *ends: np.isin(np.arange(5), ends)
+    ids = np.arange(5)
+    assert alignment.groups_text(ids, flags(1, 2, 4), ids[:4], flags(0, 2, 3)[:4], 5) == "0,1|0;2|1,2;3,4|3"
+    assert alignment.groups_text(ids[:1], flags(0)[:1], ids[:1], flags(0)[:1], 5) == "0|0"
