@@ -11,7 +11,7 @@ from planloom.operators.relations import BOX, endpoints
 from planloom.operators.spatial import near_pairs, nearest, overlap_pairs
 from planloom.ordered import first_n
 from planloom.skew import salted_join, shuffled
-from planloom.staging import Stage
+from planloom.staging import Stage, materialize
 
 
 def parse_annotations(texts: DataFrame, patterns=T.ANNOTATION_PATTERNS) -> DataFrame:
@@ -229,14 +229,17 @@ def score_domains(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(key, domain, subdomain, score, all_scores) of the texts (key, text in lower case) that some pattern matches.
 
     Texts are listed by their runs of words and meet the pattern table (no, domain, words, weight, subdomain) in one join, so
-    the cost does not grow with the number of patterns. ``words`` begin and end with a letter, digit or underscore and match
+    the cost does not grow with the number of patterns. Only the numbers of a text's patterns are shuffled, once for equal texts
+    of equal keys, unless the table is too large to be sent to the tasks. ``words`` begin and end with a letter, digit or underscore and match
     whole words only. Of equal scores the domain that comes first in the table wins, of equal weights the first pattern.
     """
     longest = patterns.agg(F.max(F.ceil(F.size(F.regexp_extract_all("words", F.lit(TOKEN), F.lit(1))) / 2))).first()[0] or 1
     first = patterns.groupBy("domain").agg(F.min("no").alias("domain_no"))
     table = patterns.join(first, "domain").select(F.lower("words").alias("run"), "domain", "domain_no", "no", "weight", "subdomain")
-    hits = salted_join(texts.select("key", F.explode(word_runs(F.col("text"), int(longest))).alias("run")), table, ["run"], hot=[])
-    by_domain = hits.groupBy("key", "domain", "domain_no").agg(F.sum("weight").alias("score"), F.max_by(F.struct("subdomain"), F.struct("weight", -F.col("no"))).alias("s"))
+    # written, so that its true size decides on a broadcast; rows made on the driver have none
+    table = materialize(table, "patterns")
+    hits = texts.select("key", F.explode(word_runs(F.col("text"), int(longest))).alias("run")).join(table.select("run", "no"), "run").select("key", "no").distinct()
+    by_domain = hits.join(table.drop("run"), "no").groupBy("key", "domain", "domain_no").agg(F.sum("weight").alias("score"), F.max_by(F.struct("subdomain"), F.struct("weight", -F.col("no"))).alias("s"))
     best = F.max_by(F.struct("domain", "s.subdomain", "score"), F.struct("score", -F.col("domain_no"))).alias("b")
     return by_domain.groupBy("key").agg(best, F.sum("score").alias("all_scores")).select("key", "b.*", "all_scores")
 
@@ -246,28 +249,29 @@ def classify_intent(msgs: DataFrame, patterns: DataFrame | list[tuple[str, str,
     """Domain, subdomain, action and program a sentence is about.
 
     ``patterns``: a table (see ``score_domains``) of any size, or a list of (domain, words, weight, subdomain); the domain with
-    the largest summed weight wins, its heaviest match names the subdomain. Equal texts are scored once. Actions and programs
-    count contained words. A null text is about nothing.
+    the largest summed weight wins, its heaviest match names the subdomain. Equal texts have one key. Actions and programs
+    count contained words, before the join, so that it needs no text that the caller drops. A null text is about nothing.
     """
     if isinstance(patterns, list):
         patterns = pattern_table(msgs.sparkSession, patterns)
-    low = F.lower(text)
-    placed = msgs.withColumn("_key", F.md5(F.coalesce(low, F.lit(""))))
-    texts = msgs.where(F.col(text).isNotNull()).select(F.md5(low).alias("key"), low.alias("text")).dropDuplicates(["key"])
-    scored = score_domains(texts, patterns).select(F.col("key").alias("_key"), F.struct("domain", "subdomain", "score", "all_scores").alias("_b"))
-    m = salted_join(placed, scored, ["_key"], how="left")
-    any_hit = F.coalesce(F.col("_b.score") > 0, F.lit(False))
-    act = F.array_max(T.keyword_scores(low, {k: [(w, 1.0) for w in v] for k, v in actions.items()}))
+    low = F.col("_low")
     count = lambda ws: sum((F.when(F.contains(low, F.lit(w)), 1).otherwise(0) for w in ws), F.lit(0))
     (n1, w1), (n2, w2) = apps.items()
-    c1, c2 = count(w1), count(w2)
+    # columns of their own, so that each is reckoned once for a row
+    placed = msgs.withColumn("_low", F.lower(text))
+    placed = placed.withColumns({"_key": F.md5(F.coalesce(low, F.lit(""))), "_c1": count(w1), "_c2": count(w2),
+                                 "_act": F.array_max(T.keyword_scores(low, {k: [(w, 1.0) for w in v] for k, v in actions.items()}))}).drop("_low")
+    texts = msgs.select(F.lower(text).alias("text")).where("text is not null").select(F.md5("text").alias("key"), "text")
+    scored = score_domains(texts, patterns).select(F.col("key").alias("_key"), F.struct("domain", "subdomain", "score", "all_scores").alias("_b"))
+    m = salted_join(placed, scored, ["_key"], how="left")
+    any_hit, act, c1, c2 = F.coalesce(F.col("_b.score") > 0, F.lit(False)), F.col("_act"), F.col("_c1"), F.col("_c2")
     return m.withColumns({
         "domain": F.when(any_hit, F.col("_b.domain")).otherwise("general"),
         "subdomain": F.when(any_hit, F.col("_b.subdomain")),
         "confidence": F.when(any_hit, F.least(F.lit(1.0), F.col("_b.score") / 6.0) * 0.6 + F.col("_b.score") / F.col("_b.all_scores") * 0.4)
         .otherwise(F.lit(0.0)),
         "action": F.when(act["score"] > 0, act["label"]).otherwise("query"),
-        "app": F.when((c1 >= 2) & (c1 > c2 * 2), n1).when((c2 >= 2) & (c2 > c1 * 2), n2).otherwise("both")}).drop("_b", "_key")
+        "app": F.when((c1 >= 2) & (c1 > c2 * 2), n1).when((c2 >= 2) & (c2 > c1 * 2), n2).otherwise("both")}).drop("_b", "_key", "_act", "_c1", "_c2")
 
 
 # fixed values: words per conversion profile
