@@ -65,25 +65,35 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[s
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[str] = ("x", "y"),
             rpos: Sequence[str] | None = None, on: Sequence[str] = (), lid: str = "id", rid: str = "id",
-            where: Pred | None = None, strict: bool = True, rings: Sequence[float] | None = None) -> DataFrame:
+            where: Pred | None = None, strict: bool = True, rings: Sequence[float] | None = None, distinct: bool = False) -> DataFrame:
     """For each left row the nearest right row within ``radius`` (ties: smallest ``rid``).
 
     On large inputs the search runs in growing rings: a row that finds a neighbour in a small ring is done,
     because nothing farther can be nearer, so dense places are settled before a wide ring is tried. Without a
-    ``where`` test, right rows that agree in everything but the id are reduced to the smallest id first.
+    ``where`` test, right rows that agree in everything but the id are reduced to the smallest id first, unless
+    the caller knows them to be ``distinct``.
+
+    A ring is joined twice: for the smallest distance of each row, a number that a hash aggregate keeps while pairs pass by,
+    and then for the right rows at that distance, of which there are few. So the pairs of a ring are never sorted.
     """
+    rpos = rpos or pos
     other = [c for c in right.columns if c != rid]
-    if where is None:
+    if where is None and not distinct:
         right = right.groupBy(*other).agg(F.min(rid).alias(rid)).select(*right.columns)
     if rings is None:
         rings = () if is_small(left) and is_small(right) else (1 / 64, 1 / 16, 1 / 4)
 
     def best(rows: DataFrame, r: float) -> DataFrame:
         pairs = near_pairs(rows, right, r, pos, rpos, on, where, strict and r == radius)
+        least = pairs.groupBy(*[F.col("a")[c].alias(c) for c in rows.columns]).agg(F.min("distance").alias("_least"))
+        at = lambda a, b: euclid(a, b, pos, rpos) == a["_least"]
+        test = at if where is None else lambda a, b: at(a, b) & where(a, b)
+        pairs = near_pairs(least, right, r, pos, rpos, on, test)
+        a = F.struct(*[F.col("a")[c].alias(c) for c in rows.columns])
         order = F.struct(F.col("distance"), F.col("b")[rid].alias("rid"))
         got = F.struct("b", "distance")
         return pairs.groupBy(F.col("a")[lid].alias(lid)).agg(
-            F.min_by(F.struct("a", got.alias("got")), order).alias("m")
+            F.min_by(F.struct(a.alias("a"), got.alias("got")), order).alias("m")
         ).select("m.a", "m.got.b", "m.got.distance")
 
     if not rings:
