@@ -18,6 +18,8 @@ Pred = Callable[[Column, Column], Column]
 WIDEN = 1 + 1e-9
 #: Side of a level's cells, in largest boxes of the level: the larger, the fewer cells a box reaches and the more boxes share one.
 SIDE = 2.0
+#: Every second level is used where two tables meet: a row looks at fewer levels, a cell holds boxes of up to four sizes in one.
+STEP = 2
 
 
 def pack(df: DataFrame, name: str) -> DataFrame:
@@ -108,24 +110,25 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[str]
     return found.unionByName(best(rest, radius))
 
 
-def box_level(box: Sequence[str], row: Column | None = None, finest: int = 0) -> Column:
-    """Grid level of a box: no side of it is longer than 2^level. ``box`` names columns or has expressions."""
+def box_level(box: Sequence[str], row: Column | None = None, finest: int = 0, step: int = 1) -> Column:
+    """Grid level of a box, a multiple of ``step``: no side of it is longer than 2^level. ``box`` names columns or has expressions."""
     g = (lambda c: row[c]) if row is not None else _col
     dims = len(box) // 2
     ext = F.lit(2.0 ** finest)
     for i in range(dims):
         ext = F.greatest(ext, (g(box[dims + i]) - g(box[i])).cast("double"))
-    return F.ceil(F.log2(ext) + 1e-9).cast("int")
+    return (F.ceil((F.log2(ext) + 1e-9) / step) * step).cast("int")
 
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _corner_cells(lo: Column, hi: Column, level: Column, margin: float) -> tuple[Column, Column]:
-    """First and last cell in which a box of ``level`` has its lower corner if it meets ``lo`` to ``hi``, widened by ``margin``."""
-    most = F.pow(F.lit(2.0), level)
-    side = most * SIDE
+def _corner_cells(lo: Column, hi: Column, level: Column, margin: float, most: Column | None = None) -> tuple[Column, Column]:
+    """First and last cell in which a box of ``level`` has its lower corner if it meets ``lo`` to ``hi``, widened by ``margin``.
+    ``most`` is the longest side of such a box, if less than the level allows."""
+    power = F.pow(F.lit(2.0), level)
+    most, side = power if most is None else most, power * SIDE
     return F.floor((lo - margin - most) / side).cast("long"), F.floor((hi + margin) / side).cast("long")
 
 
@@ -150,27 +153,43 @@ def _levels(finest: int, *sides: tuple[DataFrame, Sequence[str]]) -> list[int]:
     return sorted(seen)
 
 
-def _home(df: DataFrame, name: str, box: Sequence[str], on: Sequence[str], margin: float) -> DataFrame:
+def _sizes(finest: int, df: DataFrame, box: Sequence[str], step: int) -> dict[int, list[float]]:
+    """Grid levels in use by ``df`` with the longest side of their boxes on each axis: a logarithmic number of values."""
+    dims = len(box) // 2
+    longest = [F.max((F.col(box[dims + i]) - F.col(box[i])).cast("double")).alias(f"e{i}") for i in range(dims)]
+    rows = df.groupBy(box_level(box, finest=finest, step=step).alias("lv")).agg(*longest).collect()
+    # the difference of two numbers may be rounded down
+    return {r["lv"]: [(r[f"e{i}"] or 0.0) * WIDEN for i in range(dims)] for r in rows if r["lv"] is not None}
+
+
+def _home(df: DataFrame, name: str, box: Sequence[str], on: Sequence[str], margin: float, step: int) -> DataFrame:
     dims = len(box) // 2
     row = F.col(name)
-    out = pack(df, name).withColumn("_lv", box_level(box, row, _finest(margin)))
+    # keys that cannot be null: a join would test them for null below the projection, in very long copies of their expressions
+    known = lambda c: F.coalesce(c, F.lit(0))
+    whole = F.lit(True)
+    for c in box:
+        whole = whole & F.col(c).isNotNull()
+    out = pack(df.where(whole), name).withColumn("_lv", known(box_level(box, row, _finest(margin), step)))
     side = F.pow(F.lit(2.0), F.col("_lv")) * SIDE
     return out.select(name, "_lv", *[row[k].alias(f"_k{i}") for i, k in enumerate(on)],
-                      *[F.floor(row[box[i]] / side).cast("long").alias(f"_c{i}") for i in range(dims)])
+                      *[known(F.floor(row[box[i]] / side).cast("long")).alias(f"_c{i}") for i in range(dims)])
 
 
-def _probe(df: DataFrame, name: str, box: Sequence[str], on: Sequence[str], levels: list[int], margin: float,
-           above: bool) -> DataFrame:
+def _probe(df: DataFrame, name: str, box: Sequence[str], on: Sequence[str], sizes: dict[int, list[float]], margin: float,
+           above: bool, step: int) -> DataFrame:
+    """``df`` for each cell of the levels ``sizes`` of the other side in which a larger box that meets its box may live."""
     dims = len(box) // 2
     row = F.col(name)
-    out = pack(df, name).withColumn("_own", box_level(box, row, _finest(margin)))
-    table = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
-    keep = (lambda v: v > F.col("_own")) if above else (lambda v: v >= F.col("_own"))
-    out = out.withColumn("_lv", F.explode(F.filter(table, keep)))
+    out = pack(df, name).withColumn("_own", box_level(box, row, _finest(margin), step))
+    entry = lambda lv, most: F.struct(F.lit(lv).alias("lv"), *[F.lit(float(m)).alias(f"e{i}") for i, m in enumerate(most)])
+    table = F.array(*[entry(lv, sizes[lv]) for lv in sorted(sizes)]) if sizes else F.array(entry(0, [0.0] * dims))
+    keep = (lambda v: v["lv"] > F.col("_own")) if above else (lambda v: v["lv"] >= F.col("_own"))
+    out = out.withColumn("_s", F.explode(F.filter(table, keep) if sizes else F.filter(table, lambda v: F.lit(False))))
     for i in range(dims):
-        lo, hi = _corner_cells(row[box[i]], row[box[dims + i]], F.col("_lv"), margin)
+        lo, hi = _corner_cells(row[box[i]], row[box[dims + i]], F.col("_s.lv"), margin, F.col(f"_s.e{i}"))
         out = out.withColumn(f"_c{i}", F.explode(F.sequence(lo, hi)))
-    return out.select(name, "_own", "_lv", *[row[k].alias(f"_k{i}") for i, k in enumerate(on)],
+    return out.select(name, "_own", F.col("_s.lv").alias("_lv"), *[row[k].alias(f"_k{i}") for i, k in enumerate(on)],
                       *[f"_c{i}" for i in range(dims)])
 
 
@@ -179,18 +198,20 @@ def overlap_pairs(left: DataFrame, right: DataFrame, box: Sequence[str], rbox: S
     """Pairs whose boxes (widened by ``margin``) meet; every pair is found once.
 
     Boxes live in the one cell of their own level that holds their lower corner; the smaller box of a pair
-    looks the larger one up, so a long box is never copied over many small cells.
+    looks the larger one up, so a long box is never copied over many small cells. It looks at levels of the other side only,
+    and no farther back than the longest box there reaches.
     """
     rbox = rbox or box
     left, right = widen(left), widen(right)
-    levels = _levels(_finest(margin), (left, box), (right, rbox))
+    finest = _finest(margin)
+    ups, downs = _sizes(finest, right, rbox, STEP), _sizes(finest, left, box, STEP)
     keys = ["_lv"] + [f"_k{i}" for i in range(len(on))] + [f"_c{i}" for i in range(len(box) // 2)]
     a, b = F.col("a"), F.col("b")
     test = boxes_meet(a, b, box, rbox, margin)
     if where is not None:
         test = test & where(a, b)
-    up = salted_join(_home(right, "b", rbox, on, margin), _probe(left, "a", box, on, levels, margin, False), keys, test, shuffle=True)
-    down = salted_join(_home(left, "a", box, on, margin), _probe(right, "b", rbox, on, levels, margin, True), keys, test, shuffle=True)
+    up = salted_join(_home(right, "b", rbox, on, margin, STEP), _probe(left, "a", box, on, ups, margin, False, STEP), keys, test, shuffle=True)
+    down = salted_join(_home(left, "a", box, on, margin, STEP), _probe(right, "b", rbox, on, downs, margin, True, STEP), keys, test, shuffle=True)
     return up.select("a", "b").unionByName(down.select("a", "b"))
 
 
@@ -201,7 +222,7 @@ def overlap_self(df: DataFrame, box: Sequence[str], on: Sequence[str] = (), wher
     ``where(first, second)`` sees the row with the smaller id first unless it is ``symmetric``.
     """
     df = widen(df)
-    levels = _levels(_finest(margin), (df, box))
+    sizes = _sizes(_finest(margin), df, box, 1)
     keys = ["_lv"] + [f"_k{i}" for i in range(len(on))] + [f"_c{i}" for i in range(len(box) // 2)]
     p, q = F.col("a"), F.col("b")
     first = F.when(p[id] < q[id], p).otherwise(q)
@@ -210,7 +231,7 @@ def overlap_self(df: DataFrame, box: Sequence[str], on: Sequence[str] = (), wher
     if where is not None:
         test = test & (where(p, q) if symmetric else
                        ((p[id] < q[id]) & where(p, q)) | ((p[id] > q[id]) & where(q, p)))
-    pairs = salted_join(_home(df, "b", box, on, margin), _probe(df, "a", box, on, levels, margin, False), keys, test, shuffle=True)
+    pairs = salted_join(_home(df, "b", box, on, margin, 1), _probe(df, "a", box, on, sizes, margin, False, 1), keys, test, shuffle=True)
     return pairs.select(first.alias("a"), second.alias("b"))
 
 
