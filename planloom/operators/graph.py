@@ -143,28 +143,30 @@ def components(nodes: DataFrame, edges: DataFrame, a: str = "a", b: str = "b", n
     Large-star and small-star in turn: every node ties its larger neighbours to the smallest node around it, then its
     smaller neighbours and itself to the smallest of those. Edges point ever nearer to the smallest node and equal ones
     fall together, so only edges are kept, fewer each round, and a hub's edges meet its minimum in a salted join. It ends when
-    the edges are stars. ``log`` gets the number of edges of every round.
+    the edges are stars: no smaller end has a smaller neighbour, and every larger end has one edge. The smallest node around an
+    end is its smallest smaller neighbour, if there is one, so edges are grouped by their larger end alone.
+    ``log`` gets the number of edges of every round.
     """
     stage = Stage(edges.sparkSession, "components")
     links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
     links, last = stage.write_path(links)
     while True:
-        arcs = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = arcs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted_join(arcs.where("v > u"), least, ["u"], hot=hot_keys(arcs, ["u"])).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        large, wide = stage.write_path(large)
+        if log is not None:
+            log.append({"edges": links.count()})
+        least = links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = salted_join(links, least, ["b"], how="left", hot=hot_keys(links, ["b"]))
+        large, wide = stage.write_path(large.select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved")))
+        if large.where("moved").isEmpty():
+            row = links.agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("a").alias("ends")).first()
+            if row["edges"] == row["ends"]:
+                stage.drop(wide)
+                break
+        large = large.select("a", "b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = salted_join(large, least, ["a"]).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        nxt, path = stage.write_path(small.select("e.*").where("a > b").distinct())
-        # as many edges as nodes at their larger end, and none of those at a smaller end: stars
-        check = nxt.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-        row = nxt.join(check.select(F.col("a").alias("b"), F.lit(1).alias("inner")), "b", "left").agg(F.count(F.lit(1)).alias("edges"), F.count("inner").alias("inner"), F.count_distinct("a").alias("ends")).first()
+        small = salted_join(large, least, ["a"]).where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        nxt, path = stage.write_path(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         for old in (last, wide):
             stage.drop(old)
         links, last = nxt, path
-        if log is not None:
-            log.append(row.asDict())
-        if row["inner"] == 0 and row["edges"] == row["ends"]:
-            break
     ids = nodes.select(F.col(node).alias("node")).unionByName(edges.select(F.explode(F.array(a, b)).alias("node"))).where("node is not null").distinct()
     return ids.join(links.withColumnRenamed("a", "node").withColumnRenamed("b", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
