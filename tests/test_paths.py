@@ -55,6 +55,36 @@ def test_paths_of_any_length_equal_a_plain_search(spark):
     assert T.system_paths(df, node([500]), node([500])).select(F.size("path")).first()[0] == 1
 
 
+def test_trees_are_not_searched_from_every_source(spark, monkeypatch):
+    """Sources that hang on a ring are searched from its nodes, in a forest nothing is searched, and paths are as in a plain search."""
+    rng = random.Random(11)
+    pairs = [(k, (k + 1) % 6) for k in range(6)] + [(2, 5)]  # a ring with a chord
+    pairs += [(k, rng.randrange(k)) for k in range(6, 90)]  # trees that hang on it
+    pairs += [(200 + k, 200 + (k - 1) // 3) for k in range(1, 60)] + [(300, 301), (310, 311), (311, 312)]  # trees of their own
+    edges = [(i, a, b, rng.random()) for i, (a, b) in enumerate(rng.sample(pairs, len(pairs)))]
+    sources = [*range(10, 50), 3, *range(215, 245), 200, 300, 301, 311, 999]
+    terminals = [*range(30, 90), 0, 5, *range(205, 250), 301, 310, 312, 999]
+    searched, search = [], T.search_trees
+
+    def recorded(arcs, seeds, *rest):
+        searched.append((seeds.count(), arcs.df.select("src").distinct().count()))
+        return search(arcs, seeds, *rest)
+
+    monkeypatch.setattr(T, "search_trees", recorded)
+    monkeypatch.setattr(T, "PAIR_BLOCK", 7, raising=False)
+    df = spark.createDataFrame(edges, EDGES)
+    node = lambda ids: spark.createDataFrame([(i,) for i in ids], "node long")
+    found = T.system_paths(df, node(sources), node(terminals)).collect()
+    want = {}
+    for s in sources:
+        want |= plain(edges, s, terminals)
+    assert {(r.source, r.terminal): (r.path, round(r.total_length, 6)) for r in found} == want and len(found) == len(want)
+    assert all(r.hop == len(r.path) - 1 for r in found)
+    assert len(searched) == 1 and searched[0][0] <= 6 and searched[0][1] == 6
+    forest = T.system_paths(df.where("a >= 200"), node(sources), node(terminals)).collect()
+    assert len(searched) == 1 and {(r.source, r.terminal) for r in forest} == {k for k in want if k[0] >= 200} | {(s, s) for s in sources if s < 200 and s in terminals}
+
+
 def test_components_of_hubs_chains_and_lone_nodes(spark):
     rng = random.Random(9)
     edges = [(0, k) for k in range(1000, 1300)]  # a hub with most edges
