@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from planloom.functions import geom
 from planloom.operators.spatial import near_pairs, nearest, overlap_pairs, overlap_self
-from planloom.skew import salted_join, shuffled
+from planloom.skew import salted_join, shuffled, widen
+from planloom.staging import materialize
 
 XYZ = ("x", "y", "z")
 BOX = ("min_x", "min_y", "max_x", "max_y")
@@ -245,23 +246,42 @@ def contains_bbox(rooms: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def rooms_adjacent(rooms: DataFrame, tolerance: float = 5.0) -> DataFrame:
-    """Rooms with near-parallel sides (cross <= 0.1) within ``tolerance`` that overlap by more than 10 %."""
-    sides = geom.box_of_segments(polygon_edges(rooms)).where(geom.length() >= 1.0)
+    """Rooms with near-parallel sides (cross <= 0.1) within ``tolerance`` that overlap by more than 10 %.
+
+    Sides meet in fans of directions as in ``parallel_pairs``: in the fan of the first one, sides that qualify are at most the
+    tolerance and a tenth of a side apart across, and next to nothing along. Each is widened by its own tenth and half of the
+    tolerance; across coordinates are stretched so that a side's box is about as tall as long.
+    """
+    fans, stretch = 10, 2.5
+    width = 180.0 / fans
+    slack = math.degrees(math.asin(0.1)) + 1e-6
+    slope = math.sin(math.radians(width / 2 + slack))
+    fan = lambda direction: F.floor(direction / width + 0.5).cast("int")
+    sides = polygon_edges(widen(rooms.select("id", "project_id", "boundary"))).withColumn("len", geom.length()).where(F.col("len") >= 1.0).select(
+        "id", "project_id", "x1", "y1", "x2", "y2", "len", geom.angle180().alias("angle"),
+        ((F.col("x2") - F.col("x1")) / F.col("len")).alias("ux"), ((F.col("y2") - F.col("y1")) / F.col("len")).alias("uy"))
+    within = F.sequence(fan(F.col("angle") - slack), fan(F.col("angle") + slack))
+    sides = sides.select("*", F.pmod(fan(F.col("angle")), F.lit(fans)).alias("own_fan"),
+                         F.explode(F.array_distinct(F.transform(within, lambda k: F.pmod(k, F.lit(fans))))).alias("fan"))
+    cos, sin = F.cos(F.radians(F.col("fan") * width)), F.sin(F.radians(F.col("fan") * width))
+    along = [F.col(f"x{i}") * cos + F.col(f"y{i}") * sin for i in (1, 2)]
+    across = [F.col(f"y{i}") * cos - F.col(f"x{i}") * sin for i in (1, 2)]
+    far = F.greatest(*[F.abs(c) for c in ("x1", "y1", "x2", "y2")])
+    room = tolerance / 2 + F.col("len") * 0.1
+    out, wide = room * slope + far * 1e-9 + 1e-6, room + far * 1e-9 + 1e-6
+    sides = sides.withColumns({"min_x": F.least(*along) - out, "max_x": F.greatest(*along) + out,
+                               "min_y": (F.least(*across) - wide) * stretch, "max_y": (F.greatest(*across) + wide) * stretch}).drop("angle")
 
     def touching(a, b):
-        la, lb = geom.length(a), geom.length(b)
-        ux, uy = (a["x2"] - a["x1"]) / la, (a["y2"] - a["y1"]) / la
-        vx, vy = (b["x2"] - b["x1"]) / lb, (b["y2"] - b["y1"]) / lb
-        off = F.abs((b["y1"] - a["y1"]) * ux - (b["x1"] - a["x1"]) * uy)
-        ov, short = geom.overlap_share(a, b)
-        return (a["id"] < b["id"]) & (F.abs(ux * vy - uy * vx) <= 0.1) & (off <= tolerance) & (ov > short * 0.1)
-
-    # sides that qualify are at most `tolerance` plus the slope allowance apart; the slope (about 6 degrees)
-    # can open a gap of a tenth of the longer side, which the box of that side is widened by
-    wide = sides.withColumns({
-        "min_x": F.col("min_x") - 0.11 * geom.length(), "max_x": F.col("max_x") + 0.11 * geom.length(),
-        "min_y": F.col("min_y") - 0.11 * geom.length(), "max_y": F.col("max_y") + 0.11 * geom.length()})
-    pairs = overlap_pairs(wide, wide, BOX, on=["project_id"], where=touching, margin=tolerance)
+        off = F.abs((b["y1"] - a["y1"]) * a["ux"] - (b["x1"] - a["x1"]) * a["uy"])
+        place = lambda s, i: s[f"x{i}"] * a["ux"] + s[f"y{i}"] * a["uy"]
+        (a0, a1), (b0, b1) = ((F.least(place(s, 1), place(s, 2)), F.greatest(place(s, 1), place(s, 2))) for s in (a, b))
+        return ((a["id"] < b["id"]) & (F.abs(a["ux"] * b["uy"] - a["uy"] * b["ux"]) <= 0.1) & (off <= tolerance)
+                & (F.least(a1, b1) - F.greatest(a0, b0) > F.least(a1 - a0, b1 - b0) * 0.1))
+
+    sides = materialize(sides, "sides")
+    first = sides.where(F.col("fan") == F.col("own_fan")).drop("own_fan")
+    pairs = overlap_pairs(first, sides.drop("own_fan"), BOX, on=["project_id", "fan"], where=touching, step=1)
     return pairs.select(F.col("a.project_id"), F.col("a.id").alias("room1"), F.col("b.id").alias("room2")).distinct()
 
 

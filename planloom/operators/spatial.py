@@ -194,24 +194,24 @@ def _probe(df: DataFrame, name: str, box: Sequence[str], on: Sequence[str], size
 
 
 def overlap_pairs(left: DataFrame, right: DataFrame, box: Sequence[str], rbox: Sequence[str] | None = None,
-                  on: Sequence[str] = (), where: Pred | None = None, margin: float = 0.0) -> DataFrame:
+                  on: Sequence[str] = (), where: Pred | None = None, margin: float = 0.0, step: int = STEP) -> DataFrame:
     """Pairs whose boxes (widened by ``margin``) meet; every pair is found once.
 
     Boxes live in the one cell of their own level that holds their lower corner; the smaller box of a pair
     looks the larger one up, so a long box is never copied over many small cells. It looks at levels of the other side only,
-    and no farther back than the longest box there reaches.
+    and no farther back than the longest box there reaches. With ``step`` 1 cells are half as wide: for crowded places.
     """
     rbox = rbox or box
     left, right = widen(left), widen(right)
     finest = _finest(margin)
-    ups, downs = _sizes(finest, right, rbox, STEP), _sizes(finest, left, box, STEP)
+    ups, downs = _sizes(finest, right, rbox, step), _sizes(finest, left, box, step)
     keys = ["_lv"] + [f"_k{i}" for i in range(len(on))] + [f"_c{i}" for i in range(len(box) // 2)]
     a, b = F.col("a"), F.col("b")
     test = boxes_meet(a, b, box, rbox, margin)
     if where is not None:
         test = test & where(a, b)
-    up = salted_join(_home(right, "b", rbox, on, margin, STEP), _probe(left, "a", box, on, ups, margin, False, STEP), keys, test, shuffle=True)
-    down = salted_join(_home(left, "a", box, on, margin, STEP), _probe(right, "b", rbox, on, downs, margin, True, STEP), keys, test, shuffle=True)
+    up = salted_join(_home(right, "b", rbox, on, margin, step), _probe(left, "a", box, on, ups, margin, False, step), keys, test, shuffle=True)
+    down = salted_join(_home(left, "a", box, on, margin, step), _probe(right, "b", rbox, on, downs, margin, True, step), keys, test, shuffle=True)
     return up.select("a", "b").unionByName(down.select("a", "b"))
 
 
