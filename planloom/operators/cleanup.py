@@ -168,8 +168,19 @@ def merge_collinear(lines: DataFrame, distance: float = 5.0, gap: float = 20.0,
         "len": size, "bucket": F.rint(F.pmod(F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))), F.lit(180.0))).cast("int")})
     rows = rows.where("len >= 1e-6").withColumns({
         "ux": (F.col("x2") - F.col("x1")) / F.col("len"), "uy": (F.col("y2") - F.col("y1")) / F.col("len")})
-    # a line of the same whole degree leans away from the track by at most its length times sin(1 degree)
-    home, reach = box_keys(rows, geom.leaning_box(0.018), ["project_id", "bucket"], margin=gap + distance)
+    # Lines of a whole degree meet in its frame, at most half a degree off: along they are at most ``gap`` apart, across
+    # ``distance`` and what both lean over the gap and the later line. Across is stretched so that one margin does for both.
+    far = F.greatest(*[F.abs(c) for c in ("x1", "y1", "x2", "y2")]) * 1e-9 + 1e-6
+    aside = distance + 0.018 * max(0.0, gap)
+    margin = max(0.0, gap) + 0.018 * aside
+    stretch = min(8.0, max(1.0, margin / aside)) if aside > 0 else 8.0
+    cos, sin = F.cos(F.radians("bucket")), F.sin(F.radians("bucket"))
+    on_x = [F.col(f"x{i}") * cos + F.col(f"y{i}") * sin for i in (1, 2)]
+    on_y = [F.col(f"y{i}") * cos - F.col(f"x{i}") * sin for i in (1, 2)]
+    lean = F.col("len") * 0.018
+    rows = rows.withColumns({"min_x": F.least(*on_x) - far - lean * 0.018, "min_y": (F.least(*on_y) - far - lean) * stretch,
+                             "max_x": F.greatest(*on_x) + far + lean * 0.018, "max_y": (F.greatest(*on_y) + far + lean) * stretch})
+    home, reach = box_keys(rows, BOX, ["project_id", "bucket"], margin=max(margin, aside * stretch))
     like = [F.col("project_id"), F.col("bucket"), F.floor(F.col("x1") / (distance / 1.5)), F.floor(F.col("y1") / (distance / 1.5))]
 
     def along(k, u, i):

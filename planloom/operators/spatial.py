@@ -18,6 +18,8 @@ Pred = Callable[[Column, Column], Column]
 WIDEN = 1 + 1e-9
 #: Side of a level's cells, in largest boxes of the level: the larger, the fewer cells a box reaches and the more boxes share one.
 SIDE = 2.0
+#: Rows of the other table in a cell, for each row that looks at it, up to which ``nearest`` needs no rings.
+FEW = 16
 #: Every second level is used where two tables meet: a row looks at fewer levels, a cell holds boxes of up to four sizes in one.
 STEP = 2
 
@@ -47,7 +49,18 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[s
     exactly one cell. Rows of a crowded right-side cell are spread over tasks.
     """
     rpos = rpos or pos
-    left, right = widen(left), widen(right)
+    home, probe, keys = _point_cells(widen(left), widen(right), radius, pos, rpos, on)
+    a, b = F.col("a"), F.col("b")
+    dist = euclid(a, b, pos, rpos)
+    test = (dist < radius) if strict else (dist <= radius)
+    if where is not None:
+        test = test & where(a, b)
+    return salted_join(home, probe, keys, test, shuffle=True).select("a", "b", dist.alias("distance"))
+
+
+def _point_cells(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[str], rpos: Sequence[str],
+                 on: Sequence[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``right`` at its cell, ``left`` at the cells within ``radius``, and the columns in which they meet."""
     size = 2.0 * radius * WIDEN
     names = [f"_c{i}" for i in range(len(pos))]
     keys = [f"_k{i}" for i in range(len(on))] + names
@@ -57,12 +70,16 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[s
     for p, n in zip(pos, names):
         v = F.col("a")[p]
         probe = probe.withColumn(n, F.explode(F.sequence(cell(v - radius * WIDEN, size), cell(v + radius * WIDEN, size))))
-    a, b = F.col("a"), F.col("b")
-    dist = euclid(a, b, pos, rpos)
-    test = (dist < radius) if strict else (dist <= radius)
-    if where is not None:
-        test = test & where(a, b)
-    return salted_join(home, probe, keys, test, shuffle=True).select("a", "b", dist.alias("distance"))
+    return home, probe, keys
+
+
+def _crowded(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[str], rpos: Sequence[str], on: Sequence[str]) -> bool:
+    """Whether a row of ``left`` meets more than ``FEW`` rows in the cells within ``radius``, on an average."""
+    home, probe, keys = _point_cells(left, right, radius, pos, rpos, on)
+    both = home.select(*keys, F.lit(1).alias("h"), F.lit(0).alias("p")).unionByName(probe.select(*keys, F.lit(0).alias("h"), F.lit(1).alias("p")))
+    met = both.groupBy(*keys).agg(F.sum("h").alias("h"), F.sum("p").alias("p"))
+    row = met.agg(F.sum(F.col("h") * F.col("p")).alias("pairs"), F.sum("p").alias("rows")).first()
+    return (row["pairs"] or 0) > FEW * (row["rows"] or 0)
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[str] = ("x", "y"),
@@ -70,8 +87,9 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[str]
             where: Pred | None = None, strict: bool = True, rings: Sequence[float] | None = None, distinct: bool = False) -> DataFrame:
     """For each left row the nearest right row within ``radius`` (ties: smallest ``rid``).
 
-    On large inputs the search runs in growing rings: a row that finds a neighbour in a small ring is done,
-    because nothing farther can be nearer, so dense places are settled before a wide ring is tried. Without a
+    On large and crowded inputs the search runs in growing rings: a row that finds a neighbour in a small ring is done,
+    because nothing farther can be nearer, so dense places are settled before a wide ring is tried. Where few rows meet in
+    the cells of the whole radius (counted first), rings would only repeat the joins. Without a
     ``where`` test, right rows that agree in everything but the id are reduced to the smallest id first, unless
     the caller knows them to be ``distinct``.
 
@@ -83,7 +101,8 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, pos: Sequence[str]
     if where is None and not distinct:
         right = right.groupBy(*other).agg(F.min(rid).alias(rid)).select(*right.columns)
     if rings is None:
-        rings = () if is_small(left) and is_small(right) else (1 / 64, 1 / 16, 1 / 4)
+        small = is_small(left) and is_small(right)
+        rings = () if small or not _crowded(left, right, radius, pos, rpos, on) else (1 / 64, 1 / 16, 1 / 4)
 
     def best(rows: DataFrame, r: float) -> DataFrame:
         pairs = near_pairs(rows, right, r, pos, rpos, on, where, strict and r == radius)
@@ -256,6 +275,8 @@ def box_keys(df: DataFrame, box: Sequence[str | Column], on: Sequence[str] = (),
         ranges = [_corner_cells(_col(box[i]), _col(box[dims + i]), lv, margin) for i in range(dims)]
         return cells(lv, [r[0] for r in ranges], [r[1] for r in ranges], tag)
 
+    if len(levels) == 1:
+        return at(F.lit(levels[0]), 0, False), at(F.lit(levels[0]), 0, True)
     # boxes of one level meet at the cells of tag 0, a smaller box that comes second at those of tag 1
     table = F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")
     over = lambda keep, tag: F.flatten(F.transform(F.filter(table, keep), lambda v: at(v, tag, True)))
